@@ -24,33 +24,24 @@ def strip_series_artifact(col: Column) -> Column:
     return strip(F.regexp_replace(text, F.lit(rf"\A\p{{Nd}}+[{SPACE}]+"), F.lit("")))
 
 
-def with_extracted_url(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Add ``normalized_url`` (null if there is none), ``content`` and ``content_type``."""
+def _with_parts(df: DataFrame, payload: str) -> DataFrame:
+    """Payload to ``normalized_url``, ``content``, ``content_type``, and the parts of the URL as helper columns."""
     c = lambda name: F.col("__" + name)
     out = df.withColumn("__text", F.coalesce(F.col(payload), F.lit("")))
-    out = out.withColumn("content", strip_series_artifact(c("text")))
-    has_url = F.contains(c("text"), F.lit("://"))
-    out = out.withColumn("__listed", F.when(has_url, F.regexp_extract(c("text"), LISTED_URL, 1)).otherwise(""))
+    out = out.withColumns({"content": strip_series_artifact(c("text")), "__hasurl": F.contains(c("text"), F.lit("://"))})
+    out = out.withColumn("__listed", F.when(c("hasurl"), F.regexp_extract(c("text"), LISTED_URL, 1)).otherwise(""))
     out = out.withColumn(
         "__found",
-        F.when(~has_url, "")
+        F.when(~c("hasurl"), "")
         .when(c("listed") != "", c("listed"))
         .when(F.lower("content").rlike(r"\Ahttps?://"), F.regexp_extract("content", rf"\A[^{SPACE}]+", 0))
         .otherwise(F.regexp_extract(c("text"), ANY_URL, 0)),
     )
     out = with_url_parts(out, "__found")
-    # Parameters: from the first ';' of the last path segment on.
-    out = out.withColumn("__segment", F.substring_index(c("path"), "/", -1))
     out = out.withColumn(
-        "__barepath",
-        F.substr(
-            c("path"),
-            F.lit(1),
-            F.length(c("path")) - F.length(c("segment")) + F.length(F.substring_index(c("segment"), ";", 1)),
-        ),
+        "__isurl", c("scheme").isin("http", "https") & (c("netloc") != "") & ~malformed_netloc(c("netloc"))
     )
-    is_url = c("scheme").isin("http", "https") & (c("netloc") != "") & ~malformed_netloc(c("netloc"))
-    out = out.withColumn("__isurl", is_url)
+    out = _with_bare_path(out)
     out = out.withColumns(
         {
             "normalized_url": F.when(
@@ -58,7 +49,7 @@ def with_extracted_url(df: DataFrame, payload: str = "payload") -> DataFrame:
                 F.concat(
                     c("scheme"),
                     F.lit("://"),
-                    F.lower(c("netloc")),
+                    c("netloc"),
                     c("barepath"),
                     F.when(c("query") != "", F.concat(F.lit("?"), c("query"))).otherwise(""),
                     F.when(c("fragment") != "", F.concat(F.lit("#"), c("fragment"))).otherwise(""),
@@ -67,23 +58,49 @@ def with_extracted_url(df: DataFrame, payload: str = "payload") -> DataFrame:
             "content_type": F.when(c("text") == "", "unknown").when(c("isurl"), "url").otherwise("non_url"),
         }
     )
-    keep = [x for x in df.columns if x not in ("normalized_url", "content", "content_type")]
-    return out.select(*keep, "normalized_url", "content", "content_type")
+    return out.drop("__text", "__hasurl", "__listed", "__found")
+
+
+def _with_bare_path(df: DataFrame) -> DataFrame:
+    """Lower-case the authority; cut the parameters: from the first ';' of the last path segment on."""
+    path = F.col("__path")
+    segment = F.substring_index(path, "/", -1)
+    kept = F.length(path) - F.length(segment) + F.length(F.substring_index(segment, ";", 1))
+    return df.withColumns({"__netloc": F.lower("__netloc"), "__barepath": F.substr(path, F.lit(1), kept)})
+
+
+EXTRACTED = ["normalized_url", "content", "content_type"]
+
+
+def with_extracted_url(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Add ``normalized_url`` (null if there is none), ``content`` and ``content_type``."""
+    out = _with_parts(df, payload)
+    return out.select(*[x for x in df.columns if x not in EXTRACTED], *EXTRACTED)
+
+
+def with_extracted_features(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """URL extraction and the 16 features in one go: the parts found first are not parsed again."""
+    out = _with_parts(df, payload).withColumn("__value", F.coalesce("normalized_url", F.lit("")))
+    out = _with_features(out.withColumnRenamed("__isurl", "__valid"))
+    added = EXTRACTED + QR_FEATURES
+    return out.select(*[x for x in df.columns if x not in added], *added)
 
 
 def with_qr_features(df: DataFrame, url: str = "normalized_url") -> DataFrame:
-    """Add the 16 features of a normalised QR URL; 0 and '' where there is no URL.
+    """Add the 16 features of a normalised QR URL; 0 and '' where there is no URL."""
+    out = with_url_parts(df.withColumn("__value", F.coalesce(F.col(url), F.lit(""))), "__value")
+    valid = (F.col("__value") != "") & ~malformed_netloc(F.col("__netloc"))
+    out = _with_features(_with_bare_path(out.withColumn("__valid", valid)))
+    return out.select(*[x for x in df.columns if x not in QR_FEATURES], *QR_FEATURES)
+
+
+def _with_features(out: DataFrame) -> DataFrame:
+    """The features, from the helper columns value, valid, scheme, netloc, barepath, query, fragment.
 
     A port that is no number in 0..65535 stops the extraction: everything read after it stays 0.
     """
     c = lambda name: F.col("__" + name)
-    out = with_url_parts(df.withColumn("__value", F.coalesce(F.col(url), F.lit(""))), "__value")
-    out = out.withColumns(
-        {
-            "__valid": (c("value") != "") & ~malformed_netloc(c("netloc")),
-            "__hostport": F.substring_index(c("netloc"), "@", -1),
-        }
-    )
+    out = out.withColumn("__hostport", F.substring_index(c("netloc"), "@", -1))
     bracketed = F.startswith(c("hostport"), F.lit("["))
     out = out.withColumn(
         "__rawhost",
@@ -93,14 +110,10 @@ def with_qr_features(df: DataFrame, url: str = "normalized_url") -> DataFrame:
     )
     out = out.withColumns(
         {
-            "__port": F.when(
-                bracketed, F.regexp_extract(c("hostport"), r"\]:(.*)", 1)
-            ).otherwise(F.substr(c("hostport"), F.length(c("rawhost")) + 2)),
-            # A zone id behind '%' keeps its case.
-            "__host": F.when(c("valid"), F.concat(
-                F.lower(F.substring_index(c("rawhost"), "%", 1)),
-                F.substr(c("rawhost"), F.length(F.substring_index(c("rawhost"), "%", 1)) + 1),
-            )).otherwise(""),
+            "__port": F.when(bracketed, F.regexp_extract(c("hostport"), r"\]:(.*)", 1)).otherwise(
+                F.substr(c("hostport"), F.length(c("rawhost")) + 2)
+            ),
+            "__host": F.when(c("valid"), c("rawhost")).otherwise(""),
         }
     )
     number = F.expr("try_cast(__port AS bigint)")
@@ -108,8 +121,6 @@ def with_qr_features(df: DataFrame, url: str = "normalized_url") -> DataFrame:
         "__portok", (c("port") == "") | (c("port").rlike(r"\A[0-9]+\z") & (F.coalesce(number, F.lit(70000)) <= 65535))
     )
     after_port = c("valid") & c("portok")
-    last = F.substring_index(c("path"), "/", -1)
-    bare = F.length(c("path")) - F.length(last) + F.length(F.substring_index(last, ";", 1))
     labels = F.length(c("host")) - F.length(F.replace(c("host"), F.lit("."), F.lit(""))) + 1
 
     def when(condition: Column, value: Column) -> Column:
@@ -119,7 +130,7 @@ def with_qr_features(df: DataFrame, url: str = "normalized_url") -> DataFrame:
         "url_length": F.length(c("value")),
         "domain": c("host"),
         "domain_length": F.length(c("host")),
-        "path_length": when(c("valid"), bare),
+        "path_length": when(c("valid"), F.length(c("barepath"))),
         "query_length": when(c("valid"), F.length(c("query"))),
         "fragment_length": when(c("valid"), F.length(c("fragment"))),
         "subdomain_count": when(after_port & (c("host") != ""), F.greatest(labels - 2, F.lit(0))),
@@ -133,4 +144,4 @@ def with_qr_features(df: DataFrame, url: str = "normalized_url") -> DataFrame:
         "digit_count": count_digits(c("value")),
         "special_character_count": count_not_class(c("value"), ALNUM),
     }
-    return out.withColumns(features).select(*[x for x in df.columns if x not in QR_FEATURES], *QR_FEATURES)
+    return out.withColumns(features)

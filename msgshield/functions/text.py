@@ -33,11 +33,10 @@ def unescape_html(col: Column) -> Column:
 def clean_text(col: Column) -> Column:
     """Entities resolved, control characters dropped, lines trimmed, blank lines removed, joined by one space."""
     text = unescape_html(F.coalesce(col, F.lit("")))
-    text = F.translate(text, " \r", " \n")
+    text = F.replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), F.lit("\r"), F.lit("\n"))
     text = F.regexp_replace(text, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]+"), F.lit(""))
-    # A line break together with all white space around it is one separator. The look-behind lets a run of
-    # white space be tried once only.
-    return strip(F.regexp_replace(text, F.lit(rf"(?<![{SPACE}])[{SPACE}]*\n[{SPACE}]*"), F.lit(" ")))
+    lines = F.transform(F.split(text, "\n"), strip)
+    return F.array_join(F.filter(lines, lambda line: line != ""), " ")
 
 
 def is_raw_url(col: Column) -> Column:

@@ -41,31 +41,23 @@ def _ipv6() -> str:
     for left in range(0, 8):
         head = rf"{_HEX}(?::{_HEX}){{{left - 1}}}" if left else ""
         forms.append(rf"{head}::")
-    return rf"(?:{'|'.join(forms)})(?:%[^%]+)?"
+    return rf"(?:{'|'.join(forms)})(?:%[^%\]]+)?"
 
 
 IPV6 = _ipv6()
-# What may stand between brackets: an IPv6 address or a future address form.
-BRACKETED = rf"\A(?:{IPV6}|v[a-fA-F0-9]+\..+)\z"
+_FUTURE = r"v[a-fA-F0-9]+\."
+# Host and port where brackets occur: an IPv6 address or a future address form in brackets, then at most a port. If
+# the brackets are in the user part only, the bare host has to be of the future form.
+BRACKETED = rf"\A(?:\[(?:{IPV6}|{_FUTURE}[^\]]+)\](?::.*)?|{_FUTURE}[^:\[]+(?::.*)?)\z"
 
 
 def malformed_netloc(netloc: Column) -> Column:
     """True where the authority part cannot be split: unbalanced or wrongly placed brackets, a bad bracketed address,
     or characters that normalise into URL delimiters."""
     opened, closed = F.contains(netloc, F.lit("[")), F.contains(netloc, F.lit("]"))
-    host_port = F.substring_index(netloc, "@", -1)
-    before = F.substring_index(host_port, "[", 1)
-    bracketed = F.substr(host_port, F.length(before) + 2)
-    inner = F.substring_index(bracketed, "]", 1)
-    after = F.substr(bracketed, F.length(inner) + 2)
-    has_bracket = F.contains(host_port, F.lit("["))
-    bad_bracket = F.when(
-        has_bracket,
-        (before != "") | ((after != "") & ~F.startswith(after, F.lit(":"))) | ~inner.rlike(BRACKETED),
-    ).otherwise(~F.substring_index(host_port, ":", 1).rlike(BRACKETED))
     return (
         (opened != closed)
-        | (opened & closed & bad_bracket)
+        | (opened & ~F.substring_index(netloc, "@", -1).rlike(BRACKETED))
         | ((F.octet_length(netloc) > F.length(netloc)) & netloc.rlike(f"[{delimiter_lookalikes()}]"))
     )
 

@@ -52,7 +52,7 @@ def skew_join(
 def by_digest(col: Column) -> Column:
     """Join key of a long text. Declared never null: a join would otherwise test the whole expression for null, and
     so compute it twice."""
-    return F.coalesce(F.sha2(F.coalesce(col, F.lit("")), F.lit(256)), F.lit(""))
+    return F.coalesce(F.sha2(F.coalesce(col, F.lit("")), 256), F.lit(""))
 
 
 def exclude_known(external: DataFrame, master: DataFrame, text: str, spread: str) -> DataFrame:

@@ -122,7 +122,7 @@ def roc_auc(scored: DataFrame, *groups: str, label: str = "label", prob: str = "
 def confidence_bin(prob: Column, bins: int = 10) -> Column:
     """Index of the equal-width bin [lo, hi); the last one is closed. The edges are the doubles i * 0.1."""
     index = F.when(prob.between(0.0, 1.0), 0)
-    for i in reversed(range(1, bins)):
+    for i in range(1, bins):
         edge = i * (1.0 / bins)
         index = F.when((prob >= edge) & (prob <= 1.0), i).otherwise(index)
     return index

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import hash_bucket, integer_bucket, join_small, rank_cutoffs, shuffle_key, weight_cutoff
+from ..session import stored
+from .ordering import integer_bucket, join_small, rank_cutoffs, shuffle_key, weight_cutoff
 
 SEED = 42
 
@@ -65,20 +66,20 @@ def split_templates(
 ) -> DataFrame:
     """Add ``split``: whole templates make up ``test_b``; the rest is split per channel and label.
 
-    Expects ``channel`` and ``label``; ``key`` is a unique column.
+    Expects ``channel`` and ``label``; ``key`` is a unique column. The hashes and strata are stored as a narrow table,
+    from which all cut-offs are found; the wide rows are read once more, to be placed.
     """
-    rows = df.withColumn("__template", shuffle_key(seed, F.col(skeleton)))
-    cutoff, total, taken = weight_cutoff(rows, "__template", test_b)
+    rows = df.withColumns({"__template": shuffle_key(seed, F.col(skeleton)), "__hash": shuffle_key(seed, F.col(key))})
+    narrow = stored(rows.select("channel", "label", "__template", "__hash"), "split-hashes")
+    cutoff, total, taken = weight_cutoff(narrow, "__template", test_b)
     in_b = F.col("__template") <= F.lit(cutoff) if cutoff is not None else F.lit(False)
-    rows = rows.withColumn("__hash", shuffle_key(seed, F.col(key)))
-    remaining = rows.filter(~in_b)
     rest = total - taken
     if rest == 0:
         return rows.withColumn("split", F.lit("test_b")).select(*df.columns, "split")
     share_a, share_v = (total * test_a) / rest, (total * validation) / rest
     first = lambda n: F.floor(n.cast("double") * F.lit(share_a))
     second = lambda n: first(n) + F.floor(n.cast("double") * F.lit(share_v))
-    cuts = rank_cutoffs(remaining, ["channel", "label"], "__hash", {"__a": first, "__v": second}, bucket=hash_bucket)
+    cuts = rank_cutoffs(narrow.filter(~in_b), ["channel", "label"], "__hash", {"__a": first, "__v": second})
     rows = join_small(rows, cuts, ["channel", "label"], "left")
     split = (
         F.when(in_b, "test_b")

@@ -14,7 +14,7 @@ from ..operators.joins import exclude_known, map_external_label
 from ..operators.ordering import formatted_id
 from ..operators.quality import purge_counts, quality_audit
 from ..operators.splits import split_templates
-from ..session import shared_dir
+from ..session import stored
 from ..sources.readers import read_csv_table, read_messages_json
 from ..sources.writers import write_by_channel
 
@@ -42,26 +42,23 @@ def _number_and_measure(kept: DataFrame) -> DataFrame:
 
 
 def clean_messages(raw: DataFrame) -> DataFrame:
-    """The clean corpus of (ordinal, text, label): 14 columns plus ``ordinal``."""
-    return _number_and_measure(kept_messages(raw))
+    """The clean corpus of (ordinal, text, label): 14 columns plus ``ordinal``.
+
+    The cleaned rows are stored once: both passes of the deduplication read them, and neither cleans again.
+    """
+    return _number_and_measure(stored(kept_messages(raw), "kept"))
 
 
 def build_clean_messages(spark: SparkSession, path: str, out: str, lines: bool = False) -> dict[str, DataFrame]:
     """Read raw messages, write the clean corpus by channel, return purge counts and the quality audit."""
-    tagged_path = shared_dir(spark, "tagged")
-    # Cleaned once and stored: the purge counts and both passes of the deduplication read the stored table.
-    tag_messages(read_messages_json(spark, path, lines)).write.parquet(tagged_path)
-    tagged = spark.read.parquet(tagged_path)
+    tagged = stored(tag_messages(read_messages_json(spark, path, lines)), "tagged")
     clean = _number_and_measure(tagged.filter(F.col("purge_reason").isNull())).select(CLEAN_COLUMNS)
     write_by_channel(clean, out)
     return {"purge_counts": purge_counts(tagged), "audit": quality_audit(read_csv_table(spark, out, clean.schema))}
 
 
 def message_splits(clean: DataFrame, key: str = "ordinal") -> DataFrame:
-    """Clean messages with ``split``: train, validation, test_a (stratified), test_b (unseen templates).
-
-    Reads the clean table three times, a few columns each; pass a stored one.
-    """
+    """Clean messages with ``split``: train, validation, test_a (stratified), test_b (unseen templates)."""
     rows = clean.withColumn("template_skeleton", template_skeleton(F.col("cleaned_text")))
     return split_templates(rows, "template_skeleton", key)
 

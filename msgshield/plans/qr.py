@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import QR_RAW_COLUMNS
-from ..functions.qr import with_extracted_url, with_qr_features
+from ..functions.qr import with_extracted_features
 from ..operators.filters import filter_computed
 from ..operators.quality import decode_statistics, duplicate_report
 from ..operators.reports import DECODE_REPORT, report_lines
@@ -20,7 +20,7 @@ def qr_raw_table(decodes: DataFrame) -> DataFrame:
     """
     failed = F.col("payload").isNull()
     error = F.col("decode_error") if "decode_error" in decodes.columns else F.lit(None).cast("string")
-    rows = with_qr_features(with_extracted_url(decodes.withColumn("__error", error)))
+    rows = with_extracted_features(decodes.withColumn("__error", error))
     rows = rows.withColumns(
         {
             "normalized_url": F.coalesce("normalized_url", F.lit("")),

@@ -661,7 +661,7 @@ _AUC = (
 )
 _ECE = (
     "SELECT {g}, sum(n * abs(acc - conf)) / sum(n) AS ece, sum(sq) / sum(n) AS brier FROM (SELECT {g}, "
-    "CASE WHEN prob >= 1.0 THEN 9 ELSE list_position(list_reverse(list_transform(generate_series(0, 9), lambda i: prob >= i * 0.1::DOUBLE)), true) END AS bin, "
+    "list_sum(list_transform(generate_series(1, 9), lambda i: CASE WHEN prob >= i * 0.1::DOUBLE THEN 1 ELSE 0 END)) AS bin, "
     "count(*)::DOUBLE AS n, avg(label::DOUBLE) AS acc, avg(prob) AS conf, sum((prob - label) * (prob - label)) AS sq FROM scored GROUP BY 1, 2) GROUP BY {g}"
 )
 

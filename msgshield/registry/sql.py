@@ -259,8 +259,8 @@ def canonical(source: str, extra: str) -> list[tuple[str, str]]:
     regexp_extract(full_url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path0,
     regexp_extract(full_url, '^[^?#]*\\?([^#]*)', 1) AS query,
     regexp_extract(full_url, '^[^#]*#(.*)$', 1) AS fragment
-  FROM (SELECT *, CASE WHEN regexp_matches(original_url, '^[a-zA-Z][a-zA-Z0-9+,.\\-]*://') THEN original_url
-      ELSE 'http://' || original_url END AS full_url
+  FROM (SELECT *, regexp_replace(CASE WHEN regexp_matches(original_url, '^[a-zA-Z][a-zA-Z0-9+,.\\-]*://') THEN original_url
+      ELSE 'http://' || original_url END, '[\t\r\n]', '', 'g') AS full_url
     FROM (SELECT *, {strip('raw_url')} AS original_url FROM {source}))""",
         ),
         (

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.chars import strip
 from ..functions.fixed import IMAGE_EXTENSIONS, QR_FEATURES
+from ..operators.filters import filter_computed
 from ..operators.ordering import formatted_id, sequential_id
 from ..operators.splits import first_per_class
 
@@ -103,7 +104,7 @@ def qr_payload_url(df: DataFrame) -> Column:
 
 def qr_payloads(df: DataFrame, label: int, source: str = "qr_decoded") -> DataFrame:
     """URL rows of a QR table; rows without content are dropped, the rest is trimmed."""
-    rows = df.withColumn("raw_url", qr_payload_url(df)).filter(F.col("raw_url").isNotNull())
+    rows = filter_computed(df.withColumn("raw_url", qr_payload_url(df)), F.col("raw_url").isNotNull())
     if "ordinal" not in rows.columns:
         rows = rows.withColumn("ordinal", F.monotonically_increasing_id())
     return rows.select(
