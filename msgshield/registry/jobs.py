@@ -1 +1,313 @@
-"""Queries that fit models or run streams; registered next to the table queries."""
+"""Queries that write and read back, run streams or fit models; registered next to the table queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.fixed import CLEAN_COLUMNS
+from ..functions.qr import strip_series_artifact
+from ..functions.urls import looks_like_url
+from ..operators import metrics, terms
+from ..operators.reports import DECODE_REPORT, markdown_rows, report_lines
+from ..plans import evaluation, scoring, training
+from ..plans import messages as message_jobs
+from ..plans import qr as qr_jobs
+from ..plans import urls as url_jobs
+from ..session import shared_dir, stored
+from ..sources import readers, writers
+from ..streaming.ingest import ingest_decodes, read_ingested
+from ..streaming.scoring import stream_score, write_scores
+from . import inputs, sql
+from .catalog import _CORPUS, _QR, _SCORED_URLS, _flat_indicators, _score_messages_select, _score_urls_select
+from .catalog import _scored_messages, _stored_corpus, _stored_text, _MSG_PROB, register
+from .sql import CLEAN_CHAIN, URL_SPLIT_CHAIN, big
+
+# --- sources and sinks ---------------------------------------------------------------------------
+
+
+@register(
+    "messages_json",
+    CLEAN_CHAIN[:1],
+    "SELECT md5(text) AS digest, CAST(label AS BIGINT) AS label, CAST(count(*) AS BIGINT) AS n FROM raw_messages GROUP BY ALL",
+)
+def messages_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages written as JSON and read with the declared schema."""
+    path = shared_dir(spark, "messages-json")
+    inputs.raw_messages(spark, sf).select("text", "label").write.option("ignoreNullFields", False).json(path)
+    rows = readers.read_messages_json(spark, path, lines=True)
+    return rows.groupBy(F.md5("text").alias("digest"), "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "csv_table",
+    ["decodes", "extracted", "qr_urls", "qr_raw"],
+    "SELECT qr_id, decoded_content, normalized_url, CAST(url_length AS BIGINT) AS url_length FROM qr_raw",
+)
+def csv_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The decode table as CSV, with line breaks and quotes in fields, and back."""
+    path = shared_dir(spark, "decodes-csv")
+    raw = qr_jobs.qr_raw_table(inputs.qr_decodes(spark, sf)).drop("ordinal")
+    writers.write_csv(raw, path)
+    rows = readers.read_csv_table(spark, path, readers.qr_schema(raw.columns))
+    return rows.select("qr_id", "decoded_content", "normalized_url", "url_length")
+
+
+@register(
+    "url_csv",
+    ["sources"],
+    "SELECT trim(raw_url) AS raw_url, CAST(label AS BIGINT) AS label, 'existing_url' AS source FROM sources",
+)
+def url_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: a wide CSV in which the URL and label columns are found by name."""
+    path = shared_dir(spark, "urls-csv")
+    rows = inputs.url_sources(spark, sf).select("source", F.col("raw_url").alias("URL"), F.col("label").cast("string"), "ordinal")
+    writers.write_csv(rows, path)
+    return readers.read_url_csv(spark, path).select("raw_url", "label", "source")
+
+
+@register(
+    "channel_sink",
+    CLEAN_CHAIN,
+    "SELECT channel, CAST(count(*) AS BIGINT) AS messages, CAST(sum(length(cleaned_text)) AS BIGINT) AS chars, "
+    "min('MSG_' || lpad(CAST(number AS VARCHAR), 6, '0')) AS first_id FROM clean GROUP BY channel",
+)
+def channel_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """The clean corpus written by channel and read back."""
+    path = shared_dir(spark, "by-channel")
+    clean = message_jobs.clean_messages(inputs.raw_messages(spark, sf)).select(CLEAN_COLUMNS)
+    writers.write_by_channel(clean, path)
+    rows = readers.read_csv_table(spark, path, clean.schema)
+    return rows.groupBy("channel").agg(
+        F.count(F.lit(1)).alias("messages"), F.sum(F.length("cleaned_text")).alias("chars"), F.min("message_id").alias("first_id")
+    )
+
+
+@register(
+    "export_formats",
+    [*_CORPUS, *URL_SPLIT_CHAIN],
+    "SELECT split, format, CAST(count(*) AS BIGINT) AS n FROM url_splits, (VALUES ('csv'), ('parquet')) AS f(format) GROUP BY ALL",
+)
+def export_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """K5: every split as CSV and Parquet."""
+    path = shared_dir(spark, "export")
+    splits = stored(url_jobs.url_splits(_stored_corpus(spark, sf)), "splits")
+    names = ["train", "validation", "test_random", "test_unseen_domain", "test_qr_unseen"]
+    writers.export_formats({n: splits.filter(F.col("split") == n) for n in names}, path)
+    out = None
+    for name in names:
+        for kind in ("csv", "parquet"):
+            reader = spark.read.schema(splits.schema)
+            rows = reader.option("header", True).csv(f"{path}/{name}_csv") if kind == "csv" else reader.parquet(f"{path}/{name}_parquet")
+            row = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).withColumn("format", F.lit(kind))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register(
+    "decode_tables",
+    [*_QR, "qr_raw"],
+    "SELECT 'raw' AS target, CAST(count(*) AS BIGINT) AS n FROM qr_raw UNION ALL SELECT 'urls', CAST(count(*) AS BIGINT) FROM qr_raw "
+    "WHERE decode_status = 'success' AND content_type = 'url' UNION ALL SELECT 'failed', CAST(count(*) AS BIGINT) FROM qr_raw "
+    "WHERE decode_status = 'failed' UNION ALL SELECT 'duplicates', CAST(count(*) AS BIGINT) FROM (SELECT normalized_url FROM qr_raw "
+    "WHERE decode_status = 'success' AND content_type = 'url' GROUP BY normalized_url HAVING count(*) > 1)",
+)
+def decode_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """C4, K3: the whole QR job, counted from its output files."""
+    path = shared_dir(spark, "qr-job")
+    qr_jobs.qr_payload_tables(spark, inputs.qr_decodes(spark, sf), path)
+    out = None
+    for name in ("raw", "urls", "failed", "duplicates"):
+        rows = spark.read.parquet(f"{path}/{name}") if name != "duplicates" else spark.read.option("header", True).csv(f"{path}/{name}")
+        row = rows.agg(F.count(F.lit(1)).alias("n")).withColumn("target", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("decode_report")
+def decode_report(spark: SparkSession, sf: str) -> DataFrame:
+    """K6: report lines of the decode statistics."""
+    from ..operators.quality import decode_statistics
+
+    return report_lines(decode_statistics(qr_jobs.qr_raw_table(inputs.qr_decodes(spark, sf))), DECODE_REPORT)
+
+
+@register("metrics_report")
+def metrics_report(spark: SparkSession, sf: str) -> DataFrame:
+    """K6: the message matrix as Markdown lines."""
+    return markdown_rows(metrics.message_matrix(inputs.scored_rows(spark, sf)), evaluation.MESSAGE_REPORT, ["level"])
+
+
+@register(
+    "base64_payload",
+    [],
+    "SELECT page_id, url AS decoded FROM pages",
+)
+def base64_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """Page addresses as data URIs, decoded again."""
+    encoded = F.concat(F.lit("data:text/plain;base64,"), F.base64(F.encode("url", "UTF-8")))
+    pages = inputs.table(spark, sf, "pages").select("page_id", encoded.alias("uri"))
+    return pages.select("page_id", F.decode(readers.base64_payload(F.col("uri")), "UTF-8").alias("decoded"))
+
+
+@register(
+    "payload_kinds",
+    ["decodes", "extracted"],
+    "SELECT ordinal, content, CAST(starts_with(lower(c), 'http://') OR starts_with(lower(c), 'https://') OR starts_with(lower(c), 'ftp://') "
+    "OR starts_with(lower(c), 'www.') OR (contains(c, '.') AND contains(c, '/')) AS BIGINT) AS is_url "
+    "FROM (SELECT ordinal, content, coalesce(payload, '') AS c FROM extracted)",
+)
+def payload_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Payloads without the printed-column artifact, and whether they look like a URL."""
+    rows = inputs.qr_decodes(spark, sf)
+    return rows.select(
+        "ordinal",
+        strip_series_artifact(F.col("payload")).alias("content"),
+        looks_like_url(F.coalesce("payload", F.lit(""))).alias("is_url"),
+    )
+
+
+# --- streams -------------------------------------------------------------------------------------
+
+
+def _as_stream(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """A stored table read as a stream of files."""
+    path = shared_dir(spark, name)
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+
+
+def _run(spark: SparkSession, scored: DataFrame, name: str) -> DataFrame:
+    out = shared_dir(spark, f"{name}-out")
+    write_scores(scored, out, shared_dir(spark, f"{name}-checkpoint")).awaitTermination()
+    return spark.read.schema(scored.schema).parquet(out)
+
+
+@register("stream_urls", _SCORED_URLS, f"SELECT ordinal, {_score_urls_select('direct_url')} FROM t")
+def stream_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """URL scoring as a stream; the same result as the batch."""
+    rows = _as_stream(spark, inputs.url_variants(spark, sf), "url-stream")
+    out = _run(spark, stream_score(rows, "urls", "raw_url"), "url-scores")
+    return _flat_indicators(out.drop("raw_url", "label"))
+
+
+@register("stream_messages", _scored_messages(_MSG_PROB), f"SELECT {_score_messages_select()} FROM t")
+def stream_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Message scoring as a stream."""
+    rows = _as_stream(spark, _stored_text(spark, sf), "message-stream")
+    return _run(spark, stream_score(rows, "messages", "cleaned_text"), "message-scores").drop("label", "cleaned_text")
+
+
+@register(
+    "stream_ingest",
+    [*_QR, "qr_raw"],
+    "SELECT qr_id, normalized_url, content_type, decode_status, " + big("url_length") + " AS url_length FROM qr_raw",
+)
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Incremental ingest of decode results."""
+    rows = _as_stream(spark, inputs.qr_decodes(spark, sf), "decode-stream")
+    out = shared_dir(spark, "ingest-out")
+    ingest_decodes(rows, out, shared_dir(spark, "ingest-checkpoint")).awaitTermination()
+    return read_ingested(spark, out).select("qr_id", "normalized_url", "content_type", "decode_status", "url_length")
+
+
+# --- models --------------------------------------------------------------------------------------
+
+# Smaller than the defaults of ``fit_url_model`` (300 rounds, depth 8), which aim at large corpora.
+TREES = {"iterations": 10, "depth": 4}
+
+
+def _url_split_table(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(url_jobs.url_splits(_stored_corpus(spark, sf)), "splits")
+
+
+@register("url_model_metrics")
+def url_model_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Boosted trees with isotonic calibration; validation metrics."""
+    splits = _url_split_table(spark, sf)
+    train, validation = (splits.filter(F.col("split") == s) for s in ("train", "validation"))
+    return training.train_and_calibrate(train, validation, **TREES)[1]
+
+
+@register("url_evaluation")
+def url_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """The model bundle saved, loaded and evaluated on the four suites."""
+    splits = _url_split_table(spark, sf)
+    train, validation = (splits.filter(F.col("split") == s) for s in ("train", "validation"))
+    path = shared_dir(spark, "url-bundle")
+    writers.save_bundle(training.train_and_calibrate(train, validation, **TREES)[0], path)
+    return evaluation.evaluate_urls(writers.load_bundle(path), url_jobs.test_suites(splits))
+
+
+def _message_split_table(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(message_jobs.message_splits(_stored_text(spark, sf)), "message-splits")
+
+
+@register("message_evaluation")
+def message_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """Hybrid model on test A and B, and on the external holdout as test C."""
+    splits = _message_split_table(spark, sf)
+    model = training.fit_message_model(splits.filter(F.col("split") == "train"))
+    external = message_jobs.external_holdout(inputs.external_messages(spark, sf), splits)
+    external = external.withColumn("split", F.lit("test_c")).select("cleaned_text", "channel", "label", "split")
+    tests = splits.filter(F.col("split").startswith("test_")).select("cleaned_text", "channel", "label", "split")
+    return evaluation.evaluate_messages(model, tests.unionByName(external))
+
+
+@register("stage_comparison")
+def stage_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """Three model stages side by side."""
+    splits = _message_split_table(spark, sf)
+    train = splits.filter(F.col("split") == "train")
+    tests = splits.filter(F.col("split").isin("test_a", "test_b"))
+    out = None
+    for stage, kind in (("Stage 1", "baseline"), ("Stage 2", "semantic"), ("Stage 3", "hybrid")):
+        rows = training.predict_messages(training.fit_message_model(train, kind), tests)
+        rows = rows.select(F.lit(stage).alias("stage"), "split", "label", "pred")
+        out = rows if out is None else out.unionByName(rows)
+    return metrics.stage_comparison(out)
+
+
+@register("calibration")
+def calibration(spark: SparkSession, sf: str) -> DataFrame:
+    """Isotonic calibration of scored rows, with error before and after."""
+    from pyspark.ml.functions import array_to_vector
+
+    rows = inputs.scored_rows(spark, sf)
+    rows = rows.withColumn("probability", array_to_vector(F.array(1.0 - F.col("prob"), F.col("prob"))))
+    fitted = training.fit_calibrator(rows).transform(rows)
+    fitted = fitted.withColumn("calibrated", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated"))))
+    raw = metrics.calibration_error(fitted, "split").select("split", F.col("ece").alias("raw_ece"))
+    cal = metrics.calibration_error(fitted, "split", prob="calibrated")
+    return raw.join(cal.select("split", F.col("ece").alias("calibrated_ece"), F.col("brier").alias("brier_score")), "split")
+
+
+@register("score_urls_model")
+def score_urls_model(spark: SparkSession, sf: str) -> DataFrame:
+    """R14 with a fitted, calibrated bundle instead of the heuristic."""
+    splits = _url_split_table(spark, sf)
+    train, validation = (splits.filter(F.col("split") == s) for s in ("train", "validation"))
+    bundle = training.train_and_calibrate(train, validation, **TREES)[0]
+    return _flat_indicators(scoring.score_urls(inputs.url_variants(spark, sf), model=bundle).drop("raw_url", "label"))
+
+
+@register("score_messages_model")
+def score_messages_model(spark: SparkSession, sf: str) -> DataFrame:
+    """R15 with a fitted hybrid model."""
+    splits = _message_split_table(spark, sf)
+    model = training.fit_message_model(splits.filter(F.col("split") == "train"))
+    rows = splits.select("ordinal", "channel", "cleaned_text")
+    return scoring.score_messages(rows, "cleaned_text", model=model).drop("cleaned_text")
+
+
+@register("model_tokens")
+def model_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Token attribution with the coefficients of a fitted text model, which number no more than its vocabulary."""
+    splits = _message_split_table(spark, sf)
+    model = training.fit_message_model(splits.filter(F.col("split") == "train"), "semantic")
+    words, weights = model.stages[3].vocabulary, model.stages[-1].coefficients.toArray()
+    coefficients = spark.createDataFrame(
+        [(w, float(x)) for w, x in zip(words, weights)], "term string, coefficient double"
+    )
+    texts = training.with_model_text(splits).select("ordinal", "model_text")
+    return terms.token_attribution(terms.tfidf(texts, "ordinal", "model_text", 768, True), coefficients, "ordinal")
