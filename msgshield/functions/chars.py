@@ -12,6 +12,8 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stages import Stages, apply_stages
+
 # Bodies for use inside [...]; both the JVM engine and RE2 read them.
 SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\p{Z}"
 WORD = r"\p{L}\p{N}_"
@@ -112,12 +114,13 @@ def round_exact(col: Column, digits: int) -> Column:
     return (base + F.when(up, 1.0).otherwise(0.0)) / scale
 
 
+def ratio_stages(ratios: dict[str, tuple[Column, Column]], digits: int = 4) -> Stages:
+    """``part / max(whole, 1)``, rounded. Two projections: rounding reads each quotient many times."""
+    quotients = {
+        name: part.cast("double") / F.greatest(whole, F.lit(1)).cast("double") for name, (part, whole) in ratios.items()
+    }
+    return [quotients, {name: round_exact(F.col(name), digits) for name in ratios}]
+
+
 def with_ratios(df: DataFrame, ratios: dict[str, tuple[Column, Column]], digits: int = 4) -> DataFrame:
-    """Add ``part / max(whole, 1)`` columns, rounded. Two projections: rounding reads each quotient many times."""
-    df = df.withColumns(
-        {
-            name: part.cast("double") / F.greatest(whole, F.lit(1)).cast("double")
-            for name, (part, whole) in ratios.items()
-        }
-    )
-    return df.withColumns({name: round_exact(F.col(name), digits) for name in ratios})
+    return apply_stages(df, ratio_stages(ratios, digits))

@@ -130,13 +130,27 @@ def channel_prefixed(text: Column, channel: Column) -> Column:
 
 
 EMAIL = EDGE + r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,7}" + EDGE
-NUMBER = EDGE + r"\p{Nd}+[\p{Nd},.-]*" + EDGE
+HANDLE = f"@[{WORD}]+"
+# The look-ahead first: few characters are digits, so the costlier look-behind is seldom tried.
+NUMBER = rf"(?=\p{{Nd}})(?<![{WORD}])\p{{Nd}}+[\p{{Nd}},.-]*" + EDGE
+# White space that is more or other than one space.
+GAP = rf"[{SPACE}]{{2,}}|[{SPACE}&&[^ ]]"
 
 
 def template_skeleton(col: Column) -> Column:
-    """Lower-cased text with links, addresses, handles and numbers replaced by placeholders."""
+    """Lower-cased text with links, addresses, handles and numbers replaced by placeholders.
+
+    The order matters: a link may hold an address, an address a handle or a number. A substring search decides
+    whether a text needs the link and address patterns at all.
+    """
+
+    def mark(text: Column, *rules: tuple[str, str]) -> Column:
+        for pattern, name in rules:
+            text = F.regexp_replace(text, F.lit(pattern), F.lit(name))
+        return text
+
     text = F.lower(F.coalesce(col, F.lit("")))
-    # The order matters: a link may hold an address, an address a handle or a number.
-    for pattern, mark in ((LINK, "[URL]"), (EMAIL, "[EMAIL]"), (rf"@[{WORD}]+", "[USER]"), (NUMBER, "[NUM]")):
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(mark))
-    return strip(F.regexp_replace(text, F.lit(rf"[{SPACE}]+"), F.lit(" ")))
+    has_link = F.contains(text, F.lit("://")) | F.contains(text, F.lit("www."))
+    out = F.when(has_link, mark(text, (LINK, "[URL]"))).otherwise(text)
+    out = F.when(F.contains(text, F.lit("@")), mark(out, (EMAIL, "[EMAIL]"), (HANDLE, "[USER]"))).otherwise(out)
+    return strip(mark(out, (NUMBER, "[NUM]"), (GAP, " ")))

@@ -16,6 +16,7 @@ from .chars import ALNUM, contains_any, count_char, count_class, count_digits, c
 from .chars import strip
 from .fixed import CHAR_SEQUENCE_LENGTH, DEFAULT_PORTS, SECOND_LEVEL_LABELS, SUSPICIOUS_TLDS, URL_FEATURES
 from .fixed import URL_KEYWORD_GROUPS, URL_KEYWORDS, URL_SHORTENERS
+from .stages import Stages, apply_stages, once
 
 CANONICAL_FIELDS = ["original_url", "normalized_url", "scheme", "domain", "path", "query", "fragment"]
 
@@ -62,100 +63,96 @@ def malformed_netloc(netloc: Column) -> Column:
     )
 
 
-def with_url_parts(df: DataFrame, url: str, prefix: str = "__") -> DataFrame:
-    """Split an absolute URL at its delimiters: scheme, netloc, path, query, fragment, as ``prefix``-named columns.
-
-    Plain string cuts instead of a regex: fragment at the first '#', query at the first '?', then the scheme, then
-    the authority up to the first '/'. A scheme with a comma is not one: all of it belongs to the path.
-    """
-    c = lambda name: F.col(prefix + name)
-    df = df.withColumn(prefix + "url", F.translate(F.col(url), "\t\r\n", ""))
-    df = df.withColumn(prefix + "nofrag", F.substring_index(c("url"), "#", 1))
-    df = df.withColumns(
+@once
+def _part_stages(url: str) -> Stages:
+    """Plain string cuts instead of a regex: fragment at the first '#', query at the first '?', then the scheme, then
+    the authority up to the first '/'. A scheme with a comma is not one: all of it belongs to the path."""
+    c = lambda name: F.col("__" + name)
+    return [
+        {"__url": F.translate(F.col(url), "\t\r\n", "")},
+        {"__nofrag": F.substring_index(c("url"), "#", 1)},
         {
-            prefix + "fragment": F.substr(c("url"), F.length(c("nofrag")) + 2),
-            prefix + "front": F.substring_index(c("nofrag"), "?", 1),
-        }
-    )
-    df = df.withColumns(
+            "__fragment": F.substr(c("url"), F.length(c("nofrag")) + 2),
+            "__front": F.substring_index(c("nofrag"), "?", 1),
+        },
         {
-            prefix + "query": F.substr(c("nofrag"), F.length(c("front")) + 2),
-            prefix + "lead": F.substring_index(c("front"), "://", 1),
-        }
-    )
-    df = df.withColumn(prefix + "absolute", ~F.contains(c("lead"), F.lit(",")))
-    df = df.withColumns(
+            "__query": F.substr(c("nofrag"), F.length(c("front")) + 2),
+            "__lead": F.substring_index(c("front"), "://", 1),
+        },
+        {"__absolute": ~F.contains(c("lead"), F.lit(","))},
         {
-            prefix + "scheme": F.when(c("absolute"), F.lower(c("lead"))).otherwise(""),
-            prefix + "rest": F.when(c("absolute"), F.substr(c("front"), F.length(c("lead")) + 4)).otherwise(c("front")),
-        }
-    )
-    df = df.withColumn(
-        prefix + "netloc", F.when(c("absolute"), F.substring_index(c("rest"), "/", 1)).otherwise("")
-    )
-    df = df.withColumn(prefix + "path", F.substr(c("rest"), F.length(c("netloc")) + 1))
-    return df.drop(*[prefix + n for n in ("url", "nofrag", "front", "lead", "absolute", "rest")])
+            "__scheme": F.when(c("absolute"), F.lower(c("lead"))).otherwise(""),
+            "__rest": F.when(c("absolute"), F.substr(c("front"), F.length(c("lead")) + 4)).otherwise(c("front")),
+        },
+        {"__netloc": F.when(c("absolute"), F.substring_index(c("rest"), "/", 1)).otherwise("")},
+        {"__path": F.substr(c("rest"), F.length(c("netloc")) + 1)},
+    ]
 
 
-def with_canonical_url(df: DataFrame, url: str = "raw_url") -> DataFrame:
-    """Add the seven canonical-URL strings."""
+def with_url_parts(df: DataFrame, url: str) -> DataFrame:
+    """Split an absolute URL at its delimiters into ``__scheme, __netloc, __path, __query, __fragment``."""
+    out = apply_stages(df, _part_stages(url))
+    return out.drop("__url", "__nofrag", "__front", "__lead", "__absolute", "__rest")
+
+
+@once
+def _canonical_stages(url: str) -> Stages:
     c = lambda name: F.col("__" + name)
-    out = df.withColumn("__original", strip(F.coalesce(F.col(url), F.lit(""))))
+    given = F.coalesce(F.col(url), F.lit(""))
     # A blank but not empty input still becomes "http://".
-    out = out.withColumn("__given", F.coalesce(F.col(url), F.lit("")) != "")
-    out = out.withColumn(
-        "__full",
-        F.when(c("original").rlike(SCHEME), c("original")).otherwise(F.concat(F.lit("http://"), c("original"))),
-    )
-    out = with_url_parts(out, "__full")
-    out = out.withColumns(
+    first: Stages = [
+        {"__original": strip(given), "__given": given != ""},
         {
-            "__ok": ~malformed_netloc(c("netloc")),
-            "__user": F.when(
-                F.contains(c("netloc"), F.lit("@")), F.concat(F.substring_index(c("netloc"), "@", 1), F.lit("@"))
-            ).otherwise(""),
-        }
-    )
-    out = out.withColumn("__hostport", F.substr(c("netloc"), F.length(c("user")) + 1))
-    out = out.withColumn(
-        "__hasport",
-        F.contains(c("hostport"), F.lit(":"))
-        & ~(F.startswith(c("hostport"), F.lit("[")) & F.endswith(c("hostport"), F.lit("]"))),
-    )
+            "__full": F.when(c("original").rlike(SCHEME), c("original")).otherwise(
+                F.concat(F.lit("http://"), c("original"))
+            )
+        },
+    ]
     # The port is the second ':'-piece, if it reads as an integer; sign, spaces and digit grouping are allowed.
-    out = out.withColumn("__portpiece", strip(F.split_part(c("hostport"), F.lit(":"), F.lit(2))))
-    out = out.withColumn(
-        "__port",
-        F.when(
-            c("hasport") & c("portpiece").rlike(r"\A[+-]?[0-9]+(_[0-9]+)*\z"),
-            F.regexp_replace(
-                F.regexp_replace(c("portpiece"), F.lit(r"[_+]"), F.lit("")), F.lit(r"^(-?)0+(?=[0-9])"), F.lit("$1")
-            ),
-        ).otherwise(""),
+    port = F.regexp_replace(
+        F.regexp_replace(c("portpiece"), F.lit(r"[_+]"), F.lit("")), F.lit(r"^(-?)0+(?=[0-9])"), F.lit("$1")
     )
     default_port = reduce(
         lambda a, b: a | b, [(c("scheme") == s) & (c("port") == p) for s, p in DEFAULT_PORTS.items()]
     )
-    out = out.withColumns(
-        {
-            "__host": F.lower(F.when(c("hasport"), F.substring_index(c("hostport"), ":", 1)).otherwise(c("hostport"))),
-            "__portsuffix": F.when((c("port") == "") | default_port, "")
-            .when(c("port") == "-0", ":0")
-            .otherwise(F.concat(F.lit(":"), c("port"))),
-            "__cpath": F.when((c("path") == "") & (c("query") == ""), "/").otherwise(
-                F.regexp_replace(c("path"), F.lit("/{2,}"), F.lit("/"))
-            ),
-        }
+    has_port = F.contains(c("hostport"), F.lit(":")) & ~(
+        F.startswith(c("hostport"), F.lit("[")) & F.endswith(c("hostport"), F.lit("]"))
     )
-    out = out.withColumn("__cnetloc", F.concat(c("user"), c("host"), c("portsuffix")))
     joined = _unsplit(c("scheme"), c("cnetloc"), c("cpath"), c("query"), c("fragment"))
-    ok, given = c("ok"), c("given")
+    blank = F.lit("")
 
     def field(good: Column, bad: Column) -> Column:
-        return F.when(~given, F.lit("")).when(ok, good).otherwise(bad)
+        return F.when(~c("given"), blank).when(c("ok"), good).otherwise(bad)
 
-    blank = F.lit("")
-    out = out.withColumns(
+    return [
+        *first,
+        *_part_stages("__full"),
+        {
+            "__ok": ~malformed_netloc(c("netloc")),
+            "__user": F.when(
+                F.contains(c("netloc"), F.lit("@")), F.concat(F.substring_index(c("netloc"), "@", 1), F.lit("@"))
+            ).otherwise(""),
+        },
+        {"__hostport": F.substr(c("netloc"), F.length(c("user")) + 1)},
+        {"__hasport": has_port, "__portpiece": strip(F.split_part(c("hostport"), F.lit(":"), F.lit(2)))},
+        {
+            "__port": F.when(c("hasport") & c("portpiece").rlike(r"\A[+-]?[0-9]+(_[0-9]+)*\z"), port).otherwise(""),
+            "__host": F.lower(
+                F.when(c("hasport"), F.substring_index(c("hostport"), ":", 1)).otherwise(c("hostport"))
+            ),
+            "__cpath": F.when((c("path") == "") & (c("query") == ""), "/").otherwise(
+                F.regexp_replace(c("path"), F.lit("/{2,}"), F.lit("/"))
+            ),
+        },
+        {
+            "__cnetloc": F.concat(
+                c("user"),
+                c("host"),
+                F.when((c("port") == "") | default_port, "")
+                .when(c("port") == "-0", ":0")
+                .otherwise(F.concat(F.lit(":"), c("port"))),
+            )
+        },
         {
             "original_url": c("original"),
             "normalized_url": field(joined, F.lower(c("original"))),
@@ -164,8 +161,13 @@ def with_canonical_url(df: DataFrame, url: str = "raw_url") -> DataFrame:
             "path": field(c("cpath"), blank),
             "query": field(c("query"), blank),
             "fragment": field(c("fragment"), blank),
-        }
-    )
+        },
+    ]
+
+
+def with_canonical_url(df: DataFrame, url: str = "raw_url") -> DataFrame:
+    """Add the seven canonical-URL strings."""
+    out = apply_stages(df, _canonical_stages(url))
     return out.select(*[x for x in df.columns if x not in CANONICAL_FIELDS], *CANONICAL_FIELDS)
 
 
@@ -224,24 +226,20 @@ def _bool(condition: Column) -> Column:
     return condition.cast("int").cast("double")
 
 
-def with_url_features(df: DataFrame, intended: bool = False) -> DataFrame:
-    """Add the 42 URL features, all doubles, to a frame with the canonical-URL columns.
-
-    Two features read parts that canonicalisation has already cleaned away and so are (nearly) always 0: the port
-    and the double slash. ``intended=True`` takes both from the original URL instead.
-    """
+@once
+def _feature_stages(intended: bool) -> Stages:
     url, domain, path = F.col("normalized_url"), F.col("domain"), F.col("path")
     c = lambda name: F.col("__" + name)
-    out = df.withColumns({"__root": root_domain(domain), "__low": F.lower(url)})
-    out = out.withColumns(
+    parts: Stages = [
+        {"__root": root_domain(domain), "__low": F.lower(url)},
         {
             "__sub": F.when(
                 c("root") != "", F.substr(domain, F.lit(1), F.greatest(F.length(domain) - F.length(c("root")), F.lit(0)))
             ).otherwise(""),
             "__tld": F.when(F.contains(domain, F.lit(".")), F.lower(F.substring_index(domain, ".", -1))).otherwise(""),
-        }
-    )
-    out = out.withColumn("__subtrim", F.rtrim(c("sub"), F.lit(".")))
+        },
+        {"__subtrim": F.rtrim(c("sub"), F.lit("."))},
+    ]
     if intended:
         netloc = F.regexp_extract("original_url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)|^([^/?#]*)", 0)
         port = F.regexp_extract(netloc, r":(\d+)$", 1)
@@ -305,9 +303,17 @@ def with_url_features(df: DataFrame, intended: bool = False) -> DataFrame:
         "digit_ratio": F.when(length > 0, F.col("digit_count") / length).otherwise(0.0),
         "keyword_density": F.when(length > 0, F.col("keyword_count") / (length / 10.0)).otherwise(0.0),
     }
-    for stage in (first, second, third):
-        out = out.withColumns({name: value.cast("double") for name, value in stage.items()})
-    return out.select(*df.columns, *URL_FEATURES)
+    doubles = [{name: value.cast("double") for name, value in stage.items()} for stage in (first, second, third)]
+    return [*parts, *doubles]
+
+
+def with_url_features(df: DataFrame, intended: bool = False) -> DataFrame:
+    """Add the 42 URL features, all doubles, to a frame with the canonical-URL columns.
+
+    Two features read parts that canonicalisation has already cleaned away and so are (nearly) always 0: the port
+    and the double slash. ``intended=True`` takes both from the original URL instead.
+    """
+    return apply_stages(df, _feature_stages(intended)).select(*df.columns, *URL_FEATURES)
 
 
 def url_vector(df: DataFrame, output: str = "features") -> DataFrame:

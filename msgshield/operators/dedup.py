@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import template_skeleton
+from ..session import stored
 from .joins import by_digest, skew_join
 from .ordering import sequential_id
 
@@ -46,16 +47,22 @@ def template_stats(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     return sequential_id(stats, "first_ordinal", "template_id")
 
 
+def template_ids(df: DataFrame, skeleton: str = "template_skeleton", ordinal: str = "ordinal") -> DataFrame:
+    """(ordinal, template_id): equal skeletons share a dense id in first-seen order.
+
+    Works on a stored narrow table of ordinals and digests, so the skeletons are computed once. Templates are joined
+    back by digest; one that covers a large share of the rows is spread over many tasks.
+    """
+    narrow = stored(df.select(ordinal, by_digest(F.col(skeleton)).alias("__digest")), "template-digests")
+    first = narrow.groupBy("__digest").agg(F.min(ordinal).alias("__first"), F.count(F.lit(1)).alias("__size"))
+    ids = sequential_id(first.select("__digest", "__first"), "__first", "template_id")
+    table = ids.select("__digest", "template_id")
+    counts = first.select("__digest", "__size")
+    joined = skew_join(narrow, table, "__digest", "inner", spread=ordinal, counts=counts)
+    return joined.select(ordinal, "template_id")
+
+
 def cluster_templates(df: DataFrame, text: str = "cleaned_text", ordinal: str = "ordinal") -> DataFrame:
-    """Add ``template_skeleton`` and ``template_id``; equal skeletons share a dense id in first-seen order."""
+    """Add ``template_skeleton`` and ``template_id``; the join back is on the unique ordinal."""
     rows = df.withColumn("template_skeleton", template_skeleton(F.col(text)))
-    rows = rows.withColumn("template_digest", by_digest(F.col("template_skeleton")))
-    first = rows.groupBy("template_digest").agg(
-        F.min(ordinal).alias("first_ordinal"), F.count(F.lit(1)).alias("__size")
-    )
-    ids = sequential_id(first, "first_ordinal", "template_id")
-    heavy = first.select("template_digest", "__size")
-    joined = skew_join(
-        rows, ids.select("template_digest", "template_id"), "template_digest", "inner", spread=ordinal, counts=heavy
-    )
-    return joined.drop("template_digest")
+    return rows.join(template_ids(rows, "template_skeleton", ordinal), ordinal)

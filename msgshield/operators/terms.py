@@ -39,7 +39,10 @@ def vocabulary(df: DataFrame, terms: str = "terms", size: int = 10_000) -> DataF
             F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
         ),
     )
-    total = df.select(F.inline(emitted)).groupBy("term").agg(F.sum("tf").alias("total"), F.sum("df").alias("df"))
+    # The outer form keeps empty documents until here; the plain form would test the whole list for emptiness first,
+    # and so build it twice.
+    rows = df.select(F.inline_outer(emitted)).filter(F.col("term").isNotNull())
+    total = rows.groupBy("term").agg(F.sum("tf").alias("total"), F.sum("df").alias("df"))
     return total.orderBy(F.desc("total"), "term").limit(size)
 
 
@@ -53,7 +56,8 @@ def tfidf(
     rows = with_terms(df.select(doc, text), text, "__terms", bigrams)
     n = df.count()
     vocab = vocabulary(rows, "__terms", size).withColumn("idf", F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0)
-    known = join_small(rows.select(doc, F.explode("__terms").alias("term")), vocab.select("term", "idf"), ["term"], "inner")
+    # Outer for the same reason as above; an empty document's null finds no term.
+    known = join_small(rows.select(doc, F.explode_outer("__terms").alias("term")), vocab.select("term", "idf"), ["term"], "inner")
     counts = known.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
     tf = F.log(F.col("tf").cast("double")) + 1.0 if sublinear else F.col("tf").cast("double")
     weighted = counts.select(doc, "term", (tf * F.col("idf")).alias("__w"))
