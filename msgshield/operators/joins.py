@@ -55,10 +55,15 @@ def by_digest(col: Column) -> Column:
     return F.coalesce(F.sha2(F.coalesce(col, F.lit("")), 256), F.lit(""))
 
 
-def exclude_known(external: DataFrame, master: DataFrame, text: str, spread: str) -> DataFrame:
-    """Rows whose text is not among the master's texts. Compared by digest, so no text is shuffled as a key."""
+def exclude_known(external: DataFrame, master: DataFrame, text: str, spread: str | None = None) -> DataFrame:
+    """Rows whose text is not among the master's texts. Compared by digest, so no text is shuffled as a key.
+
+    ``spread`` names a column to spread the copies of a frequent text by; distinct texts need none.
+    """
     known = master.select(by_digest(F.col(text)).alias("__digest")).distinct()
     rows = external.withColumn("__digest", by_digest(F.col(text)))
+    if spread is None:
+        return rows.join(known, "__digest", "left_anti").drop("__digest")
     return skew_join(rows, known, "__digest", "left_anti", spread).drop("__digest")
 
 

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows that may pass through the driver as a checked small table.
 SMALL_ROWS = 10_000
-# Most rows of one bucket when the order key is a unique integer.
-BUCKET_WIDTH = 1 << 16
-NUMBERING_WIDTH = 1 << 20
+# A bucket of a unique integer key holds at most 2 ** bits rows.
+BUCKET_BITS = 16
+NUMBERING_BITS = 20
 
 
 def shuffle_key(seed: int, key: Column) -> Column:
@@ -28,9 +29,9 @@ def hash_bucket(digest: Column) -> Column:
     return F.substring(digest, 1, 4)
 
 
-def integer_bucket(value: Column, width: int = BUCKET_WIDTH) -> Column:
-    """Order-preserving bucket of a unique integer: at most ``width`` rows each."""
-    return F.floor(value / F.lit(width))
+def integer_bucket(value: Column, bits: int = BUCKET_BITS) -> Column:
+    """Order-preserving bucket of a unique integer: at most ``2 ** bits`` rows each."""
+    return F.shiftright(value.cast("long"), bits)
 
 
 def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
@@ -47,16 +48,16 @@ def join_small(df: DataFrame, table: DataFrame, on: list[str], how: str = "left"
     return df.join(F.broadcast(small), on, how) if small is not None else df.join(table, on, how)
 
 
-def sequential_id(df: DataFrame, order: str, output: str, start: int = 0, width: int = NUMBERING_WIDTH) -> DataFrame:
+def sequential_id(df: DataFrame, order: str, output: str, start: int = 0, bits: int = NUMBERING_BITS) -> DataFrame:
     """Number the rows 0, 1, 2, ... by a unique integer column.
 
     Two levels of bucket totals give every bucket its offset; a row adds its rank inside the bucket, which holds at
-    most ``width`` rows because the order column is unique.
+    most ``2 ** bits`` rows because the order column is unique.
     """
     bucket, upper = F.col("__bucket"), F.col("__upper")
-    rows = df.withColumn("__bucket", integer_bucket(F.col(order), width))
+    rows = df.withColumn("__bucket", integer_bucket(F.col(order), bits))
     totals = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    totals = totals.withColumn("__upper", F.floor(bucket / 65536))
+    totals = totals.withColumn("__upper", F.shiftright(bucket, 16))
     before = (Window.unboundedPreceding, -1)
     uppers = totals.groupBy("__upper").agg(F.sum("__n").alias("__un"))
     uppers = uppers.select(
@@ -144,15 +145,21 @@ def weight_cutoff(rows: DataFrame, digest: str, fraction: float) -> tuple[str |
     return None, total, 0
 
 
-def prefix_sums(df: DataFrame, groups: list[str], order: str, values: list[str], buckets: int = 256) -> DataFrame:
+def prefix_sums(
+    df: DataFrame, groups: list[str], order: str, values: list[str], buckets: int | None = None
+) -> DataFrame:
     """Add ``<value>_before``: the sum over smaller ``order`` keys of the same group. ``order`` is unique per group.
 
-    The key is numeric with any distribution, so the buckets follow its approximate quantiles.
+    The key is numeric with any distribution, so the buckets follow its approximate quantiles; by default there are as
+    many as shuffle partitions.
     """
-    steps = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(df.approxQuantile(order, steps, 0.25 / buckets)))
-    edges = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    rows = df.withColumn("__bucket", F.size(F.filter(edges, lambda b: b < F.col(order))))
+    n = buckets or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted(set(df.approxQuantile(order, [i / n for i in range(1, n)], 0.25 / n)))
+    splits = [float("-inf"), *bounds, float("inf")]
+    if bounds:
+        rows = Bucketizer(splits=splits, inputCol=order, outputCol="__bucket").transform(df)
+    else:
+        rows = df.withColumn("__bucket", F.lit(0.0))
     before = (Window.unboundedPreceding, -1)
     totals = rows.groupBy(*groups, "__bucket").agg(*[F.sum(v).alias(f"__{v}") for v in values])
     by_bucket = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__bucket").rowsBetween(*before)

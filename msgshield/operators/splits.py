@@ -91,14 +91,15 @@ def split_templates(
 
 
 def balanced_sample(df: DataFrame, key: str, cap: int = 250, label: str = "label", seed: int = SEED) -> DataFrame:
-    """Equally many rows of label 0 and 1: the smaller class, at most ``cap`` each, in hash order.
+    """Equally many rows of label 0 and 1: the smaller class, at most ``cap`` each, in hash order of a unique key.
 
-    The per-label limit is small enough to be applied before the shuffle, in every map task.
+    The cut-off of each label leaves ``cap`` rows of it before anything is brought together.
     """
     rows = df.filter(F.col(label).isin(0, 1)).withColumn("__hash", shuffle_key(seed, F.col(key)))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("__hash"))
-    top = rows.withColumn("__rank", rank).filter(F.col("__rank") <= cap)
-    # A rank is kept only if the other label has a row of that rank too. The window spans at most 2 * cap rows.
+    cuts = rank_cutoffs(rows, [label], "__hash", {"__cut": lambda n: F.least(n, F.lit(cap))})
+    top = join_small(rows, cuts, [label], "inner").filter(F.col("__hash") <= F.col("__cut"))
+    top = top.withColumn("__rank", F.row_number().over(Window.partitionBy(label).orderBy("__hash")))
+    # A rank is kept only if the other label has a row of that rank too.
     labels = F.size(F.collect_set(label).over(Window.partitionBy("__rank")))
     return top.withColumn("__labels", labels).filter(F.col("__labels") == 2).select(*df.columns)
 

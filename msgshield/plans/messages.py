@@ -71,6 +71,6 @@ def external_holdout(external: DataFrame, master: DataFrame | None = None, ordin
     )
     rows = keep_first(rows, "cleaned_text", ordinal)
     if master is not None:
-        rows = exclude_known(rows, master.select(strip(F.col("cleaned_text")).alias("cleaned_text")), "cleaned_text", ordinal)
+        rows = exclude_known(rows, master.select(strip(F.col("cleaned_text")).alias("cleaned_text")), "cleaned_text")
     rows = map_external_label(rows).withColumn("label_name", label_name(F.col("label")))
     return rows if "channel" in rows.columns else rows.withColumn("channel", F.lit("SMS"))

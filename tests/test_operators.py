@@ -17,10 +17,10 @@ def md5(seed, key):
 @pytest.mark.parametrize("partitions", [1, 8])
 def test_sequential_id(spark, partitions):
     rng = random.Random(1)
-    keys = rng.sample(range(0, 10**13), 500) + list(range(100))
+    keys = rng.sample(range(-10**6, 2**62), 500) + list(range(100))
     df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(partitions)
-    for width in (7, 1 << 20):
-        rows = ordering.sequential_id(df, "k", "n", start=1, width=width).collect()
+    for bits in (3, 20):
+        rows = ordering.sequential_id(df, "k", "n", start=1, bits=bits).collect()
         assert {r.k: r.n for r in rows} == {k: i for i, k in enumerate(sorted(keys), 1)}
 
 
