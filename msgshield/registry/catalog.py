@@ -5,8 +5,10 @@ Conventions on both sides: integers and flags as BIGINT, doubles rounded to 6 di
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,12 +20,15 @@ from ..functions.fixed import MESSAGE_ADVICE, MESSAGE_CLEAN_SENTENCE, MESSAGE_LI
 from ..functions.fixed import MESSAGE_SIGNAL_SENTENCES, MESSAGE_STATISTICAL_SENTENCE, MESSAGE_UPPERCASE_SENTENCE
 from ..functions.fixed import MESSAGE_TARGETS, QR_URL_COLUMNS, URL_FEATURES, URL_INDICATORS, URL_KEYWORDS, URL_POLICY
 from ..functions.fixed import URL_SUITES
-from ..functions.signals import with_message_signals
-from ..functions.text import channel_prefixed, with_channel, with_message_stats
-from ..functions.urls import char_decode, char_ids, root_domain, shannon_entropy, with_canonical_url, with_url_features
+from ..functions.qr import with_extracted_url
+from ..functions.signals import message_vector, with_message_signals
+from ..functions.text import channel_prefixed, template_skeleton, with_channel, with_message_stats
+from ..functions.urls import char_decode, char_ids, root_domain, shannon_entropy, url_vector, with_canonical_url
+from ..functions.urls import with_url_features
 from ..operators import metrics, quality, terms
-from ..operators.dedup import cluster_templates, keep_first, template_stats
-from ..operators.joins import leaked_keys, members, non_members
+from ..operators.dedup import cluster_templates, keep_first, keep_first_numbered, template_stats
+from ..operators.joins import leaked_keys, map_external_label, members, non_members
+from ..operators.ordering import formatted_id
 from ..operators.splits import balanced_sample, split_sizes, stratified_parts
 from ..plans import messages as message_jobs
 from ..plans import qr as qr_jobs
@@ -192,9 +197,6 @@ def dedup_first(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT ordinal, 'MSG_' || lpad(CAST(number AS VARCHAR), 6, '0') AS message_id FROM clean",
 )
 def message_ids(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.dedup import keep_first_numbered
-    from ..operators.ordering import formatted_id
-
     kept = message_jobs.kept_messages(inputs.raw_messages(spark, sf)).select("ordinal", "cleaned_text")
     rows = keep_first_numbered(kept, "cleaned_text", "ordinal", "number")
     return rows.select("ordinal", formatted_id("MSG", F.col("number")).alias("message_id"))
@@ -212,8 +214,6 @@ def cyber_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("template_skeleton", [*CLEAN_CHAIN, "skeletons"], "SELECT ordinal, template_skeleton FROM skeletons")
 def template_skeletons(spark: SparkSession, sf: str) -> DataFrame:
-    from ..functions.text import template_skeleton
-
     return _clean_text(spark, sf).select("ordinal", template_skeleton(F.col("cleaned_text")).alias("template_skeleton"))
 
 
@@ -232,8 +232,6 @@ def template_clusters(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT CAST(template_id AS BIGINT) AS template_id, CAST(size AS BIGINT) AS size, CAST(label AS BIGINT) AS label, channel FROM templates",
 )
 def template_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    from ..functions.text import template_skeleton
-
     rows = _clean_text(spark, sf).withColumn("template_skeleton", template_skeleton(F.col("cleaned_text")))
     return template_stats(rows).select("template_id", "size", "label", "channel")
 
@@ -266,8 +264,6 @@ def message_split_sizes(spark: SparkSession, sf: str) -> DataFrame:
 )
 def template_leaks(spark: SparkSession, sf: str) -> DataFrame:
     """Templates on both sides of the split: none, so the only row is the size of the training set."""
-    from ..functions.text import template_skeleton
-
     rows = message_jobs.message_splits(_stored_text(spark, sf))
     rows = rows.withColumn("digest", F.md5(template_skeleton(F.col("cleaned_text"))))
     train = rows.filter(F.col("split") == "train")
@@ -309,8 +305,6 @@ def holdout(spark: SparkSession, sf: str) -> DataFrame:
     "WHERE final_label IN ('ham', 'spam', 'smishing')",
 )
 def label_map(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.joins import map_external_label
-
     return map_external_label(inputs.external_messages(spark, sf)).select("ordinal", "label")
 
 
@@ -388,8 +382,6 @@ _QR = ["decodes", "extracted", "qr_urls"]
     "SELECT ordinal, nullif(normalized_url, '') AS normalized_url, content, content_type FROM qr_urls",
 )
 def extract_url(spark: SparkSession, sf: str) -> DataFrame:
-    from ..functions.qr import with_extracted_url
-
     rows = with_extracted_url(inputs.qr_decodes(spark, sf))
     return rows.select("ordinal", "normalized_url", "content", "content_type")
 
@@ -786,8 +778,6 @@ def _fill(text: str, value: str) -> str:
     return f"{lit(head)} || {value} || {lit(tail)}"
 
 
-import re  # noqa: E402
-
 _INDICATOR_RULES = {
     "has_ip_host": ("has_ip_host = 1", "domain"),
     "has_shortener": ("has_shortener = 1", None),
@@ -934,6 +924,28 @@ def score_qr(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("ordinal", "risk_score", "severity", "action", "success", "error", "normalized_url")
 
 
+def _norm_sql(features: dict[str, str]) -> str:
+    return big(str(len(features))) + " AS width, round(sqrt(" + " + ".join(f"({n})::DOUBLE * ({n})" for n in features) + "), 6) AS norm"
+
+
+def _norm(df: DataFrame) -> DataFrame:
+    values = vector_to_array("features")
+    norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x))
+    return df.select("ordinal", F.size(values).alias("width"), norm.alias("norm"))
+
+
+@register("message_vector", [*CLEAN_CHAIN, "links", "signals"], f"SELECT ordinal, {_norm_sql(SIGNALS)} FROM signals")
+def message_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Width and length of the assembled signal vectors."""
+    return _norm(message_vector(with_message_signals(_clean_text(spark, sf))))
+
+
+@register("url_vector", [*_CANON, "url_parts", "url_features"], f"SELECT ordinal, {_norm_sql(URL_FEATURE_SQL)} FROM url_features")
+def url_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Width and length of the assembled URL vectors."""
+    return _norm(url_vector(with_url_features(with_canonical_url(inputs.url_variants(spark, sf)))))
+
+
 # --- terms, scaling, weights ----------------------------------------------------------------------
 
 _WORDS = f"regexp_extract_all(lower(text), '{sql.W}{{2,}}')"
