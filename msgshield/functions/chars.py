@@ -85,7 +85,9 @@ def strip(col: Column) -> Column:
 
 def lower_plain(col: Column) -> Column:
     """Lower case with the three letters that case-insensitive search equates with s, i and k folded too."""
-    return F.lower(F.translate(col, "\u017f\u0130\u212a", "sik"))
+    for char, plain in (("\u017f", "s"), ("\u0130", "i"), ("\u212a", "k")):
+        col = F.replace(col, F.lit(char), F.lit(plain))
+    return F.lower(col)
 
 
 def contains_any(col: Column, words: list[str]) -> Column:

@@ -14,9 +14,10 @@ from .chars import token_count, with_ratios
 from .fixed import AUDIT_HEADERS, CHANNEL_HEADERS, CHAT_WORDS, HTML_MARKERS, SMS_MAX_LENGTH
 
 LINK = rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+"
+# The look-aheads name the possible first characters, so most positions are left at once.
 PHONE = (
-    rf"(\+?\p{{Nd}}{{1,3}}[{SPACE}-]?)?\(?\p{{Nd}}{{3}}\)?[{SPACE}-]?\p{{Nd}}{{3}}[{SPACE}-]?\p{{Nd}}{{4}}"
-    rf"|(?<![{WORD}])\p{{Nd}}{{5,6}}(?![{WORD}])"
+    rf"(?=[+(\p{{Nd}}])(?:\+?\p{{Nd}}{{1,3}}[{SPACE}-]?)?\(?\p{{Nd}}{{3}}\)?[{SPACE}-]?\p{{Nd}}{{3}}[{SPACE}-]?\p{{Nd}}{{4}}"
+    rf"|(?=\p{{Nd}})(?<![{WORD}])\p{{Nd}}{{5,6}}(?![{WORD}])"
 )
 
 
