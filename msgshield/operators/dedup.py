@@ -33,16 +33,15 @@ def keep_first_numbered(df: DataFrame, key: str, ordinal: str, output: str, star
 
 
 def template_stats(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
-    """One row per template: dense id in first-seen order, row count, highest label, channel of the first row.
+    """One row per template: digest, dense id in first-seen order, row count, highest label, channel of the first row.
 
-    Expects ``template_skeleton``, ``label`` and ``channel``.
+    Expects ``template_skeleton``, ``label`` and ``channel``. The skeletons themselves are not moved.
     """
     stats = df.groupBy(by_digest(F.col("template_skeleton")).alias("template_digest")).agg(
         F.min(ordinal).alias("first_ordinal"),
         F.count("label").alias("size"),
         F.max("label").alias("label"),
         F.min_by("channel", ordinal).alias("channel"),
-        F.min_by("template_skeleton", ordinal).alias("template_skeleton"),
     )
     return sequential_id(stats, "first_ordinal", "template_id")
 

@@ -482,13 +482,13 @@ _RATES = {
 }
 
 
-@register(
-    "decode_stats",
-    [*_QR, "qr_raw", ("s", "SELECT " + ", ".join(f"{big(v)} AS {k}" for k, v in _DECODE_STATS.items()) + " FROM qr_raw")],
-    "SELECT *, "
-    + ", ".join(f"coalesce(round({a} * 100.0::DOUBLE / nullif({b}, 0), 6), 0.0) AS {k}" for k, (a, b) in _RATES.items())
-    + " FROM s",
+_DECODE_CTE = ("s", "SELECT " + ", ".join(f"{big(v)} AS {k}" for k, v in _DECODE_STATS.items()) + " FROM qr_raw")
+_RATE_COLUMNS = ", ".join(
+    f"coalesce(round({a} * 100.0::DOUBLE / nullif({b}, 0), 6), 0.0) AS {k}" for k, (a, b) in _RATES.items()
 )
+
+
+@register("decode_stats", [*_QR, "qr_raw", _DECODE_CTE], f"SELECT *, {_RATE_COLUMNS} FROM s")
 def decode_stats(spark: SparkSession, sf: str) -> DataFrame:
     return quality.decode_statistics(qr_jobs.qr_raw_table(inputs.qr_decodes(spark, sf)))
 
@@ -623,24 +623,26 @@ def confusion(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.confusion(inputs.scored_rows(spark, sf), "channel", "split")
 
 
-@register(
-    "metrics_matrix",
-    [
-        "scored",
-        ("levels", "SELECT 'Overall Master Test Set' AS level, * FROM scored WHERE split <> 'test_c' "
-         "UNION ALL SELECT 'Channel: ' || channel, * FROM scored WHERE split <> 'test_c' "
-         "UNION ALL SELECT CASE split WHEN 'test_a' THEN 'Test A (Standard Stratified)' WHEN 'test_b' THEN 'Test B (Unseen Templates)' "
-         "ELSE 'Test C (External Unseen Dataset)' END, * FROM scored"),
-        ("cells", f"SELECT level, {_CELLS} FROM levels GROUP BY level"),
-        ("figures", "SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _MACRO.items()) + " FROM cells"),
-        ("targets", "SELECT * FROM (VALUES " + ", ".join(f"({lit(k)}, {v}::DOUBLE)" for k, v in MESSAGE_TARGETS.items())
-         + ") AS t(level, goal)"),
-    ],
+_MATRIX_CTES = [
+    "scored",
+    ("levels", "SELECT 'Overall Master Test Set' AS level, * FROM scored WHERE split <> 'test_c' "
+     "UNION ALL SELECT 'Channel: ' || channel, * FROM scored WHERE split <> 'test_c' "
+     "UNION ALL SELECT CASE split WHEN 'test_a' THEN 'Test A (Standard Stratified)' WHEN 'test_b' THEN 'Test B (Unseen Templates)' "
+     "ELSE 'Test C (External Unseen Dataset)' END, * FROM scored"),
+    ("cells", f"SELECT level, {_CELLS} FROM levels GROUP BY level"),
+    ("figures", "SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _MACRO.items()) + " FROM cells"),
+    ("targets", "SELECT * FROM (VALUES " + ", ".join(f"({lit(k)}, {v}::DOUBLE)" for k, v in MESSAGE_TARGETS.items())
+     + ") AS t(level, goal)"),
+]
+_MATRIX_SELECT = (
     "SELECT level, TP + FP + TN + FN AS samples, "
     + ", ".join(f"{dbl(sql.round_even(k, 2))} AS {k}" for k in _MACRO)
     + ", '>= ' || printf('%.1f', goal) || '%' AS target, CASE WHEN accuracy >= goal - 2.5::DOUBLE THEN 'PASS' ELSE 'EVAL' END AS status, "
-    "TP, FP, TN, FN FROM figures JOIN targets USING (level)",
+    "TP, FP, TN, FN FROM figures JOIN targets USING (level)"
 )
+
+
+@register("metrics_matrix", _MATRIX_CTES, _MATRIX_SELECT)
 def metrics_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.message_matrix(inputs.scored_rows(spark, sf))
 
@@ -999,7 +1001,8 @@ def tfidf_sublinear(spark: SparkSession, sf: str) -> DataFrame:
 )
 def topk_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Five strongest words per document; the coefficients are log odds from the labelled documents."""
-    weights = terms.tfidf(inputs.table(spark, sf, "documents"), "doc_id", "text")
+    # Read twice, for the coefficients and for the scores.
+    weights = stored(terms.tfidf(inputs.table(spark, sf, "documents"), "doc_id", "text"), "weights")
     labelled = weights.join(inputs.table(spark, sf, "labels"), "doc_id")
     odds = labelled.groupBy("term").agg(
         F.log((F.count_if(F.col("toxic") == 1) + 1.0) / (F.count_if(F.col("toxic") == 0) + 1.0)).alias("coefficient")

@@ -49,9 +49,10 @@ def raw_messages(spark: SparkSession, sf: str) -> DataFrame:
             F.col("text"),
             F.when(F.col("role") == "user", 0).otherwise(1),
         ),
-        rows(pages, F.col("page_id"), 3, F.col("html"), _http_label()),
-        rows(pages, F.col("page_id"), 4, F.col("url"), _http_label()),
-        rows(pages, F.col("page_id"), 5, _title(), _http_label()),
+        # Source, address and title of a page, from one scan.
+        pages.select("page_id", _http_label().alias("label"), F.posexplode(F.array("html", "url", _title()))).select(
+            (F.col("page_id") * 8 + 3 + F.col("pos")).alias("ordinal"), F.col("col").alias("text"), "label"
+        ),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -21,8 +21,9 @@ from ..sources import readers, writers
 from ..streaming.ingest import ingest_decodes, read_ingested
 from ..streaming.scoring import stream_score, write_scores
 from . import inputs, sql
-from .catalog import _CORPUS, _QR, _SCORED_URLS, _flat_indicators, _score_messages_select, _score_urls_select
-from .catalog import _scored_messages, _stored_corpus, _stored_text, _MSG_PROB, register
+from .catalog import _CORPUS, _DECODE_CTE, _MATRIX_CTES, _MATRIX_SELECT, _MSG_PROB, _QR, _RATE_COLUMNS, _SCORED_URLS
+from .catalog import _flat_indicators, _score_messages_select, _score_urls_select, _scored_messages, _stored_corpus
+from .catalog import _stored_text, register
 from .sql import CLEAN_CHAIN, URL_SPLIT_CHAIN, big
 
 # --- sources and sinks ---------------------------------------------------------------------------
@@ -126,13 +127,44 @@ def decode_tables(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@register("decode_report")
+def _report_sql() -> str:
+    """The report lines as one SQL list over the statistics ``d``."""
+
+    def line(template: str, columns: list[str]) -> str:
+        if not columns:
+            return sql.lit(template)
+        head = template.split("%", 1)[0]
+        if "%," in template:
+            return f"{sql.lit(head)} || format('{{:,}}', {columns[0]})"
+        return f"{sql.lit(head)} || printf('%.2f', {columns[0]}) || '%'"
+
+    return "[" + ", ".join(line(*entry) for entry in DECODE_REPORT) + "]"
+
+
+@register(
+    "decode_report",
+    [*_QR, "qr_raw", _DECODE_CTE, ("d", f"SELECT *, {_RATE_COLUMNS} FROM s"),
+     ("l", f"SELECT {_report_sql()} AS lines FROM d")],
+    "SELECT CAST(i - 1 AS BIGINT) AS line_no, lines[i] AS line FROM (SELECT lines, unnest(generate_series(1, len(lines))) AS i FROM l)",
+)
 def decode_report(spark: SparkSession, sf: str) -> DataFrame:
     """K6: report lines of the decode statistics."""
     return report_lines(decode_statistics(qr_jobs.qr_raw_table(inputs.qr_decodes(spark, sf))), DECODE_REPORT)
 
 
-@register("metrics_report")
+_REPORT_LINE = (
+    "'| **' || level || '** | ' || samples || ' | **' || printf('%.2f', accuracy) || '%** | ' || printf('%.2f', macro_f1) || '% | ' "
+    "|| printf('%.2f', macro_precision) || '% | ' || printf('%.2f', macro_recall) || '% | ' || target || ' | ' || status || ' |'"
+)
+
+
+@register(
+    "metrics_report",
+    [*_MATRIX_CTES, ("m", _MATRIX_SELECT)],
+    f"SELECT CAST(1 + row_number() OVER (ORDER BY level) AS BIGINT) AS line_no, {_REPORT_LINE} AS line FROM m "
+    f"UNION ALL SELECT 0, {sql.lit('| ' + ' | '.join(evaluation.MESSAGE_REPORT) + ' |')} "
+    f"UNION ALL SELECT 1, '| :--- |' || repeat(' :---: |', {len(evaluation.MESSAGE_REPORT) - 1})",
+)
 def metrics_report(spark: SparkSession, sf: str) -> DataFrame:
     """K6: the message matrix as Markdown lines."""
     return markdown_rows(metrics.message_matrix(inputs.scored_rows(spark, sf)), evaluation.MESSAGE_REPORT, ["level"])

@@ -38,14 +38,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session may go without that setting; it gets a temporary folder.
+    Everything of one application lies in one subfolder, which can be deleted when the application is done. Only a
+    local session may go without the setting; it gets a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="msgshield-")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(root, f"msgshield-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -222,17 +222,27 @@ def test_ingest_resumes(spark, tmp_path):
     assert run() == (40, 34, 6)
 
 
+def test_append_only_pending(spark, tmp_path):
+    path = str(tmp_path / "done")
+    files = spark.createDataFrame([(f"f{i}.png", i) for i in range(10)], "image_filename string, i int")
+    writers.append_rows(files.filter("i < 4"), path)
+    for _ in range(2):
+        writers.append_rows(readers.pending_files(files, spark.read.parquet(path)).select("image_filename", "i"), path)
+        assert sorted(r.i for r in spark.read.parquet(path).collect()) == list(range(10))
+
+
 def test_shared_dir():
     from types import SimpleNamespace
 
     def session(master, **conf):
         return SimpleNamespace(
-            conf=SimpleNamespace(get=lambda key, default: conf.get(key, default)), sparkContext=SimpleNamespace(master=master)
+            conf=SimpleNamespace(get=lambda key, default: conf.get(key, default)),
+            sparkContext=SimpleNamespace(master=master, applicationId="app-1"),
         )
 
     named = session("yarn", **{"spark.checkpoint.dir": "hdfs://host/work"})
-    assert shared_dir(named, "x").startswith("hdfs://host/work/x-")
-    assert os.path.isdir(os.path.dirname(shared_dir(session("local[2]"), "x")))
+    assert shared_dir(named, "x").startswith("hdfs://host/work/msgshield-app-1/x-")
+    assert os.path.isdir(os.path.dirname(os.path.dirname(shared_dir(session("local[2]"), "x"))))
     with pytest.raises(ValueError):
         shared_dir(session("yarn"), "x")
 
