@@ -26,7 +26,7 @@ def stratified_parts(
     df: DataFrame, strata: list[str], key: str, parts: dict[str, float], rest: str, seed: int = SEED
 ) -> DataFrame:
     """Add ``split``: per stratum, in hash order of the unique ``key``, the first int(n * f1) rows get the first
-    name, the next int(n * f2) the second, the others ``rest``."""
+    name, the next int(n * f2) the second, the others ``rest``. Reads keys and strata twice; pass a stored table."""
     rows = df.withColumn("__hash", shuffle_key(seed, F.col(key)))
     names = list(parts)
 

@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from msgshield.plans import messages, qr, scoring, training, urls
+from msgshield.plans import evaluation, messages, qr, scoring, training, urls
 from msgshield.session import shared_dir, stored
 from msgshield.sources import readers, writers
 from msgshield.streaming.ingest import ingest_decodes, read_ingested
@@ -89,6 +89,12 @@ def test_url_model_bundle(spark, tmp_path):
     test = splits.filter(F.col("split") == "test_random")
     a = sorted(map(tuple, training.predict_urls(bundle, test).collect()))
     assert a == sorted(map(tuple, training.predict_urls(writers.load_bundle(path), test).collect()))
+    out = str(tmp_path / "report")
+    matrix = {r.suite: r for r in evaluation.evaluate_urls(bundle, urls.test_suites(splits), out).collect()}
+    assert set(matrix) == {"test_random", "test_unseen_domain", "test_qr_unseen", "test_temporal"}
+    assert matrix["test_random"].samples == test.count()
+    lines = [r.value for r in spark.read.text(f"{out}/url_benchmark_md").collect()]
+    assert len(lines) == 6 and lines[2].startswith("| **Test 1 (Standard Stratified Random)** | ")
     scored = scoring.score_urls(test.select("raw_url"), model=bundle).collect()
     assert len(scored) == test.count() and all(0 <= r.risk_score <= 100 for r in scored)
 
@@ -104,6 +110,10 @@ def test_message_model(spark, tmp_path, classifier):
     writers.save_bundle(model, path)
     again = training.predict_messages(writers.load_bundle(path), df).collect()
     assert sorted(map(tuple, out)) == sorted(map(tuple, again))
+    tests = df.withColumn("split", F.when(F.col("label") == 0, "test_a").otherwise("test_c"))
+    levels = {r.level: r.samples for r in evaluation.evaluate_messages(model, tests, str(tmp_path / "r")).collect()}
+    assert levels == {"Overall Master Test Set": 60, "Channel: SMS": 60, "Test A (Standard Stratified)": 60,
+                      "Test C (External Unseen Dataset)": 60}
     scored = scoring.score_messages(df.withColumn("text", F.col("cleaned_text")), model=model)
     assert {r.prediction for r in scored.filter("label = 1").collect()} == {"MALICIOUS"}
 
