@@ -906,21 +906,23 @@ def score_messages(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.score_messages(_clean_text(spark, sf), "cleaned_text").drop("label", "cleaned_text")
 
 
-@register(
-    "score_qr",
-    [
-        "decodes", ("given", f"SELECT ordinal, label, {sql.strip('payload')} AS raw_url FROM decodes WHERE payload IS NOT NULL"),
-        *sql.canonical("given", "ordinal, label"), "url_parts", "url_features",
-        ("p", f"SELECT *, {_URL_PROB} AS p FROM url_features"),
-        ("r", f"SELECT *, {_RISK.format(p='p')} AS risk_score FROM p"),
-        ("t", f"SELECT *, {_TIER.format(s='risk_score')} AS severity FROM r"),
-    ],
+_SCORED_QR = [
+    "decodes", ("given", f"SELECT ordinal, label, {sql.strip('payload')} AS raw_url FROM decodes WHERE payload IS NOT NULL"),
+    *sql.canonical("given", "ordinal, label"), "url_parts", "url_features",
+    ("p", f"SELECT *, {_URL_PROB} AS p FROM url_features"),
+    ("r", f"SELECT *, {_RISK.format(p='p')} AS risk_score FROM p"),
+    ("t", f"SELECT *, {_TIER.format(s='risk_score')} AS severity FROM r"),
+]
+_SCORE_QR_SELECT = (
     f"SELECT d.ordinal, coalesce(t.risk_score, 0) AS risk_score, coalesce(t.severity, 'UNKNOWN') AS severity, "
     f"coalesce({_case('t.severity', {k: v[0] for k, v in URL_POLICY.items()})}, 'ERROR') AS action, "
     "CAST(t.ordinal IS NOT NULL AS BIGINT) AS success, "
     "CASE WHEN t.ordinal IS NULL THEN 'no_qr_detected_or_unreadable' END AS error, t.normalized_url "
-    "FROM decodes d LEFT JOIN t ON d.ordinal = t.ordinal",
+    "FROM decodes d LEFT JOIN t ON d.ordinal = t.ordinal"
 )
+
+
+@register("score_qr", _SCORED_QR, _SCORE_QR_SELECT)
 def score_qr(spark: SparkSession, sf: str) -> DataFrame:
     rows = scoring.score_qr(inputs.qr_decodes(spark, sf))
     return rows.select("ordinal", "risk_score", "severity", "action", "success", "error", "normalized_url")

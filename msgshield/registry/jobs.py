@@ -21,7 +21,8 @@ from ..sources import readers, writers
 from ..streaming.ingest import ingest_decodes, read_ingested
 from ..streaming.scoring import stream_score, write_scores
 from . import inputs, sql
-from .catalog import _CORPUS, _DECODE_CTE, _MATRIX_CTES, _MATRIX_SELECT, _MSG_PROB, _QR, _RATE_COLUMNS, _SCORED_URLS
+from .catalog import _CORPUS, _DECODE_CTE, _MATRIX_CTES, _MATRIX_SELECT, _MSG_PROB, _QR, _RATE_COLUMNS, _SCORED_QR
+from .catalog import _SCORED_URLS, _SCORE_QR_SELECT
 from .catalog import _flat_indicators, _score_messages_select, _score_urls_select, _scored_messages, _stored_corpus
 from .catalog import _stored_text, register
 from .sql import CLEAN_CHAIN, URL_SPLIT_CHAIN, big
@@ -230,6 +231,14 @@ def stream_messages(spark: SparkSession, sf: str) -> DataFrame:
     return _run(spark, stream_score(rows, "messages", "cleaned_text"), "message-scores").drop("label", "cleaned_text")
 
 
+@register("stream_qr", _SCORED_QR, _SCORE_QR_SELECT)
+def stream_qr(spark: SparkSession, sf: str) -> DataFrame:
+    """Scoring of QR payloads as a stream."""
+    rows = _as_stream(spark, inputs.qr_decodes(spark, sf), "qr-stream")
+    out = _run(spark, stream_score(rows, "qr", "payload"), "qr-scores")
+    return out.select("ordinal", "risk_score", "severity", "action", "success", "error", "normalized_url")
+
+
 @register(
     "stream_ingest",
     [*_QR, "qr_raw"],
