@@ -1,0 +1,8 @@
+"""Training-data operators: language models, decontamination, deduplication, mixing, sharding, extraction, licences."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel with their code: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
