@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, embed, mixing, shards, simhash
+from . import chat, decontam, embed, mixing, shards, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,12 @@ def register(name: str, oracle: str | None = None) -> Callable:
     return add
 
 
+@register("op2_bm25_decontamination")
+def op2_bm25_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with passages that hold a test item."""
+    return decontam.hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"), F.col("doc_id"))
+
+
 @register("op3_chat_collapse")
 def op3_chat_collapse(spark: SparkSession, sf: str) -> DataFrame:
     """Maximal conversations, rendered."""
