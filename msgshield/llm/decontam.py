@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import word_count
-from .words import hashes, mixed, rows_of, slices, split
+from .words import grams, hashes, rows_of, slices, split
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -34,17 +34,6 @@ SLICE_BYTES = 1 << 21
 ENDINGS = np.frombuffer(b".?!:", dtype=np.uint8)
 
 
-def grams(words: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every run of ``size`` word hashes."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    out = np.full(n, np.uint64(size))
-    for i in range(size):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n])
-    return out
-
-
 def expand(pointer: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(owner, entry): the entries ``pointer[r]`` to ``pointer[r + 1]`` of every row, and which row asked for them."""
     counts = pointer[rows + 1] - pointer[rows]

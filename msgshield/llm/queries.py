@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed, mixing, shards, simhash
+from . import chat, decontam, embed, extract, licences, maxent, mixing, shards, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,12 @@ def register(name: str, oracle: str | None = None) -> Callable:
     return add
 
 
+@register("op1_maxent_scores")
+def op1_maxent_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Log-probability of every document by the maximum-entropy model and by the add-half unigram model."""
+    return maxent.language_scores(table(spark, sf, "documents"))
+
+
 @register("op2_bm25_decontamination")
 def op2_bm25_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with passages that hold a test item."""
@@ -57,6 +63,24 @@ def op6_systematic_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+@register("op7_suffix_array_extraction")
+def op7_suffix_array_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.main_text(table(spark, sf, "pages"))
+
+
+@register("op8_licence_scan", licences.ORACLE)
+def op8_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Own and inherited licence of every document as a file."""
+    return licences.scan_files(licences.document_files(table(spark, sf, "documents")))
+
+
+@register("op9_kneser_ney_toxicity")
+def op9_kneser_ney_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @register("op10_pivot_simhash")
 def op10_pivot_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""

@@ -112,3 +112,14 @@ def hashes(words: Words) -> np.ndarray:
 def rows_of(first: np.ndarray) -> np.ndarray:
     """The row of every word."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
+def grams(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` word hashes."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    out = np.full(n, np.uint64(size))
+    for i in range(size):
+        out = mixed(out * _BASE + words[i : i + n])
+    return out
