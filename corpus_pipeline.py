@@ -29,7 +29,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    return mixing.emit(mixing.mix(docs), docs.columns)
+    return mixing.emit(docs)
 
 
 def place_on_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

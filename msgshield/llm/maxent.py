@@ -333,7 +333,7 @@ def score_rows(docs: DataFrame, model: Model) -> DataFrame:
                 p = log_probability(model, e) / LN10
                 n, row = len(piece), rows_of(stream.first)
                 known = e.known
-                base = np.bincount(row[known], np.log10(e.count[known] + 0.5), n)
+                base = np.bincount(row[known], np.log10(e.count[known] + 0.5), n).astype(np.float64)
                 rare = np.flatnonzero(~known)
                 offsets = np.searchsorted(rare, stream.first).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(

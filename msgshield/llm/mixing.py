@@ -52,42 +52,53 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     return rows.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix(
-    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED
-) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) with size, source_size, target, copies and taken (copies times size).
-
-    Null and empty texts have size 0 and take nothing; null is a source of its own. Rows that repeat a doc_id are rows
-    of their own. The same rows give the same mix on any cluster. Columns of these names in ``docs`` are replaced.
-    """
-    made = ("size", "source_size", "target", "copies", "taken")
-    plain = docs.drop(*made)
-    rows = plain.withColumn("size", word_count(F.col("text")))
-    rows = rows.withColumn("__source", text_key(F.col("source"))).withColumn("__class", size_class(F.col("size")))
+def _mixed(docs: DataFrame, weights: Sequence[float], share: float, cap: float, seed: int) -> DataFrame:
+    """``docs`` with ``__size``, ``__source_size``, ``__target`` and ``__copies``."""
+    rows = docs.withColumn("__size", word_count(F.col("text")))
+    rows = rows.withColumn("__source", text_key(F.col("source"))).withColumn("__class", size_class(F.col("__size")))
     rows = rows.withColumn("__digest", F.md5(F.concat(F.lit(f"{seed}:"), text_key(F.col("doc_id")))))
     rows = rows.withColumn("__bucket", F.substring("__digest", 1, 3))
     places = ["__source", "__class", "__bucket"]
-    totals = rows.groupBy(*places).agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__words"))
+    totals = rows.groupBy(*places).agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("__words"))
     sizes = totals.groupBy("__source").agg(F.sum("__words").alias("source_size"))
     name = F.when(F.col("__source") != "-", F.expr("substring(__source, 2)"))
-    dealt = targets(sizes.withColumn("source", name), weights, share, cap)
-    dealt = dealt.select(text_key(F.col("source")).alias("__source"), "source_size", "target")
+    dealt = targets(sizes.withColumn("source", name), weights, share, cap).select(
+        text_key(F.col("source")).alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")
+    )
     start = offsets(totals, ["__source"], ["__class", "__bucket"], ["__n"])
-    start = start.join(dealt, "__source").select(*places, "before___n", "source_size", "target")
-    rank = F.row_number().over(Window.partitionBy(*places).orderBy("__digest", "size"))
+    start = start.join(dealt, "__source").select(*places, "before___n", "__source_size", "__target")
+    rank = F.row_number().over(Window.partitionBy(*places).orderBy("__digest", "__size"))
     rows = rows.withColumn("__place", rank).join(start, places)
     # Offsets are multiples of 1/1024: then no sum is rounded over an integer.
     digest = F.md5(F.concat(F.lit(f"{seed}@"), F.col("__source")))
     offset = F.conv(F.substring(digest, 1, 4), 16, 10).cast("long") % 1024 / F.lit(1024.0)
-    step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    step = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     end = (F.col("before___n") + F.col("__place")).cast("double")
     copies = F.floor(end * step + offset) - F.floor((end - 1) * step + offset)
-    rows = rows.withColumn("copies", F.least(copies, F.ceil(step)).cast("long"))
-    rows = rows.withColumn("taken", F.col("copies") * F.col("size"))
-    return rows.select(*plain.columns, *made)
+    return rows.withColumn("__copies", F.least(copies, F.ceil(step)).cast("long"))
+
+
+def mix(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED
+) -> DataFrame:
+    """``docs`` (doc_id, text, source, ...) with size, source_size, target, copies and taken (copies times size).
+
+    Null and empty texts have size 0 and take nothing; null is a source of its own. Rows that repeat a doc_id are rows
+    of their own. The same rows give the same mix on any cluster. Columns of these names in ``docs`` are replaced. An
+    empty table gives no row.
+    """
+    made = ("size", "source_size", "target", "copies")
+    rows = _mixed(docs, weights, share, cap, seed)
+    kept = [F.col(c) for c in docs.columns if c not in (*made, "taken")]
+    return rows.select(
+        *kept, *[F.col(f"__{c}").alias(c) for c in made], (F.col("__copies") * F.col("__size")).alias("taken")
+    )
 
 
-def emit(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The mixed documents themselves: each row as often as it has copies."""
-    chosen = mixed.filter(F.col("copies") > 0)
-    return chosen.select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).select(*columns)
+def emit(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED
+) -> DataFrame:
+    """The mix itself: every row of ``docs``, with its own columns, as often as it has copies."""
+    rows = _mixed(docs, weights, share, cap, seed).filter(F.col("__copies") > 0)
+    each = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")
+    return rows.select(*docs.columns, each).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed, extract, licences, maxent, mixing, shards, simhash, toxicity
+from . import chat, decontam, embed, extract, licences, maxent, mixing, shards, simhash, sql, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,7 +38,7 @@ def op2_bm25_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"), F.col("doc_id"))
 
 
-@register("op3_chat_collapse")
+@register("op3_chat_collapse", sql.CHAT)
 def op3_chat_collapse(spark: SparkSession, sf: str) -> DataFrame:
     """Maximal conversations, rendered."""
     return chat.collapse_and_render(table(spark, sf, "conversations"))
@@ -50,13 +50,13 @@ def op4_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embed.near_vectors(table(spark, sf, "embeddings"))
 
 
-@register("op5_hash_tree_shards")
+@register("op5_hash_tree_shards", sql.shard_sql())
 def op5_hash_tree_shards(spark: SparkSession, sf: str) -> DataFrame:
     """All documents on 24 shards, and on 25."""
     return shards.shard_documents(table(spark, sf, "documents"))
 
 
-@register("op6_systematic_mix")
+@register("op6_systematic_mix", sql.MIX)
 def op6_systematic_mix(spark: SparkSession, sf: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
