@@ -29,6 +29,8 @@ TOP = 7
 DISCOUNT = 0.75
 CLASS_DISCOUNT = 3.0
 EDGE = 32
+# Different words whose grams are worked out together.
+WORDS_AT_ONCE = 1 << 15
 # Words in a stretch.
 STRETCHES = (1, 4, 16)
 SLICE_BYTES = 1 << 22
@@ -101,47 +103,78 @@ def _shared_probability(model: Model, gram: np.ndarray, size: np.ndarray) -> np.
     return p
 
 
+def distinct_words(texts: pa.Array, toxic: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
+    """(words, hashes, counts): the different words of the texts in order of their hash, with their counts in toxic and
+    ordinary texts. The texts are gone through slice by slice."""
+    ids, counts, lengths, data = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+    for at, piece in slices(texts, SLICE_BYTES):
+        words = split(piece)
+        side = 1 - toxic[at : at + len(piece)][rows_of(words.first)]  # 0: toxic, 1: ordinary
+        known, first, inverse = np.unique(hashes(words), return_index=True, return_inverse=True)
+        length = words.end[first] - words.start[first]
+        begin = np.repeat(words.start[first] - (np.cumsum(length) - length), length)
+        ids.append(known)
+        counts.append(np.stack([np.bincount(inverse[side == c], minlength=len(known)) for c in (0, 1)], axis=1))
+        lengths.append(length)
+        data.append(words.data[begin + np.arange(len(begin))])
+    known, first, inverse = np.unique(np.concatenate(ids), return_index=True, return_inverse=True)
+    each = np.concatenate(counts)
+    total = np.stack([np.bincount(inverse, each[:, c], len(known)) for c in (0, 1)], axis=1)
+    length = np.concatenate(lengths)
+    start = np.cumsum(length) - length
+    return Words(np.concatenate(data), start[first], (start + length)[first], np.array([0, len(known)])), known, total
+
+
 def fit_counts(texts: pa.Array, toxic: np.ndarray) -> Model:
     """The two models of the texts; ``toxic`` holds 0 and 1. The curve is left open."""
-    words = split(texts)
-    ids = hashes(words)
-    known, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
-    side = 1 - toxic[rows_of(words.first)]  # 0: toxic, 1: ordinary
-    counts = np.stack([np.bincount(inverse[side == c], minlength=len(known)) for c in (0, 1)], axis=1)
-    gram, size, word = grams(words, first)
+    words, known, counts = distinct_words(texts, toxic)
+    # Different grams with their counts, from some words at a time.
+    seen, size, total = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 2))]
+    for at in range(0, len(known), WORDS_AT_ONCE):
+        chosen = np.arange(at, min(at + WORDS_AT_ONCE, len(known)))
+        gram, sizes, word = grams(words, chosen)
+        gram, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
+        seen.append(gram)
+        size.append(sizes[first])
+        total.append(np.stack([np.bincount(inverse, counts[at + word, c], len(gram)) for c in (0, 1)], axis=1))
     model = Model()
+    model.grams, first, inverse = np.unique(np.concatenate(seen), return_index=True, return_inverse=True)
+    sizes, each = np.concatenate(size)[first], np.concatenate(total)
     for length in range(1, TOP):
-        longer = np.unique(gram[size > length] & _mask(length + 1))
-        seen, kinds = np.unique(longer & _mask(length), return_counts=True)
-        heads, head = np.unique(seen >> np.uint64(8), return_inverse=True)
-        total, kept = np.bincount(head, kinds, len(heads)), kinds - DISCOUNT
-        left = np.bincount(head, minlength=len(heads)) * DISCOUNT / np.maximum(total, 1)
-        below = _shared_probability(model, seen, np.full(len(seen), length))
-        probability = kept / np.maximum(total, 1)[head] + left[head] * below
-        model.shared.append(Order(seen, probability, heads, left))
-    model.grams, at = np.unique(gram, return_inverse=True)
+        longer = np.unique(model.grams[sizes > length] & _mask(length + 1))
+        shorter, kinds = np.unique(longer & _mask(length), return_counts=True)
+        heads, head = np.unique(shorter >> np.uint64(8), return_inverse=True)
+        all_kinds, kept = np.bincount(head, kinds, len(heads)), kinds - DISCOUNT
+        left = np.bincount(head, minlength=len(heads)) * DISCOUNT / np.maximum(all_kinds, 1)
+        below = _shared_probability(model, shorter, np.full(len(shorter), length))
+        probability = kept / np.maximum(all_kinds, 1)[head] + left[head] * below
+        model.shared.append(Order(shorter, probability, heads, left))
     model.histories, head = np.unique(model.grams >> np.uint64(8), return_inverse=True)
     kept, left = [], []
     for c in (0, 1):
-        n = np.bincount(at, counts[word, c], len(model.grams))
+        n = np.bincount(inverse, each[:, c], len(model.grams))
         cut = np.minimum(n, CLASS_DISCOUNT)
-        total = np.bincount(head, n, len(model.histories))
-        kept.append((n - cut) / np.maximum(total, 1)[head])
-        left.append(np.where(total > 0, np.bincount(head, cut, len(model.histories)) / np.maximum(total, 1), 1.0))
+        of_head = np.bincount(head, n, len(model.histories))
+        kept.append((n - cut) / np.maximum(of_head, 1)[head])
+        left.append(np.where(of_head > 0, np.bincount(head, cut, len(model.histories)) / np.maximum(of_head, 1), 1.0))
     model.kept = np.vstack([np.stack(kept, axis=1), np.zeros((1, 2))]).astype(np.float32)
     model.left = np.vstack([np.stack(left, axis=1), np.ones((1, 2))]).astype(np.float32)
-    model.word_evidence = word_evidence(model, words, first).astype(np.float32)
+    model.word_evidence = word_evidence(model, words, np.arange(len(known))).astype(np.float32)
     model.words = known
     return model
 
 
 def word_evidence(model: Model, words: Words, chosen: np.ndarray) -> np.ndarray:
     """Toxic minus ordinary log-likelihood of the chosen words."""
-    gram, size, word = grams(words, chosen)
-    gram, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
-    shared = _shared_probability(model, gram, size[first])[:, None]
-    p = model.kept[_find(model.grams, gram)] + model.left[_find(model.histories, gram >> np.uint64(8))] * shared
-    return np.bincount(word, (np.log(p[:, 0]) - np.log(p[:, 1]))[inverse], len(chosen))
+    out = [np.zeros(0)]
+    for at in range(0, len(chosen), WORDS_AT_ONCE):
+        some = chosen[at : at + WORDS_AT_ONCE]
+        gram, size, word = grams(words, some)
+        gram, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
+        shared = _shared_probability(model, gram, size[first])[:, None]
+        p = model.kept[_find(model.grams, gram)] + model.left[_find(model.histories, gram >> np.uint64(8))] * shared
+        out.append(np.bincount(word, (np.log(p[:, 0]) - np.log(p[:, 1]))[inverse], len(some)))
+    return np.concatenate(out)
 
 
 def evidence(model: Model, words: Words) -> np.ndarray:
@@ -208,7 +241,7 @@ def fit_rows(texts: pa.Array, toxic: np.ndarray, totals: tuple[int, int], curve_
     # Too few rows for a curve of their own: the counted ones fit it.
     rows = curve if all(((toxic == c) & curve).sum() >= 2 for c in (0, 1)) else np.ones(len(toxic), dtype=bool)
     weight = np.array([totals[c] / max(1, ((toxic == c) & rows).sum()) for c in (0, 1)])[toxic[rows]]
-    values = features(model, texts.filter(pa.array(rows)))
+    values = np.concatenate([features(model, piece) for _, piece in slices(texts.filter(pa.array(rows)), SLICE_BYTES)])
     model.centre, model.scale, model.curve = fit_curve(values, toxic[rows], weight)
     return model
 
