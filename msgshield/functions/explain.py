@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,31 +43,20 @@ def url_indicators(tier: Column) -> Column:
     # Two decimals of an entropy in 0..log2(length); ties cannot be told apart from the stored double otherwise.
     entropy = round_exact(F.col("url_entropy"), 2)
     rules = [
-        F.when(F.col("has_ip_host") == 1.0, _indicator("has_ip_host", domain)),
-        F.when(F.col("has_shortener") == 1.0, _indicator("has_shortener")),
-        F.when(F.col("has_suspicious_tld") == 1.0, _indicator("has_suspicious_tld", tld)),
-        F.when(F.col("has_punycode") == 1.0, _indicator("has_punycode")),
-        F.when(F.col("subdomain_count") >= 3, _indicator("subdomain_count", F.col("subdomain_count").cast("int"))),
-        F.when(F.col("url_entropy") > 4.5, _indicator("url_entropy", entropy)),
-        F.when(F.col("is_https") == 0.0, _indicator("is_https")),
-        F.when(F.col("consecutive_hyphens") == 1.0, _indicator("consecutive_hyphens")),
-        F.when(F.col("has_login_kw") == 1.0, _indicator("has_login_kw")),
-        F.when(F.col("has_brand_kw") == 1.0, _indicator("has_brand_kw")),
+        (F.col("has_ip_host") == 1.0, _indicator("has_ip_host", domain)),
+        (F.col("has_shortener") == 1.0, _indicator("has_shortener")),
+        (F.col("has_suspicious_tld") == 1.0, _indicator("has_suspicious_tld", tld)),
+        (F.col("has_punycode") == 1.0, _indicator("has_punycode")),
+        (F.col("subdomain_count") >= 3, _indicator("subdomain_count", F.col("subdomain_count").cast("int"))),
+        (F.col("url_entropy") > 4.5, _indicator("url_entropy", entropy)),
+        (F.col("is_https") == 0.0, _indicator("is_https")),
+        (F.col("consecutive_hyphens") == 1.0, _indicator("consecutive_hyphens")),
+        (F.col("has_login_kw") == 1.0, _indicator("has_login_kw")),
+        (F.col("has_brand_kw") == 1.0, _indicator("has_brand_kw")),
     ]
-    any_fired = (
-        (F.col("has_ip_host") == 1.0)
-        | (F.col("has_shortener") == 1.0)
-        | (F.col("has_suspicious_tld") == 1.0)
-        | (F.col("has_punycode") == 1.0)
-        | (F.col("subdomain_count") >= 3)
-        | (F.col("url_entropy") > 4.5)
-        | (F.col("is_https") == 0.0)
-        | (F.col("consecutive_hyphens") == 1.0)
-        | (F.col("has_login_kw") == 1.0)
-        | (F.col("has_brand_kw") == 1.0)
-    )
+    any_fired = reduce(lambda x, y: x | y, [condition for condition, _ in rules])
     clean = F.when(~any_fired & (tier == "LOW"), _indicator("clean"))
-    return F.array_compact(F.array(*rules, clean))
+    return F.array_compact(F.array(*[F.when(condition, record) for condition, record in rules], clean))
 
 
 def suspicious_tokens(limit: int = 8) -> Column:

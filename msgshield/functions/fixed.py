@@ -21,6 +21,7 @@ MESSAGE_FEATURES = [
 ]
 
 # --- messages: phrase patterns, each matched as a whole word or phrase ----------------------------
+# Stated without word edges: has_phrase adds edges that know letters beyond ASCII.
 URGENCY = [
     r"urgent", r"immediately", r"within \d+ hours?", r"action required",
     r"expire[s]? today", r"last chance", r"now", r"instant", r"asap",

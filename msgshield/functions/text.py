@@ -13,6 +13,7 @@ from .chars import ALNUM, EDGE, SPACE, WORD, contains_any, count_class, count_no
 from .chars import token_count, with_ratios
 from .fixed import AUDIT_HEADERS, CHANNEL_HEADERS, CHAT_WORDS, HTML_MARKERS, SMS_MAX_LENGTH
 
+# The patterns decide the results; look-arounds only save time.
 LINK = rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+"
 # The look-aheads name the possible first characters, so most positions are left at once.
 PHONE = (
@@ -130,6 +131,7 @@ def channel_prefixed(text: Column, channel: Column) -> Column:
     return F.concat(F.lit("[CHANNEL: "), channel, F.lit("] "), text)
 
 
+# The patterns of the template placeholders.
 EMAIL = EDGE + r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,7}" + EDGE
 HANDLE = f"@[{WORD}]+"
 # The look-ahead first: few characters are digits, so the costlier look-behind is seldom tried.

@@ -20,6 +20,7 @@ from .stages import Stages, apply_stages, once
 
 CANONICAL_FIELDS = ["original_url", "normalized_url", "scheme", "domain", "path", "query", "fragment"]
 
+# Fixed value: the pattern decides the results.
 # The accepted scheme characters include a comma, although a comma makes the scheme invalid later on.
 SCHEME = r"^[a-zA-Z][a-zA-Z0-9+,\-.]*://"
 DOTTED_QUAD = r"\A\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\n?\z"

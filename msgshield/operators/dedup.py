@@ -7,19 +7,26 @@ from pyspark.sql import functions as F
 
 from ..functions.text import template_skeleton
 from ..session import stored
-from .joins import by_digest, skew_join
+from .joins import by_digest
 from .ordering import sequential_id
 
 
-def keep_first(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """One row per key: the first in ``order``.
+def first_ordinals(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The least ``order`` of every key, as a column ``order``.
 
-    An aggregate, not a window: each map task reduces the copies it sees to one row before the shuffle, so a key that
-    holds a large share of the table costs no task more than one row per map task. Long keys are compared by digest.
+    A hash aggregate of digests and numbers: each map task reduces the copies it sees to one before the shuffle, so a
+    key that holds a large share of the table costs no task more than one row per map task.
     """
-    rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    first = F.min_by(F.struct(*df.columns), rank).alias("__row")
-    return df.groupBy(F.sha2(F.col(key), 256).alias("__key")).agg(first).select("__row.*")
+    return df.groupBy(F.sha2(F.col(key), 256).alias("__key")).agg(F.min(order).alias(order)).select(order)
+
+
+def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
+    """One row per key: the one with the least ``order``, a unique number.
+
+    The winners are found in a narrow table; the wide rows are met again in a join on the unique number, where no key
+    can be hot. The rows are read twice: pass a stored table if they are costly.
+    """
+    return df.join(first_ordinals(df, key, order), order, "left_semi")
 
 
 def keep_first_numbered(df: DataFrame, key: str, ordinal: str, output: str, start: int = 1) -> DataFrame:
@@ -28,8 +35,8 @@ def keep_first_numbered(df: DataFrame, key: str, ordinal: str, output: str, star
     The winners are found and numbered as a narrow table of digests and ordinals. The wide rows move once, in a join
     on the unique ordinal, where no key can be hot.
     """
-    winners = df.groupBy(F.sha2(F.col(key), 256).alias("__key")).agg(F.min(ordinal).alias(ordinal)).select(ordinal)
-    return df.join(sequential_id(winners, ordinal, output, start), ordinal).select(*df.columns, output)
+    winners = sequential_id(first_ordinals(df, key, ordinal), ordinal, output, start)
+    return df.join(winners, ordinal).select(*df.columns, output)
 
 
 def template_stats(df: DataFrame, ordinal: str = "ordinal") -> DataFrame:
@@ -50,15 +57,12 @@ def template_ids(df: DataFrame, skeleton: str = "template_skeleton", ordinal: st
     """(ordinal, template_id): equal skeletons share a dense id in first-seen order.
 
     Works on a stored narrow table of ordinals and digests, so the skeletons are computed once. Templates are joined
-    back by digest; one that covers a large share of the rows is spread over many tasks.
+    back by digest.
     """
     narrow = stored(df.select(ordinal, by_digest(F.col(skeleton)).alias("__digest")), "template-digests")
-    first = narrow.groupBy("__digest").agg(F.min(ordinal).alias("__first"), F.count(F.lit(1)).alias("__size"))
-    ids = sequential_id(first.select("__digest", "__first"), "__first", "template_id")
-    table = ids.select("__digest", "template_id")
-    counts = first.select("__digest", "__size")
-    joined = skew_join(narrow, table, "__digest", "inner", spread=ordinal, counts=counts)
-    return joined.select(ordinal, "template_id")
+    first = narrow.groupBy("__digest").agg(F.min(ordinal).alias("__first"))
+    ids = sequential_id(first, "__first", "template_id").select("__digest", "template_id")
+    return narrow.join(ids, "__digest").select(ordinal, "template_id")
 
 
 def cluster_templates(df: DataFrame, text: str = "cleaned_text", ordinal: str = "ordinal") -> DataFrame:

@@ -1,4 +1,8 @@
-"""Membership and lookup joins that survive a hot key."""
+"""Membership and lookup joins.
+
+They are plain joins: adaptive execution broadcasts a side that turns out small and splits the partition of a key that
+holds a large share of the rows.
+"""
 
 from __future__ import annotations
 
@@ -7,74 +11,27 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import EXTERNAL_LABELS
 
-# A key is hot from this many rows on; no more than HOT_KEYS keys are treated so, which leaves every other key with
-# less than 1/HOT_KEYS of the rows.
-HOT_ROWS = 1_000_000
-HOT_KEYS = 1_000
-SALTS = 64
-
-
-def hot_keys(counts: DataFrame, key: str, size: str, hot_rows: int = HOT_ROWS) -> list:
-    """The hottest keys of a (key, size) table; at most HOT_KEYS values reach the driver."""
-    top = counts.filter((F.col(size) >= hot_rows) & F.col(key).isNotNull()).orderBy(F.desc(size)).limit(HOT_KEYS)
-    return [row[0] for row in top.select(key).collect()]
-
-
-def skew_join(
-    rows: DataFrame,
-    table: DataFrame,
-    key: str,
-    how: str,
-    spread: str,
-    counts: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join rows with a table that has one row per key.
-
-    Rows of a hot key are spread over SALTS shares by the ``spread`` column, and only the table rows of hot keys are
-    copied once per share. ``counts`` is the (key, size) table of the rows, if it is already known.
-    """
-    if counts is None:
-        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__size"))
-    hot = hot_keys(counts, key, counts.columns[-1], hot_rows)
-    if not hot:
-        return rows.join(table, key, how)
-    marks = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot], table.select(key).schema))
-    marks = marks.withColumn("__hot", F.lit(True))
-    shares = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted = rows.join(marks, key, "left").withColumn(
-        "__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    )
-    copies = table.join(marks, key, "left").withColumn("__salt", F.explode(shares)).drop("__hot")
-    return salted.drop("__hot").join(copies, [key, "__salt"], how).drop("__salt")
-
-
 def by_digest(col: Column) -> Column:
     """Join key of a long text. Declared never null: a join would otherwise test the whole expression for null, and
     so compute it twice."""
     return F.coalesce(F.sha2(F.coalesce(col, F.lit("")), 256), F.lit(""))
 
 
-def exclude_known(external: DataFrame, master: DataFrame, text: str, spread: str | None = None) -> DataFrame:
-    """Rows whose text is not among the master's texts. Compared by digest, so no text is shuffled as a key.
-
-    ``spread`` names a column to spread the copies of a frequent text by; distinct texts need none.
-    """
+def exclude_known(external: DataFrame, master: DataFrame, text: str) -> DataFrame:
+    """Rows whose text is not among the master's texts. Compared by digest, so no text is shuffled as a key."""
     known = master.select(by_digest(F.col(text)).alias("__digest")).distinct()
     rows = external.withColumn("__digest", by_digest(F.col(text)))
-    if spread is None:
-        return rows.join(known, "__digest", "left_anti").drop("__digest")
-    return skew_join(rows, known, "__digest", "left_anti", spread).drop("__digest")
+    return rows.join(known, "__digest", "left_anti").drop("__digest")
 
 
-def members(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
+def members(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs in ``table``."""
-    return skew_join(rows, table.select(key).distinct(), key, "left_semi", spread)
+    return rows.join(table.select(key).distinct(), key, "left_semi")
 
 
-def non_members(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
+def non_members(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Rows whose key does not occur in ``table``; copies stay."""
-    return skew_join(rows, table.select(key).distinct(), key, "left_anti", spread)
+    return rows.join(table.select(key).distinct(), key, "left_anti")
 
 
 def map_external_label(df: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Ordered computations without a global sort: numbering, rank cut-offs, prefix sums.
 
-A window without partition keys would pull the table into one task. Here the order key is cut into buckets; only the
-bucket totals, a small table, are summed in order, and rows are ranked inside their own bucket.
+A window without partition keys would pull the table into one task. Here the order key is cut into digits, from coarse
+to fine; totals are summed in order level by level, and rows are ranked inside their own finest bucket. A window holds
+no more rows than a digit has values, whatever the distribution of the keys.
 """
 
 from __future__ import annotations
@@ -12,11 +13,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows that may pass through the driver as a checked small table.
-SMALL_ROWS = 10_000
-# A bucket of a unique integer key holds at most 2 ** bits rows.
-BUCKET_BITS = 16
-NUMBERING_BITS = 20
+# Bits of a digit of an integer key.
+DIGIT_BITS = 16
 
 
 def shuffle_key(seed: int, key: Column) -> Column:
@@ -29,49 +27,52 @@ def hash_bucket(digest: Column) -> Column:
     return F.substring(digest, 1, 4)
 
 
-def integer_bucket(value: Column, bits: int = BUCKET_BITS) -> Column:
-    """Order-preserving bucket of a unique integer: at most ``2 ** bits`` rows each."""
-    return F.shiftright(value.cast("long"), bits)
+def hash_digits(digest: Column) -> list[Column]:
+    """The digits that order a hex digest: one, since digests are evenly spread."""
+    return [hash_bucket(digest)]
 
 
-def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
-    """``df`` as a literal table fit for broadcasting, or None if it holds more than ``max_rows`` rows."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
+def integer_digits(value: Column, bits: int = DIGIT_BITS) -> list[Column]:
+    """The digits that order a unique integer: below each lie at most ``2 ** bits`` values of the next, and below the last as
+    many rows."""
+    value = value.cast("long")
+    return [F.shiftright(value, shift) for shift in range(bits * ((63 // bits)), 0, -bits)]
 
 
-def join_small(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join with a table that is usually tiny: broadcast after a check of its size, else an ordinary join."""
-    small = small_table(table)
-    return df.join(F.broadcast(small), on, how) if small is not None else df.join(table, on, how)
+def running_totals(totals: DataFrame, keys: list[str], digits: list[str], values: list[str]) -> DataFrame:
+    """``totals`` (one row per key and digits) with ``<value>_before``: the sum over smaller digits of the same key."""
+    earlier = Window.partitionBy(*(keys + digits[:-1] or [F.lit(0)])).orderBy(digits[-1])
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    inner = totals.select(
+        *keys, *digits, *values, *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"{v}_before") for v in values]
+    )
+    if len(digits) == 1:
+        return inner
+    upper = totals.groupBy(*keys, *digits[:-1]).agg(*[F.sum(v).alias(v) for v in values])
+    upper = running_totals(upper, keys, digits[:-1], values).select(
+        *keys, *digits[:-1], *[F.col(f"{v}_before").alias(f"{v}_above") for v in values]
+    )
+    return inner.join(upper, keys + digits[:-1]).select(
+        *keys, *digits, *values, *[(F.col(f"{v}_before") + F.col(f"{v}_above")).alias(f"{v}_before") for v in values]
+    )
 
 
-def sequential_id(df: DataFrame, order: str, output: str, start: int = 0, bits: int = NUMBERING_BITS) -> DataFrame:
+def sequential_id(df: DataFrame, order: str, output: str, start: int = 0, bits: int = DIGIT_BITS) -> DataFrame:
     """Number the rows 0, 1, 2, ... by a unique integer column.
 
-    Two levels of bucket totals give every bucket its offset; a row adds its rank inside the bucket, which holds at
-    most ``2 ** bits`` rows because the order column is unique.
+    Every bucket of its finest digit gets an offset; a row adds its rank inside the bucket, which holds at most
+    ``2 ** bits`` rows because the order column is unique.
     """
-    bucket, upper = F.col("__bucket"), F.col("__upper")
-    rows = df.withColumn("__bucket", integer_bucket(F.col(order), bits))
-    totals = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    totals = totals.withColumn("__upper", F.shiftright(bucket, 16))
-    before = (Window.unboundedPreceding, -1)
-    uppers = totals.groupBy("__upper").agg(F.sum("__n").alias("__un"))
-    uppers = uppers.select(
-        "__upper",
-        F.coalesce(
-            F.sum("__un").over(Window.partitionBy(F.lit(0)).orderBy(upper).rowsBetween(*before)), F.lit(0)
-        ).alias("__ubase"),
-    )
-    inner = F.coalesce(F.sum("__n").over(Window.partitionBy("__upper").orderBy(bucket).rowsBetween(*before)), F.lit(0))
-    offsets = totals.withColumn("__base", inner).join(uppers, "__upper")
-    offsets = offsets.select("__bucket", (F.col("__base") + F.col("__ubase")).alias("__offset"))
-    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__bucket").orderBy(order)))
-    number = F.col("__offset") + F.col("__rank") + F.lit(start - 1)
-    return ranked.join(offsets, "__bucket").withColumn(output, number.cast("long")).select(*df.columns, output)
+    columns = integer_digits(F.col(order), bits)
+    digits = [f"__digit{i}" for i in range(len(columns))]
+    rows = df.withColumns(dict(zip(digits, columns, strict=True)))
+    # The finest digit holds the ones above it, so it names a bucket by itself.
+    totals = rows.groupBy(*digits).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = running_totals(totals, [], digits, ["__n"]).select(digits[-1], "__n_before")
+    rank = F.row_number().over(Window.partitionBy(digits[-1]).orderBy(order))
+    number = F.col("__n_before") + F.col("__rank") + F.lit(start - 1)
+    ranked = rows.drop(*digits[:-1]).withColumn("__rank", rank)
+    return ranked.join(offsets, digits[-1]).withColumn(output, number.cast("long")).select(*df.columns, output)
 
 
 def formatted_id(prefix: str, number: Column) -> Column:
@@ -84,32 +85,30 @@ def rank_cutoffs(
     strata: list[str],
     order: str,
     ranks: dict[str, Callable[[Column], Column]],
-    bucket: Callable[[Column], Column] = hash_bucket,
+    digits: Callable[[Column], list[Column]] = hash_digits,
 ) -> DataFrame:
     """Per stratum the order key of its k-th unit, for every named rank; null where k is 0.
 
     ``ranks`` maps a name to k as a function of the stratum's size. Afterwards a row belongs to the first k of its
     stratum exactly if its key is at most the cut-off, which needs no shuffle of the rows. ``order`` must be unique
-    per stratum. Three steps: totals per bucket, the bucket that holds rank k, the rank inside that bucket only.
+    per stratum, and strata are combinations of a few categories. Three steps: totals per bucket, the bucket that holds
+    rank k, the rank inside that bucket only. The buckets found are broadcast: one for each stratum and rank.
     """
     keys = strata or ["__all"]
     units = units.select(*strata, F.col(order).alias("__order"), *([] if strata else [F.lit(0).alias("__all")]))
-    units = units.withColumn("__bucket", bucket(F.col("__order")))
-    totals = units.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    by_bucket = Window.partitionBy(*keys).orderBy("__bucket")
-    totals = totals.withColumns(
-        {
-            "__before": F.coalesce(F.sum("__n").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-            "__size": F.sum("__n").over(Window.partitionBy(*keys)),
-        }
-    )
+    columns = digits(F.col("__order"))
+    names = [f"__digit{i}" for i in range(len(columns))]
+    units = units.withColumns(dict(zip(names, columns, strict=True)))
+    totals = units.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = totals.groupBy(*keys).agg(F.sum("__n").alias("__size"))
+    totals = running_totals(totals, keys, names, ["__n"]).join(F.broadcast(sizes), keys)
     wanted = F.array(
         *[F.struct(F.lit(name).alias("name"), rank(F.col("__size")).cast("long").alias("k")) for name, rank in ranks.items()]
     )
-    targets = totals.select("*", F.inline(wanted)).select(*keys, "__bucket", "name", "k", "__before", "__n", "__size")
-    hits = targets.filter((F.col("k") > F.col("__before")) & (F.col("k") <= F.col("__before") + F.col("__n")))
-    hits = hits.select(*keys, "__bucket", "name", (F.col("k") - F.col("__before")).alias("__offset"))
-    inside = join_small(units, hits, [*keys, "__bucket"], "inner")
+    targets = totals.select("*", F.inline(wanted))
+    hits = targets.filter((F.col("k") > F.col("__n_before")) & (F.col("k") <= F.col("__n_before") + F.col("__n")))
+    hits = hits.select(*keys, names[-1], "name", (F.col("k") - F.col("__n_before")).alias("__offset"))
+    inside = units.select(*keys, names[-1], "__order").join(F.broadcast(hits), [*keys, names[-1]])
     rank = F.row_number().over(Window.partitionBy(*keys, "name").orderBy("__order"))
     found = inside.withColumn("__rank", rank).filter(F.col("__rank") == F.col("__offset"))
     wide = found.groupBy(*keys).agg(

@@ -49,32 +49,31 @@ def quality_audit(clean: DataFrame) -> DataFrame:
 
 
 def duplicate_report(urls: DataFrame, samples: int = 5, ordinal: str = "ordinal") -> DataFrame:
-    """URLs seen more than once: label counts, cross-label conflict and the first file names.
+    """URLs seen more than once: label counts, cross-label conflict and the first file names, in no order.
 
-    Counting is a partial aggregate and the sample a small per-URL limit that every map task applies before the
-    shuffle, so a URL that fills a third of the table stays cheap. Both sides hash on the URL: the join adds no shuffle.
+    Reads a stored table twice: for the counts, and for the sample. Counting is a partial aggregate and the sample a small
+    per-URL limit that every map task applies before the shuffle, so a URL that fills a third of the table stays cheap.
+    Both sides hash on the URL: the join adds no shuffle.
     """
-    counts = urls.groupBy("normalized_url").agg(
+    rows = urls.select("normalized_url", "label", ordinal, "image_filename")
+    counts = rows.groupBy("normalized_url").agg(
         F.count(F.lit(1)).alias("occurrence_count"),
         F.count_if(F.col("label") == 0).alias("benign_count"),
         F.count_if(F.col("label") == 1).alias("malicious_count"),
-        F.min(ordinal).alias("first_ordinal"),
     )
     counts = counts.filter(F.col("occurrence_count") > 1)
     rank = F.row_number().over(Window.partitionBy("normalized_url").orderBy(ordinal))
-    first = urls.select("normalized_url", ordinal, "image_filename").withColumn("__rank", rank)
+    first = rows.select("normalized_url", ordinal, "image_filename").withColumn("__rank", rank)
     first = first.filter(F.col("__rank") <= samples)
     names = first.groupBy("normalized_url").agg(
         F.array_sort(F.collect_list(F.struct("__rank", "image_filename"))).alias("__first")
     )
     conflict = ((F.col("benign_count") > 0) & (F.col("malicious_count") > 0)).cast("int")
-    report = counts.join(names, "normalized_url").select(
+    return counts.join(names, "normalized_url").select(
         "normalized_url", "occurrence_count", "benign_count", "malicious_count",
         conflict.alias("is_cross_label_conflict"),
         F.array_join(F.col("__first.image_filename"), ";").alias("sample_image_filenames"),
-        "first_ordinal",
     )
-    return report.orderBy(F.desc("occurrence_count"), "first_ordinal").drop("first_ordinal")
 
 
 FLAGS = {

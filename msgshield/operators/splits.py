@@ -1,7 +1,8 @@
 """Train/test splits. Random order is a hash order, so a row's place depends on its key only.
 
 All splits work by cut-off: a few narrow aggregates find the hash value where a quota is filled, then every row is
-placed by comparing its own hash. The rows themselves are never shuffled.
+placed by comparing its own hash. The rows themselves are never shuffled. Strata are combinations of a few categories
+(label, channel, source), and the tables of cut-offs that are broadcast have one row for each.
 """
 
 from __future__ import annotations
@@ -10,16 +11,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .ordering import integer_bucket, join_small, rank_cutoffs, shuffle_key, weight_cutoff
+from .ordering import integer_digits, rank_cutoffs, shuffle_key, weight_cutoff
 
 SEED = 42
 
 
-def first_per_class(df: DataFrame, strata: list[str], n: int = 15_000, ordinal: str = "ordinal") -> DataFrame:
+def first_per_class(df: DataFrame, strata: list[str], n: int, ordinal: str = "ordinal") -> DataFrame:
     """The first ``n`` rows of every stratum by ordinal."""
     size = lambda total: F.least(total, F.lit(n))
-    cutoffs = rank_cutoffs(df, strata, ordinal, {"__cut": size}, bucket=integer_bucket)
-    return join_small(df, cutoffs, strata, "inner").filter(F.col(ordinal) <= F.col("__cut")).drop("__cut")
+    cutoffs = rank_cutoffs(df, strata, ordinal, {"__cut": size}, digits=integer_digits)
+    return df.join(F.broadcast(cutoffs), strata).filter(F.col(ordinal) <= F.col("__cut")).drop("__cut")
 
 
 def stratified_parts(
@@ -37,22 +38,18 @@ def stratified_parts(
         )
 
     cuts = {f"__cut{i}": quota(i + 1) for i in range(len(names))}
-    rows = join_small(rows, rank_cutoffs(rows, strata, "__hash", cuts), strata, "left")
+    rows = rows.join(F.broadcast(rank_cutoffs(rows, strata, "__hash", cuts)), strata, "left")
     split = F.when(F.col("__hash") <= F.col("__cut0"), names[0])
     for i, name in enumerate(names[1:], 1):
         split = split.when(F.col("__hash") <= F.col(f"__cut{i}"), name)
     return rows.withColumn("split", split.otherwise(rest)).select(*df.columns, "split")
 
 
-def unseen_keys(df: DataFrame, key: str, fraction: float = 0.15, seed: int = SEED) -> DataFrame:
-    """Add the boolean ``unseen``: true for the rows of the first int(fraction * n) of the n distinct keys, in hash
-    order."""
-    rows = df.withColumn("__hash", shuffle_key(seed, F.col(key)))
-    units = rows.select("__hash").distinct()
-    cut = rank_cutoffs(units, [], "__hash", {"cut": lambda n: F.floor(n.cast("double") * F.lit(fraction))}).first()
-    limit = cut["cut"] if cut else None
-    unseen = F.col("__hash") <= F.lit(limit) if limit is not None else F.lit(False)
-    return rows.withColumn("unseen", unseen).drop("__hash")
+def unseen_keys(df: DataFrame, digest: str, fraction: float) -> str | None:
+    """The digest up to which a key is unseen: that of the int(fraction * n)-th of the n distinct digests, None for none."""
+    units = df.select(digest).distinct()
+    cut = rank_cutoffs(units, [], digest, {"cut": lambda n: F.floor(n.cast("double") * F.lit(fraction))}).first()
+    return cut["cut"] if cut else None
 
 
 def split_templates(
@@ -80,7 +77,7 @@ def split_templates(
     first = lambda n: F.floor(n.cast("double") * F.lit(share_a))
     second = lambda n: first(n) + F.floor(n.cast("double") * F.lit(share_v))
     cuts = rank_cutoffs(narrow.filter(~in_b), ["channel", "label"], "__hash", {"__a": first, "__v": second})
-    rows = join_small(rows, cuts, ["channel", "label"], "left")
+    rows = rows.join(F.broadcast(cuts), ["channel", "label"], "left")
     split = (
         F.when(in_b, "test_b")
         .when(F.col("__hash") <= F.col("__a"), "test_a")
@@ -90,18 +87,16 @@ def split_templates(
     return rows.withColumn("split", split).select(*df.columns, "split")
 
 
-def balanced_sample(df: DataFrame, key: str, cap: int = 250, label: str = "label", seed: int = SEED) -> DataFrame:
-    """Equally many rows of label 0 and 1: the smaller class, at most ``cap`` each, in hash order of a unique key.
-
-    The cut-off of each label leaves ``cap`` rows of it before anything is brought together.
-    """
+def balanced_sample(df: DataFrame, key: str, cap: int | None, label: str = "label", seed: int = SEED) -> DataFrame:
+    """Equally many rows of label 0 and 1 in hash order of a unique key: as many as the smaller class has, and at most
+    ``cap`` if that is given."""
     rows = df.filter(F.col(label).isin(0, 1)).withColumn("__hash", shuffle_key(seed, F.col(key)))
-    cuts = rank_cutoffs(rows, [label], "__hash", {"__cut": lambda n: F.least(n, F.lit(cap))})
-    top = join_small(rows, cuts, [label], "inner").filter(F.col("__hash") <= F.col("__cut"))
-    top = top.withColumn("__rank", F.row_number().over(Window.partitionBy(label).orderBy("__hash")))
-    # A rank is kept only if the other label has a row of that rank too.
-    labels = F.size(F.collect_set(label).over(Window.partitionBy("__rank")))
-    return top.withColumn("__labels", labels).filter(F.col("__labels") == 2).select(*df.columns)
+    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    fewest, classes = sizes.agg(F.min("n"), F.count(F.lit(1))).first()
+    quota = 0 if classes < 2 else fewest if cap is None else min(fewest, cap)
+    cuts = rank_cutoffs(rows, [label], "__hash", {"__cut": lambda n: F.lit(quota)})
+    chosen = rows.join(F.broadcast(cuts), label).filter(F.col("__hash") <= F.col("__cut"))
+    return chosen.select(*df.columns)
 
 
 def split_sizes(df: DataFrame) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import log
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.chars import WORD, round_exact
-from .ordering import join_small
 
 
 def words(text: Column) -> Column:
@@ -27,23 +33,37 @@ def with_terms(df: DataFrame, text: str, output: str = "terms", bigrams: bool =
     return out.withColumn(output, F.concat(w, pairs))
 
 
-def vocabulary(df: DataFrame, terms: str = "terms", size: int = 10_000) -> DataFrame:
-    """The ``size`` most frequent terms of the corpus, ties by term, with total and document frequency.
-
-    One pass and one shuffle by term: a document emits each occurrence and, apart from that, each distinct term.
-    Map tasks add up before the shuffle, so what moves is bounded by the words in use, not by the text.
-    """
-    emitted = F.concat(
+def _emitted(terms: str) -> Column:
+    """What a document adds to the counts: each occurrence and, apart from that, each distinct term; an empty term stands
+    for the document itself."""
+    return F.concat(
         F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
         F.transform(
             F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
         ),
+        F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
     )
-    # The outer form keeps empty documents until here; the plain form would test the whole list for emptiness first,
-    # and so build it twice.
-    rows = df.select(F.inline_outer(emitted)).filter(F.col("term").isNotNull())
-    total = rows.groupBy("term").agg(F.sum("tf").alias("total"), F.sum("df").alias("df"))
-    return total.orderBy(F.desc("total"), "term").limit(size)
+
+
+def _counted(df: DataFrame, terms: str) -> DataFrame:
+    """(term, total, df) of all terms. One pass and one shuffle by term: map tasks add up before it, so what moves is
+    bounded by the words in use, not by the text."""
+    rows = df.select(F.inline(_emitted(terms)))
+    return rows.groupBy("term").agg(F.sum("tf").alias("total"), F.sum("df").alias("df"))
+
+
+def vocabulary(df: DataFrame, terms: str = "terms", size: int = 10_000) -> DataFrame:
+    """The ``size`` most frequent terms of the corpus, ties by term, with total and document frequency."""
+    return _counted(df, terms).filter(F.col("term") != "").orderBy(F.desc("total"), "term").limit(size)
+
+
+def fit_vocabulary(df: DataFrame, terms: str = "terms", size: int = 10_000) -> tuple[int, list[str], list[float]]:
+    """(documents, terms, ln((1 + n) / (1 + df)) + 1 of each): one pass; ``size`` + 1 rows reach the driver."""
+    top = _counted(df, terms).orderBy(F.col("term") != "", F.desc("total"), "term").limit(size + 1).collect()
+    if not top:
+        return 0, [], []
+    rows = top[0]["df"]
+    return rows, [r["term"] for r in top[1:]], [log((1.0 + rows) / (1.0 + r["df"])) + 1.0 for r in top[1:]]
 
 
 def tfidf(
@@ -51,19 +71,31 @@ def tfidf(
 ) -> DataFrame:
     """Long table (doc, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), scaled to unit length per document.
 
-    ``sublinear`` replaces tf by 1 + ln tf. Words outside the vocabulary are dropped before anything is shuffled.
+    ``sublinear`` replaces tf by 1 + ln tf. Counts, weights and length of a document need its own row only, so after the
+    vocabulary, which ``size`` bounds, nothing is shuffled.
     """
-    rows = with_terms(df.select(doc, text), text, "__terms", bigrams)
-    n = df.count()
-    vocab = vocabulary(rows, "__terms", size).withColumn("idf", F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0)
-    # Outer for the same reason as above; an empty document's null finds no term.
-    known = join_small(rows.select(doc, F.explode_outer("__terms").alias("term")), vocab.select("term", "idf"), ["term"], "inner")
-    counts = known.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
-    tf = F.log(F.col("tf").cast("double")) + 1.0 if sublinear else F.col("tf").cast("double")
-    weighted = counts.select(doc, "term", (tf * F.col("idf")).alias("__w"))
-    # A document has no more rows here than the vocabulary has terms.
-    norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(doc)))
-    return weighted.select(doc, "term", (F.col("__w") / norm).alias("weight"))
+    rows = with_terms(df.select(doc, text), text, "__terms", bigrams).select(doc, "__terms")
+    _, names, weights = fit_vocabulary(rows, "__terms", size)
+    schema = T.StructType([rows.schema[0], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idf = pa.array(names, pa.string()), np.array(weights)
+        for batch in batches:
+            lists = batch.column(1)
+            term = pc.index_in(lists.flatten(), value_set=known)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            found = term.is_valid().to_numpy(zero_copy_only=False)
+            pair, tf = np.unique(
+                row[found] * len(idf) + term.drop_null().to_numpy(), return_counts=True
+            )
+            row, term = pair // max(1, len(idf)), pair % max(1, len(idf))
+            weight = (np.log(tf) + 1.0 if sublinear else tf.astype(float)) * idf[term]
+            norm = np.sqrt(np.bincount(row, weight * weight, len(lists)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), known.take(pa.array(term)), pa.array(weight / norm[row])], names=schema.names
+            )
+
+    return rows.mapInArrow(weigh, schema)
 
 
 def token_attribution(
@@ -71,10 +103,10 @@ def token_attribution(
 ) -> DataFrame:
     """The ``top`` single words per document by coefficient * weight; only values above ``floor``.
 
-    ``weights`` is (doc, term, weight), ``coefficients`` (term, coefficient) of a linear model, no larger than its
-    vocabulary. The per-document limit is applied in the map tasks.
+    ``weights`` is (doc, term, weight), ``coefficients`` (term, coefficient) of a linear model: broadcast, as it is no
+    larger than the model's vocabulary. The per-document limit is applied in the map tasks.
     """
-    scored = join_small(weights.filter(~F.contains("term", F.lit(" "))), coefficients, ["term"], "inner")
+    scored = weights.filter(~F.contains("term", F.lit(" "))).join(F.broadcast(coefficients), "term")
     scored = scored.withColumn("importance", F.col("weight") * F.col("coefficient"))
     scored = scored.filter(F.col("importance") > floor)
     rank = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("importance"), "term"))

@@ -10,7 +10,7 @@ from ..functions.fixed import CLEAN_COLUMNS
 from ..functions.text import clean_text, label_name, purge_reason, template_skeleton, with_channel, with_message_stats
 from ..operators.dedup import keep_first, keep_first_numbered
 from ..operators.filters import filter_computed
-from ..operators.joins import exclude_known, map_external_label
+from ..operators.joins import assert_no_leak, by_digest, exclude_known, map_external_label
 from ..operators.ordering import formatted_id
 from ..operators.quality import purge_counts, quality_audit
 from ..operators.splits import split_templates
@@ -57,10 +57,22 @@ def build_clean_messages(spark: SparkSession, path: str, out: str, lines: bool =
     return {"purge_counts": purge_counts(tagged), "audit": quality_audit(read_csv_table(spark, out, clean.schema))}
 
 
-def message_splits(clean: DataFrame, key: str = "ordinal") -> DataFrame:
-    """Clean messages with ``split``: train, validation, test_a (stratified), test_b (unseen templates)."""
+def message_splits(clean: DataFrame) -> DataFrame:
+    """Clean messages with ``split``: train, validation, test_a (stratified), test_b (unseen templates).
+
+    A row's place depends on its text, which is unique here, and not on its position in the input. No template lies on
+    both sides of the split; that is checked where the splits are written.
+    """
     rows = clean.withColumn("template_skeleton", template_skeleton(F.col("cleaned_text")))
-    return split_templates(rows, "template_skeleton", key)
+    rows = rows.withColumn("__text_digest", by_digest(F.col("cleaned_text")))
+    return split_templates(rows, "template_skeleton", "__text_digest").drop("__text_digest")
+
+
+def write_message_splits(splits: DataFrame, out: str) -> None:
+    """Write one folder per split; raises if a template of the unseen test set occurs in another part."""
+    unseen = F.col("split") == "test_b"
+    assert_no_leak(splits.filter(~unseen), splits.filter(unseen), "template_skeleton")
+    splits.write.mode("overwrite").partitionBy("split").parquet(out)
 
 
 def external_holdout(external: DataFrame, master: DataFrame | None = None, ordinal: str = "ordinal") -> DataFrame:
@@ -69,7 +81,7 @@ def external_holdout(external: DataFrame, master: DataFrame | None = None, ordin
     rows = filter_computed(
         rows.withColumn("cleaned_text", strip(F.col("cleaned_text"))), F.length("cleaned_text") >= 3
     )
-    rows = keep_first(rows, "cleaned_text", ordinal)
+    rows = keep_first(stored(rows, "external"), "cleaned_text", ordinal)
     if master is not None:
         rows = exclude_known(rows, master.select(strip(F.col("cleaned_text")).alias("cleaned_text")), "cleaned_text")
     rows = map_external_label(rows).withColumn("label_name", label_name(F.col("label")))

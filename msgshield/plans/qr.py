@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import QR_RAW_COLUMNS
 from ..functions.qr import with_extracted_features
-from ..operators.filters import filter_computed
 from ..operators.quality import decode_statistics, duplicate_report
-from ..operators.reports import DECODE_REPORT, report_lines
-from ..sources.writers import write_csv, write_decodes, write_report
+from ..operators.reports import DECODE_REPORT, report_lines, with_files
+from ..sources.writers import successful_urls, write_csv, write_decodes, write_report
 
 
 def qr_raw_table(decodes: DataFrame) -> DataFrame:
@@ -47,15 +46,17 @@ def rederive_status(urls: DataFrame) -> DataFrame:
     )
 
 
-def successful_urls(raw: DataFrame) -> DataFrame:
-    return filter_computed(raw, (F.col("decode_status") == "success") & (F.col("content_type") == "url"))
+def rebuild_reports(raw: DataFrame, out: str) -> None:
+    """Write the duplicate report and the text report of a stored decode table."""
+    # Ids are numbered in input order, so they also give the order in which files were seen.
+    urls = successful_urls(raw).withColumn("ordinal", F.regexp_extract("qr_id", r"(\d+)$", 1).cast("long"))
+    report = duplicate_report(urls).orderBy(F.desc("occurrence_count"), "normalized_url")
+    write_csv(report, f"{out}/duplicates")
+    layout = with_files(DECODE_REPORT, [f"{out}/{name}" for name in ("raw", "urls", "failed", "duplicates", "report")])
+    write_report(report_lines(decode_statistics(raw), layout), f"{out}/report")
 
 
 def qr_payload_tables(spark: SparkSession, decodes: DataFrame, out: str) -> None:
     """Write the three decode tables, the duplicate report and the text report."""
     write_decodes(qr_raw_table(decodes), out)
-    raw = spark.read.parquet(f"{out}/raw")
-    # Ids are numbered in input order, so they also give the order in which files were seen.
-    urls = successful_urls(raw).withColumn("ordinal", F.regexp_extract("qr_id", r"(\d+)$", 1).cast("long"))
-    write_csv(duplicate_report(urls), f"{out}/duplicates")
-    write_report(report_lines(decode_statistics(raw), DECODE_REPORT), f"{out}/report")
+    rebuild_reports(spark.read.parquet(f"{out}/raw"), out)

@@ -9,7 +9,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +36,7 @@ from ..plans import scoring
 from ..plans import urls as url_jobs
 from ..session import stored
 from ..sources.readers import capped_scan, pending_files, qr_payloads
-from ..sources.writers import route_decodes
+from ..sources.writers import route_decodes, successful_urls
 from . import inputs, sql
 from .sql import CLEAN_CHAIN, SIGNALS, URL_FEATURE_SQL, URL_SPLIT_CHAIN, big, dbl, lit
 
@@ -147,10 +147,15 @@ def channel_mix(spark: SparkSession, sf: str) -> DataFrame:
     return quality.distribution(_clean_text(spark, sf), "channel", "label")
 
 
+def _kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages that were not purged (ordinal, label, cleaned_text), stored: deduplication reads them twice."""
+    kept = message_jobs.kept_messages(inputs.raw_messages(spark, sf))
+    return stored(kept.select("ordinal", "label", "cleaned_text"), "kept")
+
+
 def _clean_text(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct clean messages (ordinal, label, cleaned_text, channel), without statistics and ids."""
-    kept = message_jobs.kept_messages(inputs.raw_messages(spark, sf)).select("ordinal", "label", "cleaned_text")
-    return with_channel(keep_first(kept, "cleaned_text", "ordinal"))
+    return with_channel(keep_first(_kept(spark, sf), "cleaned_text", "ordinal"))
 
 
 def _stored_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,8 +191,7 @@ def dq_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("dedup_first", CLEAN_CHAIN[:4], "SELECT ordinal, CAST(label AS BIGINT) AS label, md5(cleaned_text) AS text_digest FROM kept")
 def dedup_first(spark: SparkSession, sf: str) -> DataFrame:
-    kept = message_jobs.kept_messages(inputs.raw_messages(spark, sf)).select("ordinal", "label", "cleaned_text")
-    first = keep_first(kept, "cleaned_text", "ordinal")
+    first = keep_first(_kept(spark, sf), "cleaned_text", "ordinal")
     return first.select("ordinal", "label", F.md5("cleaned_text").alias("text_digest"))
 
 
@@ -197,8 +201,7 @@ def dedup_first(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT ordinal, 'MSG_' || lpad(CAST(number AS VARCHAR), 6, '0') AS message_id FROM clean",
 )
 def message_ids(spark: SparkSession, sf: str) -> DataFrame:
-    kept = message_jobs.kept_messages(inputs.raw_messages(spark, sf)).select("ordinal", "cleaned_text")
-    rows = keep_first_numbered(kept, "cleaned_text", "ordinal", "number")
+    rows = keep_first_numbered(_kept(spark, sf), "cleaned_text", "ordinal", "number")
     return rows.select("ordinal", formatted_id("MSG", F.col("number")).alias("message_id"))
 
 
@@ -208,8 +211,7 @@ def message_ids(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT ordinal, " + ", ".join(f"{dbl(n)} AS {n}" for n in SIGNALS) + " FROM signals",
 )
 def cyber_features(spark: SparkSession, sf: str) -> DataFrame:
-    kept = message_jobs.kept_messages(inputs.raw_messages(spark, sf)).select("ordinal", "cleaned_text")
-    return with_message_signals(keep_first(kept, "cleaned_text", "ordinal")).select("ordinal", *MESSAGE_FEATURES)
+    return with_message_signals(keep_first(_kept(spark, sf), "cleaned_text", "ordinal")).select("ordinal", *MESSAGE_FEATURES)
 
 
 @register("template_skeleton", [*CLEAN_CHAIN, "skeletons"], "SELECT ordinal, template_skeleton FROM skeletons")
@@ -320,8 +322,8 @@ def label_members(spark: SparkSession, sf: str) -> DataFrame:
     documents = inputs.table(spark, sf, "documents").select("doc_id", "source")
     toxic = inputs.table(spark, sf, "labels").filter(F.col("toxic") == 1).select("doc_id")
     marked = documents.join(toxic, "doc_id", "left_semi").select("source")
-    inside = members(documents, marked, "source", "doc_id").withColumn("side", F.lit("in"))
-    outside = non_members(documents, marked, "source", "doc_id").withColumn("side", F.lit("out"))
+    inside = members(documents, marked, "source").withColumn("side", F.lit("in"))
+    outside = non_members(documents, marked, "source").withColumn("side", F.lit("out"))
     return inside.unionByName(outside).select("doc_id", "side")
 
 
@@ -401,28 +403,41 @@ def qr_url_features(spark: SparkSession, sf: str) -> DataFrame:
     return qr_jobs.qr_raw_table(inputs.qr_decodes(spark, sf)).select("ordinal", *QR_FEATURES)
 
 
-@register(
-    "route_decodes",
-    [*_QR, "qr_raw"],
-    "SELECT 'raw' AS target, CAST(count(*) AS BIGINT) AS \"rows\", CAST(sum(length(decoded_content)) AS BIGINT) AS content_chars FROM qr_raw "
-    "UNION ALL SELECT 'urls', CAST(count(*) AS BIGINT), CAST(sum(length(decoded_content)) AS BIGINT) FROM qr_raw "
-    "WHERE decode_status = 'success' AND content_type = 'url' "
-    "UNION ALL SELECT 'failed', CAST(count(*) AS BIGINT), 0 FROM qr_raw WHERE decode_status = 'failed'",
+def _stored_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """The decode table as a stored one: payloads are parsed once, and filters reach the files."""
+    return stored(qr_jobs.qr_raw_table(inputs.qr_decodes(spark, sf)), "raw")
+
+
+def _row_digest(columns: list[str]) -> Column:
+    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns])).alias("row_digest")
+
+
+def row_digest_sql(columns: list[str]) -> str:
+    return "md5(concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in columns) + ")) AS row_digest"
+
+
+ROUTED_SQL = (
+    f"SELECT 'raw' AS target, {row_digest_sql(QR_RAW_COLUMNS)} FROM qr_raw "
+    f"UNION ALL SELECT 'urls', {row_digest_sql(QR_URL_COLUMNS)} FROM qr_raw WHERE decode_status = 'success' AND content_type = 'url' "
+    f"UNION ALL SELECT 'failed', {row_digest_sql(QR_FAILED_COLUMNS)} FROM qr_raw WHERE decode_status = 'failed'"
 )
-def route(spark: SparkSession, sf: str) -> DataFrame:
-    parts = route_decodes(qr_jobs.qr_raw_table(inputs.qr_decodes(spark, sf)))
-    assert [len(parts[n].columns) for n in ("raw", "urls", "failed")] == [
-        len(QR_RAW_COLUMNS), len(QR_URL_COLUMNS), len(QR_FAILED_COLUMNS)
-    ]
+
+
+def routed_digests(parts: dict[str, DataFrame]) -> DataFrame:
+    """(target, row_digest) of every row of the three tables."""
     out = None
     for name, part in parts.items():
-        chars = F.sum(F.length("decoded_content")) if "decoded_content" in part.columns else F.lit(0)
-        row = part.agg(F.count(F.lit(1)).alias("rows"), chars.cast("long").alias("content_chars"))
-        row = row.select(F.lit(name).alias("target"), "rows", "content_chars")
-        out = row if out is None else out.unionByName(row)
+        rows = part.select(F.lit(name).alias("target"), _row_digest(part.columns))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
+@register("route_decodes", [*_QR, "qr_raw"], ROUTED_SQL)
+def route(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row of the three views of the decode table."""
+    return routed_digests(route_decodes(_stored_raw(spark, sf)))
+
+
 @register(
     "qr_raw_table",
     [*_QR, "qr_raw"],
@@ -455,8 +470,7 @@ def rederived_status(spark: SparkSession, sf: str) -> DataFrame:
     "FROM qr_raw WHERE decode_status = 'success' AND content_type = 'url' GROUP BY normalized_url HAVING count(*) > 1",
 )
 def duplicate_report(spark: SparkSession, sf: str) -> DataFrame:
-    raw = qr_jobs.qr_raw_table(inputs.qr_decodes(spark, sf))
-    return quality.duplicate_report(qr_jobs.successful_urls(raw))
+    return quality.duplicate_report(successful_urls(_stored_raw(spark, sf)))
 
 
 _IS_URL = "decode_status = 'success' AND content_type = 'url'"
@@ -510,11 +524,12 @@ def pending(spark: SparkSession, sf: str) -> DataFrame:
     "qr_payloads",
     [*_QR, "qr_raw"],
     f"SELECT ordinal, {sql.strip('coalesce(nullif(decoded_content, {}), nullif(normalized_url, {}))'.format(lit(''), lit('')))} AS raw_url, "
-    "CAST(1 AS BIGINT) AS label, 'qr_decoded' AS source FROM qr_raw WHERE label = 1 AND (decoded_content <> '' OR normalized_url <> '')",
+    "CAST(label AS BIGINT) AS label, 'qr_decoded' AS source FROM qr_raw WHERE decoded_content <> '' OR normalized_url <> ''",
 )
 def payload_rows(spark: SparkSession, sf: str) -> DataFrame:
-    raw = qr_jobs.qr_raw_table(inputs.qr_decodes(spark, sf)).filter(F.col("label") == 1)
-    return qr_payloads(raw, 1)
+    """Payload rows of both tables, malicious and benign."""
+    raw = _stored_raw(spark, sf)
+    return qr_payloads(raw.filter("label = 1"), 1).unionByName(qr_payloads(raw.filter("label = 0"), 0))
 
 
 @register(
@@ -532,7 +547,7 @@ _CORPUS = ["sources", *sql.canonical("sources", "raw_url, ordinal, label, source
 
 
 def _corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return url_jobs.url_corpus(inputs.url_sources(spark, sf), None)
+    return url_jobs.url_corpus(inputs.url_sources(spark, sf))
 
 
 def _stored_corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -565,19 +580,20 @@ def domain_split(spark: SparkSession, sf: str) -> DataFrame:
 )
 def temporal(spark: SparkSession, sf: str) -> DataFrame:
     """Balanced sample of the long URLs in the random test set."""
-    return url_jobs.temporal_sample(url_jobs.url_splits(_stored_corpus(spark, sf))).select("normalized_url", "label")
+    splits = stored(url_jobs.url_splits(_stored_corpus(spark, sf)), "splits")
+    return url_jobs.temporal_sample(splits, url_jobs.TEMPORAL_ROWS).select("normalized_url", "label")
 
 
 @register(
     "balanced_corpus",
     [*_CORPUS, "corpus"],
     "SELECT normalized_url, CAST(label AS BIGINT) AS label FROM (SELECT *, row_number() OVER (PARTITION BY label "
-    "ORDER BY md5('42:' || normalized_url)) AS place, (SELECT least(count(*) FILTER (label = 0), count(*) FILTER (label = 1), 40) "
+    "ORDER BY md5('42:' || normalized_url)) AS place, (SELECT least(count(*) FILTER (label = 0), count(*) FILTER (label = 1)) "
     "FROM corpus) AS n FROM corpus) WHERE place <= n",
 )
 def balanced_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """W5 on the whole corpus, at most 40 of each class."""
-    return balanced_sample(_corpus(spark, sf), "normalized_url", cap=40).select("normalized_url", "label")
+    """W5 on the whole corpus: all of the smaller class, as many of the other."""
+    return balanced_sample(_stored_corpus(spark, sf), "normalized_url", cap=None).select("normalized_url", "label")
 
 
 @register(
@@ -1012,7 +1028,7 @@ def topk_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return terms.token_attribution(weights, odds, "doc_id")
 
 
-_SCALED = ["url_length", "digit_ratio", "url_entropy", "keyword_count", "subdomain_count", "has_punycode"]
+_SCALED = URL_FEATURES
 
 
 @register(

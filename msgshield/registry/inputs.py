@@ -8,18 +8,9 @@ from pyspark.sql import functions as F
 from ..operators.ordering import formatted_id, sequential_id
 
 
-KEYS = {
-    "documents": "doc_id", "pages": "page_id", "labels": "doc_id", "conversations": "conv_id", "benchmark": "item_id",
-    "embeddings": "vec_id", "events": "event_id",
-}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table. One that is scanned by fewer tasks than there are cores is spread by its key, since one file
-    with one row group is one task; a table of many files is read as it lies, without a shuffle."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, KEYS[name]) if df.rdd.getNumPartitions() < cores else df
+    """A given table, as it lies."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def _http_label() -> Column:

@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fixed import CLEAN_COLUMNS
 from ..functions.qr import strip_series_artifact
 from ..functions.urls import looks_like_url
 from ..operators import metrics, terms
 from ..operators.quality import decode_statistics
-from ..operators.reports import DECODE_REPORT, markdown_rows, report_lines
+from ..operators.reports import DECODE_REPORT, markdown_rows, report_lines, with_files
 from ..plans import evaluation, scoring, training
 from ..plans import messages as message_jobs
 from ..plans import qr as qr_jobs
 from ..plans import urls as url_jobs
 from ..session import shared_dir, stored
 from ..sources import readers, writers
-from ..streaming.ingest import ingest_decodes, read_ingested
+from ..streaming.ingest import ingest_decodes, read_ingested, resume_decodes
 from ..streaming.scoring import stream_score, write_scores
 from . import inputs, sql
-from .catalog import _CORPUS, _DECODE_CTE, _MATRIX_CTES, _MATRIX_SELECT, _MSG_PROB, _QR, _RATE_COLUMNS, _SCORED_QR
+from .catalog import _CORPUS, _DECODE_CTE, _ECE, _MATRIX_CTES, _MATRIX_SELECT, _MSG_PROB, _QR, _RATE_COLUMNS, _SCORED_QR
 from .catalog import _SCORED_URLS, _SCORE_QR_SELECT
 from .catalog import _flat_indicators, _score_messages_select, _score_urls_select, _scored_messages, _stored_corpus
-from .catalog import _stored_text, register
+from .catalog import ORACLES, ROUTED_SQL, _row_digest, _stored_text, register, routed_digests, row_digest_sql
 from .sql import CLEAN_CHAIN, URL_SPLIT_CHAIN, big
 
 # --- sources and sinks ---------------------------------------------------------------------------
@@ -73,8 +74,7 @@ def url_csv(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "channel_sink",
     CLEAN_CHAIN,
-    "SELECT channel, CAST(count(*) AS BIGINT) AS messages, CAST(sum(length(cleaned_text)) AS BIGINT) AS chars, "
-    "min('MSG_' || lpad(CAST(number AS VARCHAR), 6, '0')) AS first_id FROM clean GROUP BY channel",
+    "SELECT channel, 'MSG_' || lpad(CAST(number AS VARCHAR), 6, '0') AS message_id, md5(cleaned_text) AS text_digest FROM clean",
 )
 def channel_sink(spark: SparkSession, sf: str) -> DataFrame:
     """The clean corpus written by channel and read back."""
@@ -82,53 +82,48 @@ def channel_sink(spark: SparkSession, sf: str) -> DataFrame:
     clean = message_jobs.clean_messages(inputs.raw_messages(spark, sf)).select(CLEAN_COLUMNS)
     writers.write_by_channel(clean, path)
     rows = readers.read_csv_table(spark, path, clean.schema)
-    return rows.groupBy("channel").agg(
-        F.count(F.lit(1)).alias("messages"), F.sum(F.length("cleaned_text")).alias("chars"), F.min("message_id").alias("first_id")
-    )
+    return rows.select("channel", "message_id", F.md5("cleaned_text").alias("text_digest"))
 
 
 @register(
     "export_formats",
     [*_CORPUS, *URL_SPLIT_CHAIN],
-    "SELECT split, format, CAST(count(*) AS BIGINT) AS n FROM url_splits, (VALUES ('csv'), ('parquet')) AS f(format) GROUP BY ALL",
+    f"SELECT split, format, {row_digest_sql(url_jobs.CORPUS_COLUMNS)} FROM url_splits, (VALUES ('csv'), ('parquet')) AS f(format)",
 )
 def export_formats(spark: SparkSession, sf: str) -> DataFrame:
     """K5: every split as CSV and Parquet."""
     path = shared_dir(spark, "export")
     splits = stored(url_jobs.url_splits(_stored_corpus(spark, sf)), "splits")
-    names = ["train", "validation", "test_random", "test_unseen_domain", "test_qr_unseen"]
+    names = url_jobs.SPLIT_FILES
     writers.export_formats({n: splits.filter(F.col("split") == n) for n in names}, path)
     out = None
     for name in names:
         for kind in ("csv", "parquet"):
             reader = spark.read.schema(splits.schema)
             rows = reader.option("header", True).csv(f"{path}/{name}_csv") if kind == "csv" else reader.parquet(f"{path}/{name}_parquet")
-            row = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).withColumn("format", F.lit(kind))
+            row = rows.select("split", F.lit(kind).alias("format"), _row_digest(url_jobs.CORPUS_COLUMNS))
             out = row if out is None else out.unionByName(row)
     return out
 
 
+_DUPLICATES = ["normalized_url", "occurrence_count", "benign_count", "malicious_count", "is_cross_label_conflict", "sample_image_filenames"]
+
+
 @register(
     "decode_tables",
-    [*_QR, "qr_raw"],
-    "SELECT 'raw' AS target, CAST(count(*) AS BIGINT) AS n FROM qr_raw UNION ALL SELECT 'urls', CAST(count(*) AS BIGINT) FROM qr_raw "
-    "WHERE decode_status = 'success' AND content_type = 'url' UNION ALL SELECT 'failed', CAST(count(*) AS BIGINT) FROM qr_raw "
-    "WHERE decode_status = 'failed' UNION ALL SELECT 'duplicates', CAST(count(*) AS BIGINT) FROM (SELECT normalized_url FROM qr_raw "
-    "WHERE decode_status = 'success' AND content_type = 'url' GROUP BY normalized_url HAVING count(*) > 1)",
+    [*_QR, "qr_raw", ("d", ORACLES["duplicate_report"].rsplit("\n", 1)[1])],
+    f"{ROUTED_SQL} UNION ALL SELECT 'duplicates', {row_digest_sql(_DUPLICATES)} FROM d",
 )
 def decode_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """C4, K3: the whole QR job, counted from its output files."""
+    """C4, K3: the whole QR job; every row of its output files."""
     path = shared_dir(spark, "qr-job")
     qr_jobs.qr_payload_tables(spark, inputs.qr_decodes(spark, sf), path)
-    out = None
-    for name in ("raw", "urls", "failed", "duplicates"):
-        rows = spark.read.parquet(f"{path}/{name}") if name != "duplicates" else spark.read.option("header", True).csv(f"{path}/{name}")
-        row = rows.agg(F.count(F.lit(1)).alias("n")).withColumn("target", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+    parts = {name: spark.read.parquet(f"{path}/{name}") for name in ("raw", "urls", "failed")}
+    parts["duplicates"] = spark.read.option("header", True).option("escape", '"').csv(f"{path}/duplicates")
+    return routed_digests(parts)
 
 
-def _report_sql() -> str:
+def _report_sql(layout: list = DECODE_REPORT) -> str:
     """The report lines as one SQL list over the statistics ``d``."""
 
     def line(template: str, columns: list[str]) -> str:
@@ -139,7 +134,7 @@ def _report_sql() -> str:
             return f"{sql.lit(head)} || format('{{:,}}', {columns[0]})"
         return f"{sql.lit(head)} || printf('%.2f', {columns[0]}) || '%'"
 
-    return "[" + ", ".join(line(*entry) for entry in DECODE_REPORT) + "]"
+    return "[" + ", ".join(line(*entry) for entry in layout) + "]"
 
 
 @register(
@@ -252,32 +247,139 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return read_ingested(spark, out).select("qr_id", "normalized_url", "content_type", "decode_status", "url_length")
 
 
+@register(
+    "resume_reports",
+    [*_QR, "qr_raw", _DECODE_CTE, ("d", f"SELECT *, {_RATE_COLUMNS} FROM s"),
+     ("l", f"SELECT {_report_sql(with_files(DECODE_REPORT, [f'<out>/{n}' for n in ('raw', 'urls', 'failed', 'duplicates', 'report')]))} AS lines FROM d")],
+    "SELECT line, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(lines) AS line FROM l) GROUP BY line",
+)
+def resume_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Two deliveries ingested one after the other; statistics and reports rebuilt from all batches."""
+    rows = stored(inputs.qr_decodes(spark, sf), "decodes")
+    path, out, checkpoint = (shared_dir(spark, f"resume-{n}") for n in ("in", "out", "checkpoint"))
+    # Each row arrives once, in the first or in the second delivery.
+    for late in (False, True):
+        rows.filter((F.col("label") == 1) if late else (F.col("label") == 0)).write.mode("append").parquet(path)
+        resume_decodes(spark.readStream.schema(rows.schema).parquet(path), out, checkpoint)
+    lines = spark.read.text(f"{out}/report").select(F.replace("value", F.lit(out), F.lit("<out>")).alias("line"))
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "append_resume",
+    ["decodes"],
+    "SELECT image_filename, CAST(1 AS BIGINT) AS n FROM decodes",
+)
+def append_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows appended in two parts, the second of what is pending; every file is there once."""
+    path = shared_dir(spark, "appended")
+    files = stored(inputs.qr_decodes(spark, sf).select("image_filename", "label"), "files")
+    writers.append_rows(files.filter("label = 1"), path)
+    done = spark.read.schema(files.schema).parquet(path)
+    writers.append_rows(stored(readers.pending_files(files, done), "pending").select(files.columns), path)
+    appended = spark.read.schema(files.schema).parquet(path)
+    return appended.groupBy("image_filename").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "file_order",
+    [],
+    "SELECT CAST(row_number() OVER (ORDER BY file, doc_id) - 1 AS BIGINT) AS ordinal, md5(text) AS digest, CAST(doc_id % 2 AS BIGINT) AS label "
+    "FROM (SELECT *, CASE WHEN doc_id % 50 = 0 THEN 0 WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS file FROM documents)",
+)
+def file_order(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as three files of unequal size; ordinals follow file name and position."""
+    path = shared_dir(spark, "files")
+    docs = inputs.table(spark, sf, "documents")
+    file = F.when(F.col("doc_id") % 50 == 0, 0).when(F.col("doc_id") % 3 == 0, 1).otherwise(2)
+    docs = stored(docs.select("doc_id", "text", (F.col("doc_id") % 2).cast("int").alias("label"), file.alias("file")), "docs")
+    for k in range(3):
+        part = docs.filter(F.col("file") == k).coalesce(1).sortWithinPartitions("doc_id").select("text", "label")
+        part.write.option("ignoreNullFields", False).json(f"{path}/{k}")
+    rows = readers.read_messages_json(spark, f"{path}/*", lines=True)
+    return rows.select("ordinal", F.md5("text").alias("digest"), "label")
+
+
+_BENCHMARK_COLUMNS = {
+    "Evaluation Level": "level", "Samples": "samples", "Accuracy (%)": "accuracy", "Macro F1 (%)": "macro_f1",
+    "Precision (%)": "macro_precision", "Recall (%)": "macro_recall", "Target": "target", "Status": "status",
+    "TP": "TP", "FP": "FP", "TN": "TN", "FN": "FN",
+}
+
+
+@register("benchmark_csv", [*_MATRIX_CTES, ("m", _MATRIX_SELECT)], "SELECT " + ", ".join(_BENCHMARK_COLUMNS.values()) + " FROM m")
+def benchmark_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The message matrix written as a benchmark file and read back."""
+    path = shared_dir(spark, "benchmark")
+    matrix = metrics.message_matrix(inputs.scored_rows(spark, sf))
+    writers.write_csv(matrix.select([F.col(c).alias(name) for name, c in _BENCHMARK_COLUMNS.items()]), path)
+    rows = readers.read_benchmark_csv(spark, path)
+    return rows.select([F.col(f"`{name}`").alias(c) for name, c in _BENCHMARK_COLUMNS.items()])
+
+
+_URL_JOB_COLUMNS = ", ".join(url_jobs.CORPUS_COLUMNS).replace("label", "CAST(label AS BIGINT) AS label")
+
+
+@register(
+    "url_job",
+    [*_CORPUS, *URL_SPLIT_CHAIN, ("t", ORACLES["balanced_sample"].rsplit("\n", 1)[1])],
+    f"SELECT split AS file, {_URL_JOB_COLUMNS} FROM url_splits "
+    f"UNION ALL SELECT 'test_temporal', {_URL_JOB_COLUMNS} FROM url_splits WHERE normalized_url IN (SELECT normalized_url FROM t)",
+)
+def url_job(spark: SparkSession, sf: str) -> DataFrame:
+    """CSV tables in, six CSV tables out; every row of each."""
+    path = shared_dir(spark, "url-job")
+    rows = stored(inputs.url_sources(spark, sf), "sources")
+
+    def write(part: DataFrame, name: str) -> str:
+        writers.write_csv(part.repartitionByRange(4, "ordinal").sortWithinPartitions("ordinal").drop("ordinal"), f"{path}/{name}")
+        return f"{path}/{name}"
+
+    labelled = rows.filter("source = 'existing_url'")
+    labelled = labelled.select(F.lit("x").alias("note"), F.col("label"), F.col("raw_url").alias("URL"), "ordinal")
+    qr = rows.filter("source = 'qr_decoded'").select("label", F.lit("").alias("normalized_url"), F.col("raw_url").alias("decoded_content"), "ordinal")
+    payloads = {write(qr.filter(F.col("label") == k), f"qr_{k}"): k for k in (0, 1)}
+    url_jobs.build_url_splits(spark, write(labelled, "labelled"), payloads, f"{path}/out")
+    schema = T.StructType([T.StructField(c, T.IntegerType() if c == "label" else T.StringType()) for c in url_jobs.CORPUS_COLUMNS])
+    out = None
+    for name in [*url_jobs.SPLIT_FILES, "test_temporal"]:
+        part = readers.read_csv_table(spark, f"{path}/out/{name}", schema).withColumn("file", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- models --------------------------------------------------------------------------------------
 
-# Smaller than the defaults of ``fit_url_model`` (300 rounds, depth 8), which aim at large corpora.
-TREES = {"iterations": 10, "depth": 4}
+_BUNDLES: dict[tuple[str, str], tuple] = {}
 
 
 def _url_split_table(spark: SparkSession, sf: str) -> DataFrame:
     return stored(url_jobs.url_splits(_stored_corpus(spark, sf)), "splits")
 
 
+def _url_bundle(spark: SparkSession, sf: str) -> tuple:
+    """(bundle, validation metrics), fitted once for each data set of an application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUNDLES:
+        splits = _url_split_table(spark, sf)
+        train, validation = (splits.filter(F.col("split") == s) for s in ("train", "validation"))
+        bundle, report = training.train_and_calibrate(train, validation)
+        _BUNDLES[key] = bundle, spark.createDataFrame(report.collect(), report.schema)
+    return _BUNDLES[key]
+
+
 @register("url_model_metrics")
 def url_model_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Boosted trees with isotonic calibration; validation metrics."""
-    splits = _url_split_table(spark, sf)
-    train, validation = (splits.filter(F.col("split") == s) for s in ("train", "validation"))
-    return training.train_and_calibrate(train, validation, **TREES)[1]
+    return _url_bundle(spark, sf)[1]
 
 
 @register("url_evaluation")
 def url_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     """The model bundle saved, loaded and evaluated on the four suites."""
-    splits = _url_split_table(spark, sf)
-    train, validation = (splits.filter(F.col("split") == s) for s in ("train", "validation"))
     path = shared_dir(spark, "url-bundle")
-    writers.save_bundle(training.train_and_calibrate(train, validation, **TREES)[0], path)
-    return evaluation.evaluate_urls(writers.load_bundle(path), url_jobs.test_suites(splits))
+    writers.save_bundle(_url_bundle(spark, sf)[0], path)
+    return evaluation.evaluate_urls(writers.load_bundle(path), url_jobs.test_suites(_url_split_table(spark, sf)))
 
 
 def _message_split_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -309,7 +411,29 @@ def stage_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.stage_comparison(out)
 
 
-@register("calibration")
+# The isotonic fit at a score: the highest, over the scores at or below it, of the least mean label from there to a score
+# at or above it.
+_FITTED = [
+    "scored",
+    ("points", "SELECT prob, sum(label)::DOUBLE AS y, count(*)::DOUBLE AS w FROM scored GROUP BY prob"),
+    ("sums", "SELECT prob, row_number() OVER (ORDER BY prob) AS i, sum(y) OVER (ORDER BY prob) AS sy, sum(w) OVER (ORDER BY prob) AS sw, y, w FROM points"),
+    ("spans", "SELECT a.i AS i, b.i AS j, (b.sy - a.sy + a.y) / (b.sw - a.sw + a.w) AS m FROM sums a JOIN sums b ON b.i >= a.i"),
+    ("least_means", "SELECT i, j, min(m) OVER (PARTITION BY i ORDER BY j DESC) AS m FROM spans"),
+    ("fit", "SELECT j, max(m) AS calibrated FROM least_means GROUP BY j"),
+    ("calibrated", "SELECT scored.* EXCLUDE (prob), prob AS raw, least(1.0::DOUBLE, greatest(0.0::DOUBLE, calibrated)) AS cal "
+     "FROM scored JOIN sums USING (prob) JOIN fit ON j = i"),
+]
+
+
+def _calibration_error_sql(column: str) -> str:
+    return _ECE.format(g="split").replace("prob", column).replace("FROM scored", "FROM calibrated")
+
+
+@register(
+    "calibration",
+    [*_FITTED, ("a", _calibration_error_sql("raw")), ("b", _calibration_error_sql("cal"))],
+    "SELECT split, round(a.ece, 6) AS raw_ece, round(b.ece, 6) AS calibrated_ece, round(b.brier, 6) AS brier_score FROM a JOIN b USING (split)",
+)
 def calibration(spark: SparkSession, sf: str) -> DataFrame:
     """Isotonic calibration of scored rows, with error before and after."""
     rows = inputs.scored_rows(spark, sf)
@@ -324,9 +448,7 @@ def calibration(spark: SparkSession, sf: str) -> DataFrame:
 @register("score_urls_model")
 def score_urls_model(spark: SparkSession, sf: str) -> DataFrame:
     """R14 with a fitted, calibrated bundle instead of the heuristic."""
-    splits = _url_split_table(spark, sf)
-    train, validation = (splits.filter(F.col("split") == s) for s in ("train", "validation"))
-    bundle = training.train_and_calibrate(train, validation, **TREES)[0]
+    bundle = _url_bundle(spark, sf)[0]
     return _flat_indicators(scoring.score_urls(inputs.url_variants(spark, sf), model=bundle).drop("raw_url", "label"))
 
 

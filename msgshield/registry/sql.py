@@ -220,7 +220,7 @@ CTE["message_splits"] = """
   SELECT ordinal, channel, label, template_skeleton, CASE WHEN in_b THEN 'test_b' WHEN place <= n_a THEN 'test_a'
       WHEN place <= n_a + n_v THEN 'validation' ELSE 'train' END AS split
   FROM (SELECT *, floor(members::DOUBLE * share) AS n_a, floor(members::DOUBLE * share) AS n_v
-    FROM (SELECT *, row_number() OVER (PARTITION BY in_b, channel, label ORDER BY md5('42:' || ordinal)) AS place,
+    FROM (SELECT *, row_number() OVER (PARTITION BY in_b, channel, label ORDER BY md5('42:' || sha256(cleaned_text))) AS place,
         count(*) OVER (PARTITION BY in_b, channel, label) AS members,
         (count(*) OVER () * 0.1::DOUBLE) / sum(CASE WHEN in_b THEN 0 ELSE 1 END) OVER () AS share
       FROM (SELECT *, template_skeleton IN (SELECT template_skeleton FROM test_b) AS in_b FROM skeletons)))"""

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The temporary folder of a local session without the setting.
+_LOCAL_ROOTS: set[str] = set()
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -45,10 +48,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="msgshield-")
+        root = next(iter(_LOCAL_ROOTS), None) or tempfile.mkdtemp(prefix="msgshield-")
+        _LOCAL_ROOTS.add(root)
     return os.path.join(root, f"msgshield-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
 
 
+def remove_intermediate(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. Call it when no frame that reads them is needed any more."""
+    roots = {os.path.dirname(shared_dir(spark, "x"))} | _LOCAL_ROOTS
+    for root in roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable without overriding a folder that is already set."""
     if spark.sparkContext.getCheckpointDir() is None:
@@ -62,4 +74,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

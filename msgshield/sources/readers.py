@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.chars import strip
-from ..functions.fixed import IMAGE_EXTENSIONS, QR_FEATURES
+from ..functions.fixed import IMAGE_EXTENSIONS
 from ..operators.filters import filter_computed
 from ..operators.ordering import formatted_id, sequential_id
 from ..operators.splits import first_per_class
 
 MESSAGES = T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.IntegerType())])
-URL_LABELS = ("URL", "label")
 BENCHMARK = T.StructType(
     [
         T.StructField("Evaluation Level", T.StringType()),
@@ -38,36 +37,71 @@ def qr_schema(columns: list[str]) -> T.StructType:
     )
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """Reader output with ``ordinal``: 0, 1, 2, ... by file path and position in the file.
+
+    Spark packs blocks of files into tasks by size, so row numbers of tasks say nothing about the input order. A block's
+    offset is the number of rows in the blocks before it; that table has one row per input block, like the list of blocks that the
+    driver plans the scan with, and is broadcast.
+    """
+    rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
+    rows = rows.withColumn("__row", F.monotonically_increasing_id())
+    blocks = rows.groupBy("__file", "__block").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")
+    blocks = blocks.select("__file", "__block", shift.alias("__shift"))
+    rows = rows.join(F.broadcast(blocks), ["__file", "__block"])
+    return rows.select(*df.columns, (F.col("__row") + F.col("__shift")).cast("long").alias("ordinal"))
+
+
 def read_messages_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Messages ``{text, label}`` with an ordinal. A file is one JSON array, or one object per line.
+    """Messages ``{text, label}`` with an ordinal in input order. A file is one JSON array, or one object per line.
 
     An array has to be parsed as a whole, so one file is one task: spread a large corpus over many files, or use
     ``lines=True``, which splits files.
     """
     reader = spark.read.schema(MESSAGES)
-    df = reader.json(path) if lines else reader.option("multiLine", True).json(path)
-    return df.withColumn("ordinal", F.monotonically_increasing_id())
-
+    return _numbered(reader.json(path) if lines else reader.option("multiLine", True).json(path))
 
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True) -> DataFrame:
-    """CSV with a header, doubled quotes and a possible byte order mark; quoted fields may span lines.
 
-    Multi-line fields keep a file in one task; ``multiline=False`` lets Spark split files that have none. Missing text
-    is the empty string, as in the files.
-    """
+def _raw_csv(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
+    """A CSV with a header and doubled quotes: all columns as text, a byte order mark in the header removed."""
     df = (
-        spark.read.schema(schema)
-        .option("header", True)
+        spark.read.option("header", True)
         .option("multiLine", multiline)
         .option("escape", '"')
         .option("nullValue", "\u0000")
-        .option("enforceSchema", True)
+        .option("enforceSchema", False)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
-    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in texts}) if texts else df
+    marked = [c for c in df.columns if c.startswith("\ufeff")]
+    return df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in marked})
+
+
+def _columns(df: DataFrame, schema: T.StructType) -> list[Column]:
+    """The columns of a schema, found by name and cast; missing text is the empty string, as in the files."""
+    missing = [f.name for f in schema.fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"columns missing in the header: {', '.join(missing)}")
+    empty = F.lit("")
+    out = []
+    for f in schema.fields:
+        value = F.col(f"`{f.name}`")
+        text = isinstance(f.dataType, T.StringType)
+        out.append((F.coalesce(value, empty) if text else F.nullif(value, empty).cast(f.dataType)).alias(f.name))
+    return out
+
+
+def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True) -> DataFrame:
+    """CSV with a header, doubled quotes and a possible byte order mark; quoted fields may span lines.
+
+    Columns are found by name, in any order; a column that is not there is an error. Multi-line fields keep a file in
+    one task; ``multiline=False`` lets Spark split files that have none. Missing text is the empty string.
+    """
+    df = _raw_csv(spark, path, multiline)
+    return df.select(*_columns(df, schema))
 
 
 def resolve_column(columns: list[str], name: str, fallback: int) -> str:
@@ -78,21 +112,19 @@ def resolve_column(columns: list[str], name: str, fallback: int) -> str:
     return columns[fallback]
 
 
-def read_url_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Columns URL and label of a wider CSV, else the first and the second last one; trimmed; label 0 or 1 only."""
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
+def read_url_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Columns URL and label of a wider CSV, else the first and the second last one; trimmed; label 0 or 1 only.
+
+    ``multiline=False`` lets Spark split files whose fields hold no line breaks.
+    """
+    raw = _raw_csv(spark, path, multiline)
     url, label = resolve_column(raw.columns, "URL", 0), resolve_column(raw.columns, "label", -2)
     pick = lambda c: strip(F.coalesce(F.col("`" + c + "`"), F.lit("")))
+    rows = _numbered(raw)
     # Bytes that are no UTF-8 arrive as replacement characters; they are dropped.
-    rows = raw.select(F.replace(pick(url), F.lit("�"), F.lit("")).alias("raw_url"), pick(label).alias("label"))
+    rows = rows.select(F.replace(pick(url), F.lit("\ufffd"), F.lit("")).alias("raw_url"), pick(label).alias("label"), "ordinal")
     rows = rows.filter(F.col("label").isin("0", "1")).withColumn("label", F.col("label").cast("int"))
-    return rows.withColumns({"source": F.lit("existing_url"), "ordinal": F.monotonically_increasing_id()})
+    return rows.withColumn("source", F.lit("existing_url")).select("raw_url", "label", "source", "ordinal")
 
 
 def qr_payload_url(df: DataFrame) -> Column:
@@ -103,22 +135,22 @@ def qr_payload_url(df: DataFrame) -> Column:
 
 
 def qr_payloads(df: DataFrame, label: int, source: str = "qr_decoded") -> DataFrame:
-    """URL rows of a QR table; rows without content are dropped, the rest is trimmed."""
+    """URL rows of a QR table with an ordinal; rows without content are dropped, the rest is trimmed."""
     rows = filter_computed(df.withColumn("raw_url", qr_payload_url(df)), F.col("raw_url").isNotNull())
-    if "ordinal" not in rows.columns:
-        rows = rows.withColumn("ordinal", F.monotonically_increasing_id())
     return rows.select(
         strip(F.col("raw_url")).alias("raw_url"), F.lit(label).alias("label"), F.lit(source).alias("source"), "ordinal"
     )
 
 
-def read_qr_payloads(spark: SparkSession, path: str, label: int, source: str = "qr_decoded") -> DataFrame:
-    schema = qr_schema(["qr_id", "image_filename", "source_folder", "label", "decoded_content", "normalized_url",
-                        *QR_FEATURES[1:]])
-    return qr_payloads(read_csv_table(spark, path, schema), label, source)
+def read_qr_payloads(spark: SparkSession, path: str, label: int, source: str = "qr_decoded", multiline: bool = True) -> DataFrame:
+    """URL rows of a QR table in CSV, all with one label."""
+    raw = _raw_csv(spark, path, multiline)
+    schema = qr_schema(["decoded_content", "normalized_url"])
+    rows = _numbered(raw)
+    return qr_payloads(rows.select(*_columns(raw, schema), "ordinal"), label, source)
 
 
-def capped_scan(df: DataFrame, n_per_class: int = 15_000) -> DataFrame:
+def capped_scan(df: DataFrame, n_per_class: int) -> DataFrame:
     """The first ``n_per_class`` rows of each label and source, in input order."""
     return first_per_class(df, ["source", "label"], n_per_class)
 
@@ -168,7 +200,7 @@ def pending_files(manifest: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def read_benchmark_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BENCHMARK).option("header", True).csv(path)
+    return read_csv_table(spark, path, BENCHMARK)
 
 
 def base64_payload(col: Column) -> Column:

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.filters import filter_computed
 from ..functions.fixed import QR_FAILED_COLUMNS, QR_RAW_COLUMNS, QR_URL_COLUMNS
 
 
@@ -19,27 +18,35 @@ def write_by_channel(clean: DataFrame, path: str) -> None:
     clean.write.mode("overwrite").option("header", True).option("escape", '"').partitionBy("channel").csv(path)
 
 
-def route_decodes(raw: DataFrame) -> dict[str, DataFrame]:
-    """The three views of a decode table: all rows (26 columns), URL rows (21), failures (6)."""
-    success = F.col("decode_status") == "success"
+def _success() -> Column:
+    return F.col("decode_status") == "success"
+
+
+def successful_urls(stored: DataFrame) -> DataFrame:
+    """URL rows of a stored decode table; the filter reaches the files."""
+    return stored.filter(_success() & (F.col("content_type") == "url"))
+
+
+def route_decodes(stored: DataFrame) -> dict[str, DataFrame]:
+    """The three views of a stored decode table: all rows (26 columns), URL rows (21), failures (6)."""
     return {
-        "raw": raw.select(QR_RAW_COLUMNS),
-        "urls": filter_computed(raw, success & (F.col("content_type") == "url")).select(QR_URL_COLUMNS),
-        "failed": raw.filter(~success).select(QR_FAILED_COLUMNS),
+        "raw": stored.select(QR_RAW_COLUMNS),
+        "urls": successful_urls(stored).select(QR_URL_COLUMNS),
+        "failed": stored.filter(~_success()).select(QR_FAILED_COLUMNS),
     }
 
 
-def write_decodes(raw: DataFrame, path: str) -> None:
+def write_decodes(raw: DataFrame, path: str, folder: str = "") -> None:
     """Write the full table once, then derive the two narrower ones from what was written.
 
     Reading back costs less than running the payload regexes three times, and needs no executor memory that a lost
-    executor would take along.
+    executor would take along. ``folder`` is a subfolder of each table, for the batches of a stream.
     """
-    raw.select(QR_RAW_COLUMNS).write.mode("overwrite").parquet(f"{path}/raw")
-    stored = raw.sparkSession.read.parquet(f"{path}/raw")
+    raw.select(QR_RAW_COLUMNS).write.mode("overwrite").parquet(f"{path}/raw{folder}")
+    stored = raw.sparkSession.read.schema(raw.select(QR_RAW_COLUMNS).schema).parquet(f"{path}/raw{folder}")
     for name, part in route_decodes(stored).items():
         if name != "raw":
-            part.write.mode("overwrite").parquet(f"{path}/{name}")
+            part.write.mode("overwrite").parquet(f"{path}/{name}{folder}")
 
 
 def append_rows(df: DataFrame, path: str) -> None:

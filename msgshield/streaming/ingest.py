@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.fixed import QR_FAILED_COLUMNS, QR_RAW_COLUMNS, QR_URL_COLUMNS
-from ..plans.qr import qr_raw_table
+from ..plans.qr import qr_raw_table, rebuild_reports
+from ..sources.writers import write_decodes
 
 TABLES = {"raw": QR_RAW_COLUMNS, "urls": QR_URL_COLUMNS, "failed": QR_FAILED_COLUMNS}
 
@@ -20,14 +20,7 @@ def ingest_decodes(decodes: DataFrame, out: str, checkpoint: str) -> StreamingQu
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        folder = f"batch={batch_id}"
-        qr_raw_table(batch).write.mode("overwrite").parquet(f"{out}/raw/{folder}")
-        stored = batch.sparkSession.read.parquet(f"{out}/raw/{folder}")
-        ok = F.col("decode_status") == "success"
-        stored.filter(ok & (F.col("content_type") == "url")).select(QR_URL_COLUMNS).write.mode("overwrite").parquet(
-            f"{out}/urls/{folder}"
-        )
-        stored.filter(~ok).select(QR_FAILED_COLUMNS).write.mode("overwrite").parquet(f"{out}/failed/{folder}")
+        write_decodes(qr_raw_table(batch), out, f"/batch={batch_id}")
 
     return (
         decodes.writeStream.foreachBatch(write_batch)
@@ -39,3 +32,9 @@ def ingest_decodes(decodes: DataFrame, out: str, checkpoint: str) -> StreamingQu
 
 def read_ingested(spark: SparkSession, out: str, table: str = "raw") -> DataFrame:
     return spark.read.parquet(f"{out}/{table}").select(TABLES[table])
+
+
+def resume_decodes(decodes: DataFrame, out: str, checkpoint: str) -> None:
+    """Ingest what is pending, then rebuild the duplicate report, the statistics and the text report of all batches."""
+    ingest_decodes(decodes, out, checkpoint).awaitTermination()
+    rebuild_reports(read_ingested(decodes.sparkSession, out), out)

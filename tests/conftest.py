@@ -11,8 +11,9 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, 4, **{"spark.driver.memory": "8g"})
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("shared"))
+    session = local_session(4, 4, **{"spark.driver.memory": "8g", "spark.checkpoint.dir": folder})
     yield session
     session.stop()
 

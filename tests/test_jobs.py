@@ -2,9 +2,10 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from msgshield.plans import evaluation, messages, qr, scoring, training, urls
-from msgshield.session import shared_dir, stored
+from msgshield.session import remove_intermediate, shared_dir, stored
 from msgshield.sources import readers, writers
 from msgshield.streaming.ingest import ingest_decodes, read_ingested
 from msgshield.streaming.scoring import stream_score, write_scores
@@ -59,6 +60,96 @@ def test_corpus_priority(spark):
     assert got == [("http://a.com/", "A.com/", 0, "existing_url"), ("http://b.com/", "b.com", 0, "qr_decoded")]
 
 
+def test_corpus_has_no_silent_cap(spark):
+    rows = spark.range(15_001).select(
+        F.format_string("http://h%d.com/", "id").alias("raw_url"), F.lit(0).alias("label"), F.lit("existing_url").alias("source"),
+        F.col("id").alias("ordinal"),
+    )
+    assert urls.url_corpus(rows).count() == 15_001
+    assert urls.url_corpus(rows, 10).count() == 10
+
+
+def test_input_order_does_not_depend_on_packing(spark, tmp_path):
+    """Ids and splits follow file names and positions, whatever the sizes of files and of input blocks."""
+    texts = [f"message number {i} of template {i % 90}" for i in range(3003)]
+    (tmp_path / "a.json").write_text("".join(f'{{"text": "{t}", "label": {i % 2}}}\n' for i, t in enumerate(texts[:3])))
+    (tmp_path / "b.json").write_text("".join(f'{{"text": "{t}", "label": {i % 2}}}\n' for i, t in enumerate(texts[3:])))
+    found = []
+    for size in ("128m", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            raw = readers.read_messages_json(spark, str(tmp_path / "*.json"), lines=True)
+            assert [r.text for r in raw.orderBy("ordinal").collect()] == texts
+            assert [r.ordinal for r in raw.orderBy("ordinal").collect()] == list(range(3003))
+            clean = stored(messages.clean_messages(raw), "clean")
+            splits = messages.message_splits(clean)
+            found.append(sorted((r.message_id, r.cleaned_text, r.split) for r in splits.collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1]
+    out = str(tmp_path / "splits")
+    messages.write_message_splits(splits, out)
+    assert spark.read.parquet(out).count() == len(found[0])
+    leaking = splits.withColumn("split", F.when(F.col("ordinal") % 2 == 0, "test_b").otherwise("train"))
+    with pytest.raises(ValueError):
+        messages.write_message_splits(leaking, out)
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    p = tmp_path / "swapped.csv"
+    p.write_text("b,extra,a\nB1,x,1\n,y,\n")
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+    assert [tuple(r) for r in readers.read_csv_table(spark, str(p), schema).collect()] == [(1, "B1"), (None, "")]
+    with pytest.raises(ValueError):
+        readers.read_csv_table(spark, str(p), T.StructType([T.StructField("c", T.StringType())]))
+
+
+def test_url_job_stops_at_a_leak(spark, tmp_path):
+    splits = urls.url_splits(stored(urls.url_corpus(url_rows(spark)), "corpus"))
+    urls.assert_unseen_domains(splits)
+    planted = splits.withColumn("split", F.when(F.col("normalized_url").contains("/1?"), "test_unseen_domain").otherwise(F.col("split")))
+    with pytest.raises(ValueError):
+        urls.assert_unseen_domains(planted)
+
+
+def test_filters_reach_a_stored_decode_table(spark, tmp_path):
+    qr.qr_payload_tables(spark, decodes(spark), str(tmp_path / "o"))
+    raw = spark.read.parquet(str(tmp_path / "o" / "raw"))
+    for name in ("urls", "failed"):
+        plan = writers.route_decodes(raw)[name]._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [IsNotNull" in plan
+
+
+def test_intermediate_tables_can_be_removed(spark, sf):
+    import __spark_entry__ as entry
+
+    entry.queries()["template_split"](spark, sf).count()
+    root = os.path.dirname(shared_dir(spark, "x")).removeprefix("file:")
+    assert os.listdir(root)
+    remove_intermediate(spark)
+    assert not os.path.exists(root)
+
+
+def test_model_scores_determine_the_rest(spark, sf):
+    """Tier, action, sentence and advice follow from the returned probability."""
+    import duckdb
+
+    import __spark_entry__ as entry
+    from msgshield.functions.fixed import MESSAGE_POLICY, URL_POLICY
+
+    tier = "CASE WHEN risk_score <= 24 THEN 'LOW' WHEN risk_score <= 49 THEN 'MEDIUM' WHEN risk_score <= 79 THEN 'HIGH' ELSE 'CRITICAL' END"
+    for name, prob, policy, place in (
+        ("score_urls_model", "calibrated_p_malicious", URL_POLICY, 0), ("score_messages_model", "calibrated_probability", MESSAGE_POLICY, 1),
+    ):
+        rows = entry.queries()[name](spark, sf).toPandas()
+        actions = " ".join(f"WHEN '{k}' THEN '{v[place]}'" for k, v in policy.items())
+        bad = duckdb.sql(
+            f"SELECT count(*) FILTER (abs(risk_score - {prob} * 100) > 0.51 OR severity <> {tier} OR action <> CASE severity {actions} END), count(*) FROM rows"
+        ).fetchall()[0]
+        assert bad[0] == 0 and bad[1] > 0
+        assert rows["explanation"].str.len().min() > 10
+
+
 def test_url_splits(spark):
     corpus = stored(urls.url_corpus(url_rows(spark)), "corpus")
     splits = urls.url_splits(corpus)
