@@ -37,21 +37,22 @@ def qr_schema(columns: list[str]) -> T.StructType:
     )
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Reader output with ``ordinal``: 0, 1, 2, ... by file path and position in the file.
+def _numbered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns of reader output with ``ordinal``: 0, 1, 2, ... by file path and position in the file.
 
     Spark packs blocks of files into tasks by size, so row numbers of tasks say nothing about the input order. A block's
     offset is the number of rows in the blocks before it; that table has one row per input block, like the list of blocks that the
     driver plans the scan with, and is broadcast.
     """
-    rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
+    names = [F.col(f"`{c}`") for c in columns]
+    rows = df.select(*names, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
     rows = rows.withColumn("__row", F.monotonically_increasing_id())
     blocks = rows.groupBy("__file", "__block").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(F.lit(0)).orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")
     blocks = blocks.select("__file", "__block", shift.alias("__shift"))
     rows = rows.join(F.broadcast(blocks), ["__file", "__block"])
-    return rows.select(*df.columns, (F.col("__row") + F.col("__shift")).cast("long").alias("ordinal"))
+    return rows.select(*names, (F.col("__row") + F.col("__shift")).cast("long").alias("ordinal"))
 
 
 def read_messages_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -61,7 +62,8 @@ def read_messages_json(spark: SparkSession, path: str, lines: bool = False) -> D
     ``lines=True``, which splits files.
     """
     reader = spark.read.schema(MESSAGES)
-    return _numbered(reader.json(path) if lines else reader.option("multiLine", True).json(path))
+    df = reader.json(path) if lines else reader.option("multiLine", True).json(path)
+    return _numbered(df, df.columns)
 
 
 def _raw_csv(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
@@ -120,7 +122,7 @@ def read_url_csv(spark: SparkSession, path: str, multiline: bool = True) -> Data
     raw = _raw_csv(spark, path, multiline)
     url, label = resolve_column(raw.columns, "URL", 0), resolve_column(raw.columns, "label", -2)
     pick = lambda c: strip(F.coalesce(F.col("`" + c + "`"), F.lit("")))
-    rows = _numbered(raw)
+    rows = _numbered(raw, [url, label])
     # Bytes that are no UTF-8 arrive as replacement characters; they are dropped.
     rows = rows.select(F.replace(pick(url), F.lit("\ufffd"), F.lit("")).alias("raw_url"), pick(label).alias("label"), "ordinal")
     rows = rows.filter(F.col("label").isin("0", "1")).withColumn("label", F.col("label").cast("int"))
@@ -146,8 +148,8 @@ def read_qr_payloads(spark: SparkSession, path: str, label: int, source: str = "
     """URL rows of a QR table in CSV, all with one label."""
     raw = _raw_csv(spark, path, multiline)
     schema = qr_schema(["decoded_content", "normalized_url"])
-    rows = _numbered(raw)
-    return qr_payloads(rows.select(*_columns(raw, schema), "ordinal"), label, source)
+    fields = _columns(raw, schema)
+    return qr_payloads(_numbered(raw, schema.fieldNames()).select(*fields, "ordinal"), label, source)
 
 
 def capped_scan(df: DataFrame, n_per_class: int) -> DataFrame:
