@@ -6,6 +6,8 @@ skipped when their block maxima cannot reach the least threshold of the block (b
 passages at once); the items of the remaining blocks are scored exactly, and those at or above their threshold are verified by the
 share of their question's and of their answer's 5-word shingles that occur in the passage.
 
+Words are runs of letters and digits, lower-cased, so other punctuation, case or line breaks hide nothing.
+
 The index is built from bounded parts of the item table, one pass over the documents for each part, so a large set of
 items costs more passes and not more memory.
 """
@@ -17,12 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import word_count
-from .words import grams, hashes, rows_of, slices, split
+from .words import PUNCTUATION, Words, grams, hashes, rows_of, slices, split
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -34,6 +37,11 @@ SLICE_BYTES = 1 << 21
 ENDINGS = np.frombuffer(b".?!:", dtype=np.uint8)
 
 
+def bare_words(texts: pa.Array) -> Words:
+    """Runs of letters and digits, in lower case of any script."""
+    return split(pc.utf8_lower(texts.fill_null("")), PUNCTUATION)
+
+
 def expand(pointer: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(owner, entry): the entries ``pointer[r]`` to ``pointer[r + 1]`` of every row, and which row asked for them."""
     counts = pointer[rows + 1] - pointer[rows]
@@ -86,10 +94,9 @@ def _parts(words: np.ndarray, closes: np.ndarray) -> list[np.ndarray]:
 
 def build_index(items: list[tuple[int, str]]) -> Index | None:
     """The index of (item_id, text) rows; null and empty texts are left out. None if nothing is left."""
-    texts = pa.array([t for _, t in items], pa.string())
-    words = split(texts.fill_null(""))
+    words = bare_words(pa.array([t for _, t in items], pa.string()))
     ids = hashes(words)
-    closes = np.isin(words.data[words.end - 1], ENDINGS) if len(ids) else np.zeros(0, bool)
+    closes = np.isin(np.append(words.data, 0)[words.end], ENDINGS)
     rows = [r for r in range(len(items)) if words.first[r + 1] > words.first[r]]
     if not rows:
         return None
@@ -135,7 +142,7 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
 def search(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float, int]]:
     """Verified hits of a slice of texts: (row, item, score, question overlap, answer overlap, first word), one of each
     row and item: the passage with the highest score, then the first."""
-    words = split(texts)
+    words = bare_words(texts)
     ids = hashes(words)
     if not len(ids):
         return

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+# All ASCII characters but letters and digits: for comparisons that look past punctuation.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -55,8 +57,8 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
         row = end
 
 
-def split(texts: pa.Array) -> Words:
-    """The words of a string array."""
+def split(texts: pa.Array, gaps: np.ndarray = _SPACE) -> Words:
+    """The words of a string array; ``gaps`` tells for each byte whether it separates words."""
     n = len(texts)
     if n == 0 or texts.buffers()[2] is None:
         none = np.zeros(0, dtype=np.int64)
@@ -67,7 +69,7 @@ def split(texts: pa.Array) -> Words:
     if not len(data):
         none = np.zeros(0, dtype=np.int64)
         return Words(data, none, none, np.zeros(n + 1, np.int64))
-    inside = ~_SPACE[data]
+    inside = ~gaps[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]

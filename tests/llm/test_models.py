@@ -185,10 +185,18 @@ def test_kneser_ney_sums_to_one():
 # --- decontamination ---------------------------------------------------------
 
 
-def plain_hits(docs, items, longest):
-    def parts(w):
+def bare(text):
+    return re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode())
+
+
+def plain_hits(docs, items):
+    longest = max(len(bare(t)) for _, t in items)
+
+    def parts(text):
+        found = list(re.finditer(rb"[0-9a-z\x80-\xff]+", text.lower().encode()))
+        w = [m[0] for m in found]
         for cut in range(len(w) - 1, 0, -1):
-            if w[cut - 1][-1:] in (b".", b"?", b"!", b":") and len(w) - cut >= 5:
+            if found[cut - 1].string[found[cut - 1].end() :][:1] in (b".", b"?", b"!", b":") and len(w) - cut >= 5:
                 return [w[:cut], w[cut:]] if cut >= 5 else [w]
         return [w]
 
@@ -196,9 +204,9 @@ def plain_hits(docs, items, longest):
         return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
 
     out = set()
-    wanted = [(i, [(min(5, len(p)), runs(p, min(5, len(p)))) for p in parts(low(t))]) for i, t in items if low(t)]
+    wanted = [(i, [(min(5, len(p)), runs(p, min(5, len(p)))) for p in parts(t)]) for i, t in items if bare(t)]
     for d, t in docs:
-        w = low(t)
+        w = bare(t)
         n = -(-len(w) // longest)
         for s in range(max(1, n - 1)):
             window = w[s * longest : (s + 2) * longest]
@@ -213,11 +221,13 @@ def test_decontamination_equals_brute_force(spark, sf, documents):
     for k, (_, text) in enumerate(items):
         w = text.split()
         changed = [x if j % 13 != 5 else "changed" for j, x in enumerate(w)]
-        docs += [(10_000 + k, "before it " * (k % 40) + " ".join(w).encode().upper().decode() + " after"), (20_000 + k, " ".join(changed))]
+        shouted = "".join(c.upper() if len(c.upper()) == 1 else c for c in "\n".join(w))
+        loud = "before it " * (k % 40) + shouted.replace(".", " ; ").replace(",", "") + " after"
+        docs += [(10_000 + k, loud), (20_000 + k, " ".join(changed))]
         docs += [(30_000 + k, " ".join(w[: len(w) // 2])), (40_000 + k, " ".join(w[3:]))]
     rows = spark.createDataFrame([(d, t, "en", "s") for d, t in docs], DOCS).repartition(5)
     got = decontam.hits(rows, spark.read.parquet(f"{sf}/benchmark.parquet"), F.col("doc_id")).collect()
-    expected = plain_hits(docs, items, max(len(t.split()) for _, t in items))
+    expected = plain_hits(docs, items)
     assert {(r["doc_id"], r["item_id"]) for r in got} == expected and len(got) == len(expected)
     assert {d for d, _ in expected} >= set(range(10_000, 10_000 + len(items)))
     assert all(min(r["question_overlap"], r["answer_overlap"]) >= 0.8 for r in got)
