@@ -30,6 +30,8 @@ PIVOTS = 16
 BLOCK_ROWS = 2048
 SMALL_UNIT = 16
 KEYS = ["kind", "bits"]
+# Nodes of prints that no row with a doc_id has lie from here on.
+NAMELESS = 1 << 62
 # Five fields of 13, 13, 13, 13 and 12 bits.
 FIELDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -116,8 +118,8 @@ def _edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Links inside the units. Small units are compared all at once, by the distance of rows in the batch."""
     references = pivots()
     for rows, limits in complete_units(batches, unit_columns(KEYS)):
-        signed = rows.column("print").to_numpy()
-        prints = signed.view(np.uint64)
+        node = rows.column("node").to_numpy()
+        prints = rows.column("print").to_numpy().view(np.uint64)
         table = np.bitwise_count(prints[:, None] ^ references[None, :]).astype(np.int8)
         own, i, j = (rows.column(c).to_numpy() for c in ("__own", "__i", "__j"))
         sizes = np.diff(limits)
@@ -133,56 +135,64 @@ def _edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             unit = slice(limits[k], limits[k + 1])
             found.append(_large_unit(prints[unit], table[unit], own[unit], i[limits[k]], j[limits[k]]) + limits[k])
         edges = np.concatenate(found)
-        yield pa.RecordBatch.from_arrays([pa.array(signed[edges[:, 0]]), pa.array(signed[edges[:, 1]])], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[edges[:, 0]]), pa.array(node[edges[:, 1]])], ["u", "v"])
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """``prints`` (print: distinct) -> edges (u, v) that connect the same prints as all pairs within three bits do."""
+    """``prints`` (print: distinct, node) -> edges (u, v) of nodes that connect the same as all pairs within three bits do."""
     fields = [F.shiftright("print", at).bitwiseAND(F.lit((1 << n) - 1)) for at, n in FIELDS]
     keys = [
         F.struct(F.lit(5 * i + j).cast("long").alias("kind"), (fields[i] * F.lit(1 << 13) + fields[j]).cast("long").alias("bits"))
         for i in range(5)
         for j in range(i + 1, 5)
     ]
-    dealt = prints.select("print", F.explode(F.array(*keys)).alias("key")).select("print", "key.kind", "key.bits")
+    dealt = prints.select("print", "node", F.explode(F.array(*keys)).alias("key")).select("print", "node", "key.kind", "key.bits")
     units = by_unit(block_pairs(dealt, KEYS, "print", BLOCK_ROWS), KEYS)
     return units.mapInArrow(_edge_batches, "u long, v long").distinct()
 
 
 def _with_component(prints: DataFrame) -> DataFrame:
-    """``prints`` with ``component``: the same number for all rows whose prints are connected."""
-    classes = prints.select("print").distinct()
-    found = components(links(stored(classes, "classes")))
-    return prints.join(found, prints["print"] == found["node"], "left").select(
-        prints["*"], F.coalesce("component", "print").alias("component")
-    )
+    """``prints`` with ``component``: the least doc_id reachable; a number from NAMELESS on where no row has a doc_id.
+
+    A print's node is the least doc_id that has it, so the least node of a component is its name already.
+    """
+    nameless = F.col("print").bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))
+    classes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
+    classes = stored(classes.select("print", F.coalesce("least", nameless).alias("node")), "classes")
+    named = classes.join(components(links(classes)).withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
+    return prints.join(named.select("print", F.coalesce("component", "node").alias("component")), "print")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the least doc_id reachable, the row's own included.
 
-    A row for every row of ``docs``; of its columns only doc_id and text are read. Null and empty texts have fingerprint
-    zero and are linked like any other. Rows that repeat a doc_id each follow their own text. A component in which all
-    doc_ids are null has a null component_id. An empty table gives no row.
+    A row for every row of ``docs``; of its columns only doc_id (below 2 ** 62) and text are read. Null and empty texts
+    have fingerprint zero and are linked like any other. Rows that repeat a doc_id each follow their own text. A
+    component in which all doc_ids are null has a null component_id. An empty table gives no row.
     """
     prints = stored(fingerprints(docs, F.col("doc_id").cast("long").alias("doc_id")), "prints")
-    marked = stored(_with_component(prints), "marked")
-    least = marked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return marked.join(least, "component").select(
-        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
+    name = F.when(F.col("component") < NAMELESS, F.col("component"))
+    return _with_component(prints).select(
+        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), name.alias("component_id")
     )
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of every component: the one with the least doc_id (null last), then the least text hash.
+    """``docs`` with one document of every component: the row whose doc_id names it.
 
-    Rows that agree in doc_id and text are one row.
+    If rows with different texts share that doc_id, each of the texts stays; rows that agree in doc_id and text are one
+    row. Of a component without doc_ids the row with the least hash of its text stays.
     """
     digest = F.xxhash64(text_key(F.col("text")))
     prints = stored(fingerprints(docs, F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest")), "prints")
-    each = _with_component(prints).groupBy("component", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
-    first = each.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "n")).alias("first"))
-    kept = stored(first.select(text_key(F.col("first.doc_id")).alias("__id"), F.col("first.digest").alias("__digest"), "first.n"), "kept")
+    marked = stored(_with_component(prints).select("doc_id", "digest", "component"), "marked")
+    counted = F.count(F.lit(1)).alias("n")
+    named = marked.filter(F.col("doc_id") == F.col("component")).groupBy("doc_id", "digest").agg(counted)
+    nameless = marked.filter(F.col("component") >= NAMELESS).groupBy("component", "digest").agg(counted)
+    nameless = nameless.groupBy("component").agg(F.min(F.struct("digest", "n")).alias("first"))
+    nameless = nameless.select(F.lit(None).cast("long").alias("doc_id"), "first.digest", "first.n")
+    kept = named.unionByName(nameless).select(text_key(F.col("doc_id")).alias("__id"), F.col("digest").alias("__digest"), "n")
+    kept = stored(kept, "kept")
     rows = docs.withColumn("__id", text_key(F.col("doc_id").cast("long"))).withColumn("__digest", digest)
     single = rows.join(kept.filter("n = 1"), ["__id", "__digest"], "left_semi")
     repeated = rows.join(kept.filter("n > 1"), ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"])

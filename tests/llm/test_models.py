@@ -297,7 +297,7 @@ def test_simhash_links_lose_nothing(spark, monkeypatch, small, block):
         chain.append(chain[-1] ^ sum(1 << int(k) for k in rng.choice(64, 2, replace=False)))
     prints = sorted({int(b) for b in base} | set(near) | set(chain))
     signed = np.array(prints, dtype=np.uint64).view(np.int64).tolist()
-    table = spark.createDataFrame([(p,) for p in signed], "print long")
+    table = spark.createDataFrame([(p, p) for p in signed], "print long, node long")
     found = {r["node"]: r["component"] for r in components.components(simhash.links(table)).collect()}
     group = closure(len(prints), [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3])
     expected = collections.defaultdict(set)
