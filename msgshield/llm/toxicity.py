@@ -9,8 +9,9 @@ these, fitted on labelled texts that gave no counts, makes it a score from 0 to
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -273,10 +274,24 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model
     chosen = chosen.unionByName(known.filter("__toxic = 1").orderBy(place, "doc_id").limit(rows))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     texts = texts.groupBy("doc_id", "__toxic").agg(F.min("text").alias("text"))
-    sample = texts.orderBy("__toxic", F.xxhash64(F.lit("curve"), "doc_id"), "doc_id").toArrow()
-    column = sample["text"].combine_chunks().cast(pa.string()).fill_null("")
-    toxic = sample["__toxic"].to_numpy().astype(int)
-    return fit_rows(column, toxic, (totals[0], totals[1]))
+    # One task of bounded size fits the model, so that the sample does not pass the driver.
+    order = F.xxhash64(F.lit("curve"), "doc_id")
+    sample = texts.repartition(1).sortWithinPartitions("__toxic", order, "doc_id").select("__toxic", F.coalesce("text", F.lit("")))
+
+    def fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        given = pa.Table.from_batches(rows) if rows else None
+        if given is not None and given.num_rows:
+            column = given.column(1).combine_chunks()
+            model = fit_rows(column, given.column(0).to_numpy().astype(int), (totals[0], totals[1]))
+            if model is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(asdict(model))], pa.binary())], ["model"])
+
+    found = sample.mapInArrow(fit_batches, "model binary").collect()
+    if not found:
+        return None
+    fields = pickle.loads(bytes(found[0]["model"]))
+    return Model(**(fields | {"shared": [Order(**order) for order in fields["shared"]]}))
 
 
 def scored(docs: DataFrame, labels: DataFrame, *carry: Column) -> DataFrame:

@@ -166,6 +166,8 @@ def test_toxicity_of_odd_rows(spark, odd):
         got = toxicity.toxicity(odd, table).collect()
         assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.toxicity(odd.limit(0), labels).collect() == []
+    strangers = spark.createDataFrame([(i, 1, i % 2) for i in range(500, 540)], "doc_id long, quality int, toxic int")
+    assert {r["score"] for r in toxicity.toxicity(odd, strangers).collect()} == {0.0}
 
 
 def test_kneser_ney_sums_to_one():
