@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import offsets, text_key, word_count
+from .common import offsets, stored, text_key, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -52,12 +52,21 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     return rows.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def _mixed(docs: DataFrame, weights: Sequence[float], share: float, cap: float, seed: int) -> DataFrame:
-    """``docs`` with ``__size``, ``__source_size``, ``__target`` and ``__copies``."""
-    rows = docs.withColumn("__size", word_count(F.col("text")))
-    rows = rows.withColumn("__source", text_key(F.col("source"))).withColumn("__class", size_class(F.col("__size")))
-    rows = rows.withColumn("__digest", F.md5(F.concat(F.lit(f"{seed}:"), text_key(F.col("doc_id")))))
-    rows = rows.withColumn("__bucket", F.substring("__digest", 1, 3))
+def _mixed(
+    docs: DataFrame, carry: Sequence[str], weights: Sequence[float], share: float, cap: float, seed: int
+) -> DataFrame:
+    """The columns ``carry`` of ``docs`` with ``__size``, ``__source_size``, ``__target`` and ``__copies``.
+
+    The rows are stored with their sizes, so the words of a text are counted once.
+    """
+    rows = stored(
+        docs.select(
+            *carry, word_count(F.col("text")).alias("__size"), text_key(F.col("source")).alias("__source"),
+            F.md5(F.concat(F.lit(f"{seed}:"), text_key(F.col("doc_id")))).alias("__digest"),
+        ),
+        "sized",
+    )
+    rows = rows.withColumn("__class", size_class(F.col("__size"))).withColumn("__bucket", F.substring("__digest", 1, 3))
     places = ["__source", "__class", "__bucket"]
     totals = rows.groupBy(*places).agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("__words"))
     sizes = totals.groupBy("__source").agg(F.sum("__words").alias("source_size"))
@@ -79,17 +88,24 @@ def _mixed(docs: DataFrame, weights: Sequence[float], share: float, cap: float,
 
 
 def mix(
-    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED
+    docs: DataFrame,
+    carry: Sequence[str] | None = None,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE,
+    cap: float = CAP,
+    seed: int = SEED,
 ) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) with size, source_size, target, copies and taken (copies times size).
 
+    Only the columns ``carry`` are kept, by default all.
+
     Null and empty texts have size 0 and take nothing; null is a source of its own. Rows that repeat a doc_id are rows
     of their own. The same rows give the same mix on any cluster. Columns of these names in ``docs`` are replaced. An
     empty table gives no row.
     """
     made = ("size", "source_size", "target", "copies")
-    rows = _mixed(docs, weights, share, cap, seed)
-    kept = [F.col(c) for c in docs.columns if c not in (*made, "taken")]
+    kept = [c for c in carry or docs.columns if c not in (*made, "taken")]
+    rows = _mixed(docs, kept, weights, share, cap, seed)
     return rows.select(
         *kept, *[F.col(f"__{c}").alias(c) for c in made], (F.col("__copies") * F.col("__size")).alias("taken")
     )
@@ -99,6 +115,6 @@ def emit(
     docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED
 ) -> DataFrame:
     """The mix itself: every row of ``docs``, with its own columns, as often as it has copies."""
-    rows = _mixed(docs, weights, share, cap, seed).filter(F.col("__copies") > 0)
+    rows = _mixed(docs, docs.columns, weights, share, cap, seed).filter(F.col("__copies") > 0)
     each = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")
     return rows.select(*docs.columns, each).select(*docs.columns)

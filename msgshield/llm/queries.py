@@ -59,8 +59,8 @@ def op5_hash_tree_shards(spark: SparkSession, sf: str) -> DataFrame:
 @register("op6_systematic_mix", sql.MIX)
 def op6_systematic_mix(spark: SparkSession, sf: str) -> DataFrame:
     """Words that the mix takes of every document."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    rows = mixing.mix(table(spark, sf, "documents"), carry=["doc_id"])
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 @register("op7_suffix_array_extraction")
