@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """A value of bounded size for the tasks. It travels with the code of its class, like the functions that read it."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def load(self) -> object:
+        return cloudpickle.loads(self.data.value)
+
+
 def text_key(value: Column) -> Column:
     """A value as a string that keeps null apart from every text, for joins and hashes."""
     return F.coalesce(F.concat(F.lit("+"), value.cast("string")), F.lit("-"))

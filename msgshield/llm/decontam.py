@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import word_count
+from .common import Shared, word_count
 from .words import PUNCTUATION, Words, grams, hashes, rows_of, slices, split
 
 K1, B = 1.2, 0.75
@@ -215,16 +215,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, *carry: Column) -> DataFrame:
     schema = StructType([*rows.schema.fields[:-1], *fields, StructField("first_word", LongType())])
     out = None
     for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = Shared(docs.sparkSession, index)
 
         def query(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index: Index = shared.load()
             for batch in batches:
                 found = []
                 for at, piece in slices(batch.column(batch.num_columns - 1), SLICE_BYTES):
-                    found += [(at + r, *hit) for r, *hit in search(shared.value, piece)]
+                    found += [(at + r, *hit) for r, *hit in search(index, piece)]
                 columns = list(zip(*found, strict=True)) or [[]] * 6
                 picked = [c.take(pa.array(columns[0], pa.int64())) for c in batch.columns[:-1]]
-                made = [pa.array(shared.value.items[np.array(columns[1], dtype=np.int64)])]
+                made = [pa.array(index.items[np.array(columns[1], dtype=np.int64)])]
                 made += [pa.array(c, pa.float64()) for c in columns[2:5]] + [pa.array(columns[5], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*picked, *made], names=schema.names)
 
@@ -237,13 +238,14 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hit an item; rows without text stay."""
     at = docs.columns.index("text")
     for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = Shared(docs.sparkSession, index)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index: Index = shared.load()
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)
                 for first, piece in slices(batch.column(at), SLICE_BYTES):
-                    for row, *_ in search(shared.value, piece):
+                    for row, *_ in search(index, piece):
                         clean[first + row] = False
                 yield batch.filter(pa.array(clean))
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Shared, stored
 from .words import hashes, mixed, rows_of, slices, split
 
 HELD_FOLD = 1
@@ -266,12 +266,12 @@ CHANGES = "block int, part int, seen binary, change binary"
 
 def one_round(model: Model, texts: DataFrame) -> None:
     """Train on a round's texts and move the model's weights to the average."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(texts.sparkSession, model)
     # Two steps of merging, each of about the square root of the number of tasks.
     parts = max(1, int(np.sqrt(texts.rdd.getNumPartitions())))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common: Model = shared.value
+        common: Model = shared.load()
         trainers = Trainer(common.class_rows.copy()), Trainer(common.word_rows.copy())
         some = False
         for batch in batches:
@@ -300,7 +300,7 @@ def one_round(model: Model, texts: DataFrame) -> None:
         k, block = divmod(row["block"], CLASS_ROWS // BLOCK)
         table = (model.class_rows, model.word_rows)[k]
         table[block * BLOCK : (block + 1) * BLOCK] += change
-    shared.unpersist()
+    shared.data.unpersist()
 
 
 def fit(training: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -321,10 +321,10 @@ def score_rows(docs: DataFrame, model: Model) -> DataFrame:
 
     ``uid`` tells rows apart that repeat a doc_id. ``base`` lacks the denominators.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        model: Model = shared.load()
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at, piece in slices(batch.column(2), SLICE_BYTES):

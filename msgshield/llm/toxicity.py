@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import Shared
 from .words import Words, hashes, rows_of, slices, split
 
 # Labelled rows that a model is fitted on, at most so many of each class; chosen by a hash of doc_id.
@@ -303,12 +304,13 @@ def scored(docs: DataFrame, labels: DataFrame, *carry: Column) -> DataFrame:
     rows = docs.select(*carry, F.col("text").alias("__text"))
     if model is None:
         return rows.drop("__text").withColumn("__score", F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     schema = StructType([*rows.schema.fields[:-1], StructField("__score", DoubleType())])
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.load()
         for batch in batches:
-            parts = [scores(shared.value, piece) for _, piece in slices(batch.column(batch.num_columns - 1), SLICE_BYTES)]
+            parts = [scores(model, piece) for _, piece in slices(batch.column(batch.num_columns - 1), SLICE_BYTES)]
             values = np.concatenate([np.zeros(0), *parts])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values)], names=schema.names)
 
