@@ -150,7 +150,7 @@ def cells(classes: DataFrame, centroids: dict[tuple[int, int], np.ndarray], thre
 
 
 def compare(dealt: DataFrame, threshold: float) -> DataFrame:
-    """(u, v, n): with v null, n rows are linked to class u; else an edge of a spanning forest of a unit."""
+    """(u, v, n): with v null, n rows are linked to class u; else an edge to the centre of a tree of links of a unit."""
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, limits in complete_units(batches, unit_columns(KEYS)):
@@ -182,13 +182,12 @@ def _unit(rows: pa.Table, threshold: float) -> pa.RecordBatch:
         linked += np.bincount(a, count[b], len(node)).astype(np.int64) + np.bincount(b, count[a], len(node)).astype(np.int64)
         forest.link(a, b)
     touched = np.flatnonzero(linked)
-    edges = np.array(forest.edges, dtype=np.int64).reshape(-1, 2)
-    nothing = pa.nulls(len(touched), pa.int64())
+    u, v = forest.stars(node)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.concatenate([node[touched], node[edges[:, 0]]])),
-            pa.concat_arrays([nothing, pa.array(node[edges[:, 1]])]),
-            pa.concat_arrays([pa.array(linked[touched]), pa.nulls(len(edges), pa.int64())]),
+            pa.array(np.concatenate([node[touched], u])),
+            pa.concat_arrays([pa.nulls(len(touched), pa.int64()), pa.array(v)]),
+            pa.concat_arrays([pa.array(linked[touched]), pa.nulls(len(u), pa.int64())]),
         ],
         ["u", "v", "n"],
     )

@@ -67,11 +67,10 @@ def _limits(rows: pa.Table, columns: Sequence[str]) -> np.ndarray:
 
 
 class Forest:
-    """Union-find over 0..n-1 that keeps the edges that joined two trees: at most n - 1 for any number of links."""
+    """Union-find over 0..n-1. Its links leave it as stars: at most n - 1 edges for any number of links."""
 
     def __init__(self, n: int) -> None:
         self.parent = np.arange(n)
-        self.edges: list[tuple[int, int]] = []
 
     def find(self, x: int) -> int:
         root = x
@@ -97,5 +96,12 @@ class Forest:
                 p, q = self.find(x), self.find(y)
                 if p != q:
                     self.parent[max(p, q)] = min(p, q)
-                    self.edges.append((x, y))
             a, b = a[1024:], b[1024:]
+
+    def stars(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(u, v): the node of every member of a tree and the least node of the tree, but for that one itself."""
+        roots = self.roots()
+        least = np.full(len(node), np.iinfo(np.int64).max)
+        np.minimum.at(least, roots, node)
+        v = least[roots]
+        return node[node != v], v[node != v]

@@ -95,8 +95,8 @@ def _near(prints: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray) -
     return a[keep], b[keep]
 
 
-def _large_unit(prints: np.ndarray, table: np.ndarray, own: np.ndarray, i: int, j: int) -> np.ndarray:
-    """A spanning forest of the links of one unit, as pairs of rows."""
+def _large_unit(prints: np.ndarray, table: np.ndarray, own: np.ndarray, i: int, j: int) -> Forest:
+    """The links of one unit."""
     left = np.arange(len(prints)) if i == j else np.flatnonzero(own == i)
     right = left if i == j else np.flatnonzero(own == j)
     # Both sides in the order of the first pivot: the partners of a few rows are then one run.
@@ -111,7 +111,7 @@ def _large_unit(prints: np.ndarray, table: np.ndarray, own: np.ndarray, i: int,
         if i == j:
             a, b = a[a < b], b[a < b]
         forest.link(*_near(prints, table, a, b))
-    return np.array(forest.edges, dtype=np.int64).reshape(-1, 2)
+    return forest
 
 
 def _edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,19 +123,22 @@ def _edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         table = np.bitwise_count(prints[:, None] ^ references[None, :]).astype(np.int8)
         own, i, j = (rows.column(c).to_numpy() for c in ("__own", "__i", "__j"))
         sizes = np.diff(limits)
-        found = []
+        u, v = [], []
         end = np.repeat(np.where(sizes <= SMALL_UNIT, limits[1:], 0), sizes)
         index = np.arange(len(prints))
         for shift in range(1, SMALL_UNIT):
             a = index[index + shift < end]
             b = a + shift
             apart = (i[a] == j[a]) | (own[a] != own[b])
-            found.append(np.stack(_near(prints, table, a[apart], b[apart]), axis=1))
+            a, b = _near(prints, table, a[apart], b[apart])
+            u.append(node[a])
+            v.append(node[b])
         for k in np.flatnonzero(sizes > SMALL_UNIT):
             unit = slice(limits[k], limits[k + 1])
-            found.append(_large_unit(prints[unit], table[unit], own[unit], i[limits[k]], j[limits[k]]) + limits[k])
-        edges = np.concatenate(found)
-        yield pa.RecordBatch.from_arrays([pa.array(node[edges[:, 0]]), pa.array(node[edges[:, 1]])], ["u", "v"])
+            stars = _large_unit(prints[unit], table[unit], own[unit], i[limits[k]], j[limits[k]]).stars(node[unit])
+            u.append(stars[0])
+            v.append(stars[1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
 
 
 def links(prints: DataFrame) -> DataFrame:

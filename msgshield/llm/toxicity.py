@@ -259,8 +259,14 @@ def fold(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model | None:
-    """The model of the labelled documents whose fold is not 0: at most ``rows`` of each class, the first by hash.
+def unpacked(data: bytes) -> Model:
+    """A model from the form in which it travels."""
+    fields = pickle.loads(data)
+    return Model(**(fields | {"shared": [Order(**order) for order in fields["shared"]]}))
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> bytes | None:
+    """The packed model of the labelled documents whose fold is not 0: at most ``rows`` of each class, the first by hash.
 
     A document labelled twice is toxic if a label says so; labels other than 0 and 1, or without a document, do not
     count. None without documents of both classes.
@@ -291,8 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model
     found = sample.mapInArrow(fit_batches, "model binary").collect()
     if not found:
         return None
-    fields = pickle.loads(bytes(found[0]["model"]))
-    return Model(**(fields | {"shared": [Order(**order) for order in fields["shared"]]}))
+    return bytes(found[0]["model"])
 
 
 def scored(docs: DataFrame, labels: DataFrame, *carry: Column) -> DataFrame:
@@ -308,7 +313,7 @@ def scored(docs: DataFrame, labels: DataFrame, *carry: Column) -> DataFrame:
     schema = StructType([*rows.schema.fields[:-1], StructField("__score", DoubleType())])
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.load()
+        model = unpacked(shared.load())
         for batch in batches:
             parts = [scores(model, piece) for _, piece in slices(batch.column(batch.num_columns - 1), SLICE_BYTES)]
             values = np.concatenate([np.zeros(0), *parts])
