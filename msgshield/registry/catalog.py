@@ -997,13 +997,13 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 @register("tfidf_terms", _tfidf_ctes(10_000, "tf"), "SELECT doc_id, term, round(weight, 6) AS weight FROM tfidf")
 def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
     """L1: TF-IDF of 1-2-grams."""
-    return terms.tfidf(inputs.table(spark, sf, "documents"), "doc_id", "text")
+    return terms.tfidf(inputs.spread(spark, sf, "documents", "doc_id"), "doc_id", "text")
 
 
 @register("tfidf_sublinear", _tfidf_ctes(768, "(1 + ln(tf))"), "SELECT doc_id, term, round(weight, 6) AS weight FROM tfidf")
 def tfidf_sublinear(spark: SparkSession, sf: str) -> DataFrame:
     """L2: the 768-term variant with damped counts."""
-    return terms.tfidf(inputs.table(spark, sf, "documents"), "doc_id", "text", size=768, sublinear=True)
+    return terms.tfidf(inputs.spread(spark, sf, "documents", "doc_id"), "doc_id", "text", size=768, sublinear=True)
 
 
 @register(
@@ -1020,7 +1020,7 @@ def tfidf_sublinear(spark: SparkSession, sf: str) -> DataFrame:
 def topk_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Five strongest words per document; the coefficients are log odds from the labelled documents."""
     # Read twice, for the coefficients and for the scores.
-    weights = stored(terms.tfidf(inputs.table(spark, sf, "documents"), "doc_id", "text"), "weights")
+    weights = stored(terms.tfidf(inputs.spread(spark, sf, "documents", "doc_id"), "doc_id", "text"), "weights")
     labelled = weights.join(inputs.table(spark, sf, "labels"), "doc_id")
     odds = labelled.groupBy("term").agg(
         F.log((F.count_if(F.col("toxic") == 1) + 1.0) / (F.count_if(F.col("toxic") == 0) + 1.0)).alias("coefficient")

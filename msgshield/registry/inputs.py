@@ -13,6 +13,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A given table dealt out by its key, for queries with much work per row: a table of one file is one task.
+
+    The plan is the same at every size; a caller with many files passes its table as it lies to the operator.
+    """
+    return table(spark, sf, name).repartition(key)
+
+
 def _http_label() -> Column:
     """Stand-in label of a page: 1 for an unencrypted address."""
     return F.when(F.startswith("url", F.lit("http://")), 1).otherwise(0)
@@ -24,7 +32,7 @@ def _title() -> Column:
 
 def raw_messages(spark: SparkSession, sf: str) -> DataFrame:
     """(ordinal, text, label): documents, documents with a link, conversation turns, page sources, links, titles."""
-    documents, pages = table(spark, sf, "documents"), table(spark, sf, "pages")
+    documents, pages = spread(spark, sf, "documents", "doc_id"), spread(spark, sf, "pages", "page_id")
     linked = documents.join(pages, documents.doc_id == pages.page_id)
 
     def rows(df: DataFrame, key: Column, kind: int, text: Column, label: Column) -> DataFrame:
@@ -88,7 +96,7 @@ def url_variants(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("bit.ly/"), page),
         F.concat(F.lit("https://w.a.b.xn--shop"), page, F.lit(".co.uk:443/account//update/?q=é#"), page),
     )
-    pages = table(spark, sf, "pages").select("page_id", _http_label().alias("label"), F.posexplode(spellings))
+    pages = spread(spark, sf, "pages", "page_id").select("page_id", _http_label().alias("label"), F.posexplode(spellings))
     return pages.select((F.col("page_id") * 8 + F.col("pos")).alias("ordinal"), F.col("col").alias("raw_url"), "label")
 
 
@@ -107,7 +115,7 @@ def qr_decodes(spark: SparkSession, sf: str) -> DataFrame:
             label.alias("label"),
         ),
     )
-    pages = table(spark, sf, "pages").select("page_id", F.posexplode(payloads))
+    pages = spread(spark, sf, "pages", "page_id").select("page_id", F.posexplode(payloads))
     none = F.lit(None).cast("string")
     decoded = pages.select(
         (F.col("page_id") * 8 + F.col("pos")).alias("ordinal"), "col.payload", "col.label", none.alias("decode_error")
@@ -138,7 +146,7 @@ def url_sources(spark: SparkSession, sf: str) -> DataFrame:
     """(raw_url, label, source, ordinal): page addresses without the ``.example`` label, and the same without query
     and fragment, in other case, as QR payloads."""
     short = F.replace("url", F.lit(".example."), F.lit("."))
-    pages = table(spark, sf, "pages")
+    pages = spread(spark, sf, "pages", "page_id")
     labelled = pages.select(
         short.alias("raw_url"), _http_label().alias("label"), F.lit("existing_url").alias("source"),
         F.col("page_id").alias("ordinal"),
