@@ -4,7 +4,8 @@ A passage is a window of words long enough to hold any item; its distinct words
 the least score that a passage can have that passes the verification, so retrieval loses nothing. Blocks of items are
 skipped when their block maxima cannot reach the least threshold of the block (block-max WAND, done for thousands of
 passages at once); the items of the remaining blocks are scored exactly, and those at or above their threshold are verified by the
-share of their question's and of their answer's 5-word shingles that occur in the passage.
+share of their 5-word shingles that occur in the passage: those of the whole item, or else those of its question and
+those of its answer.
 
 Words are runs of letters and digits, lower-cased, so other punctuation, case or line breaks hide nothing.
 
@@ -57,7 +58,7 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Part:
-    """Question or answer of an item: distinct shingles of ``size`` words."""
+    """A whole item, its question or its answer: distinct shingles of ``size`` words."""
 
     size: int
     shingles: np.ndarray
@@ -80,6 +81,7 @@ class Index:
     threshold: np.ndarray
     block_threshold: np.ndarray
     parts: list[list[Part]]
+    wholes: list[Part] | None
     longest: int
 
 
@@ -92,8 +94,22 @@ def _parts(words: np.ndarray, closes: np.ndarray) -> list[np.ndarray]:
     return [words]
 
 
-def build_index(items: list[tuple[int, str]]) -> Index | None:
-    """The index of (item_id, text) rows; null and empty texts are left out. None if nothing is left."""
+def _part(words: np.ndarray) -> Part:
+    size = min(SHINGLE, len(words))
+    return Part(size, np.unique(grams(words, size)))
+
+
+def _spare(words: np.ndarray, part: Part) -> int:
+    """How many words a passage may lack that holds ``OVERLAP`` of the part's shingles."""
+    # Each word that a passage lacks spoils a shingle of its own at least; repeated shingles are counted once.
+    return int((1 - OVERLAP) * len(part.shingles) + 1e-9) + len(words) - part.size + 1 - len(part.shingles)
+
+
+def build_index(items: list[tuple[int, str]], whole: bool = False) -> Index | None:
+    """The index of (item_id, text) rows; null and empty texts are left out. None if nothing is left.
+
+    ``whole``: a passage is a hit too if it holds ``OVERLAP`` of the whole item's shingles.
+    """
     words = bare_words(pa.array([t for _, t in items], pa.string()))
     ids = hashes(words)
     closes = np.isin(np.append(words.data, 0)[words.end], ENDINGS)
@@ -118,14 +134,14 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
     block_at = np.searchsorted(pair // blocks, np.arange(len(terms) + 1))
     highest = np.zeros(len(terms))
     np.maximum.at(highest, term, weight)
-    parts, threshold = [], np.zeros(len(each))
+    parts, wholes, threshold = [], [], np.zeros(len(each))
     for i, (row, item_words) in enumerate(zip(rows, each, strict=True)):
         pieces = _parts(item_words, closes[words.first[row] : words.first[row + 1]])
-        sizes = [min(SHINGLE, len(p)) for p in pieces]
-        parts.append([Part(s, np.unique(grams(p, s))) for p, s in zip(pieces, sizes, strict=True)])
-        # Each word that a passage lacks spoils a shingle of its own at least; repeated shingles are counted once.
-        spare = sum(int((1 - OVERLAP) * len(x.shingles) + 1e-9) for x in parts[-1])
-        spare += sum(len(p) - s + 1 - len(x.shingles) for p, s, x in zip(pieces, sizes, parts[-1], strict=True))
+        parts.append([_part(p) for p in pieces])
+        spare = sum(_spare(p, x) for p, x in zip(pieces, parts[-1], strict=True))
+        if whole:
+            wholes.append(_part(item_words))
+            spare = max(spare, _spare(item_words, wholes[-1]))
         own = np.sort(weight[item == i])
         threshold[i] = own[: max(0, len(own) - spare)].sum() * (1 - 1e-9)
     block_threshold = np.minimum.reduceat(threshold, np.arange(0, len(each), BLOCK_ITEMS))
@@ -135,7 +151,8 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
     essential[order[np.cumsum(highest[order]) < 0.5 * threshold.min()]] = False
     return Index(
         np.array([items[r][0] for r in rows], dtype=np.int64), terms, item_at, item, weight, block_at,
-        pair % blocks, bound, highest, essential, threshold, block_threshold, parts, int(lengths.max()),
+        pair % blocks, bound, highest, essential, threshold, block_threshold, parts, wholes if whole else None,
+        int(lengths.max()),
     )
 
 
@@ -184,13 +201,17 @@ def search(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, flo
         first = words.first[r] + (k // items - base[r]) * index.longest
         inside = ids[first : min(first + 2 * index.longest, words.first[r + 1])]
         shares = [float(np.isin(p.shingles, grams(inside, p.size)).mean()) for p in index.parts[k % items]]
-        if min(shares) >= OVERLAP and s > best.get((r, k % items), (-1.0,))[0]:
+        accepted = min(shares) >= OVERLAP
+        if not accepted and index.wholes is not None:
+            p = index.wholes[k % items]
+            accepted = float(np.isin(p.shingles, grams(inside, p.size)).mean()) >= OVERLAP
+        if accepted and s > best.get((r, k % items), (-1.0,))[0]:
             best[r, k % items] = (s, shares[0], shares[-1], int(first - words.first[r]))
     for (r, i), found in best.items():
         yield r, i, *found
 
 
-def indexes(benchmark: DataFrame) -> Iterator[Index]:
+def indexes(benchmark: DataFrame, whole: bool = False) -> Iterator[Index]:
     """One index for each bounded part of the items; items are dealt to the parts by hash."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
     total = items.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
@@ -198,23 +219,25 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
     dealt = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
     for k in range(passes):
         rows = items.filter(dealt == k).toArrow().to_pylist()
-        index = build_index([(r["item_id"], r["text"]) for r in rows])
+        index = build_index([(r["item_id"], r["text"]) for r in rows], whole)
         if index is not None:
             yield index
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, *carry: Column) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, *carry: Column, whole: bool = False) -> DataFrame:
     """Verified pairs: the columns ``carry`` of the document, item_id, bm25, question_overlap, answer_overlap, first_word.
 
     One row for each row of ``docs`` and item; first_word is where the passage begins. Null and empty texts hit
     nothing, empty items are hit by nothing; rows that repeat an item_id are items of their own. No items: no rows.
+    ``whole``: 0.8 of the whole item's shingles suffice, then question or answer overlap may be less; else both must
+    reach 0.8.
     """
     rows = docs.select(*carry, F.col("text").alias("__text"))
     fields = [StructField("item_id", LongType())]
     fields += [StructField(c, DoubleType()) for c in ("bm25", "question_overlap", "answer_overlap")]
     schema = StructType([*rows.schema.fields[:-1], *fields, StructField("first_word", LongType())])
     out = None
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, whole):
         shared = Shared(docs.sparkSession, index)
 
         def query(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -235,9 +258,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, *carry: Column) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hit an item; rows without text stay."""
+    """``docs`` without the rows that hit an item, as a whole or in question and answer; rows without text stay."""
     at = docs.columns.index("text")
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, whole=True):
         shared = Shared(docs.sparkSession, index)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

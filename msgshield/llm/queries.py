@@ -35,7 +35,7 @@ def op1_maxent_scores(spark: SparkSession, sf: str) -> DataFrame:
 @register("op2_bm25_decontamination")
 def op2_bm25_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with passages that hold a test item."""
-    return decontam.hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"), F.col("doc_id"))
+    return decontam.hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"), F.col("doc_id"), whole=True)
 
 
 @register("op3_chat_collapse", sql.CHAT)

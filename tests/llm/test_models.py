@@ -255,6 +255,38 @@ def test_decontamination_in_passes_and_odd_rows(spark, odd, monkeypatch):
     assert decontam.decontaminated(docs, table.limit(0)).count() == docs.count()
 
 
+def test_decontamination_finds_one_changed_word(spark, sf):
+    """Every copy of an item with one word replaced that holds 0.8 of the whole item's shingles is a hit, and no other."""
+    items = duckdb.sql(f"SELECT item_id, text FROM '{sf}/benchmark.parquet'").fetchall()
+
+    def runs(w):
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    whole = {i: (bare(t), runs(bare(t))) for i, t in items}
+    longest = max(len(w) for w, _ in whole.values())
+    docs, expected = [], {(10**6 + 1, 1)}
+    for i, text in items:
+        w = text.split()
+        for k in range(len(w)):
+            docs.append((i * 1000 + k, " ".join([*w[:k], "replaced", *w[k + 1 :]])))
+    # Question and answer far apart hold less of the whole, yet both wholly.
+    docs.append((10**6 + 1, "a b c d e f " + "between " * 6 + "g h i j k l"))
+    items.append((1, "a b c d e f. g h i j k l"))
+    for d, text in docs[:-1]:
+        w = bare(text)
+        assert len(w) <= 2 * longest
+        have = runs(w)
+        expected |= {(d, i) for i, (_, x) in whole.items() if len(x & have) >= 0.8 * len(x)}
+    table = spark.createDataFrame(items, "item_id long, text string")
+    rows = spark.createDataFrame([(d, t, "en", "s") for d, t in docs], DOCS).repartition(4)
+    parts = {(r["doc_id"], r["item_id"]) for r in decontam.hits(rows, table, F.col("doc_id")).collect()}
+    got = decontam.hits(rows, table, F.col("doc_id"), whole=True).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == expected | parts and len(got) == len(expected | parts)
+    assert len(expected - parts) > 100
+    kept = {r["doc_id"] for r in decontam.decontaminated(rows, table).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _ in expected | parts}
+
+
 # --- near-duplicates ---------------------------------------------------------
 
 
