@@ -451,6 +451,35 @@ def test_markup():
     assert [b.text for b in pages.decided(pages.blocks("<nav>n</nav><main><p>m</main>"))[0]] == ["m"]
 
 
+def test_markup_names_at_their_place():
+    """A name counts as a whole attribute of the element itself, not inside other names and values."""
+
+    def article(source):
+        return [b.text for b in pages.decided(pages.blocks(source))[0]]
+
+    for inner in (
+        '<div style="overflow:hidden">kept</div>', '<a href="/hidden-gems">kept</a>', '<a href="/view?id=ad-7">kept</a>',
+        '<p data-id="footer-2">kept</p>', "<p title='class=ad'>kept</p>", '<p data-role="banner">kept</p>',
+        '<p aria-hidden="false">kept</p>', '<p title="a hidden id=ad">kept</p>', '<div class="has-sidebar">kept</div>',
+        '<div class="no-comments text--with-form">kept</div>', '<svg viewBox="0 0 1 1"/>kept', "<svg/><p>kept</p>",
+        "<a href=/hidden/ >kept</a>", '<p title="some hidden id=ad>kept</p>',
+    ):
+        assert article(f"<main><article>{inner}</article></main>") == ["kept"], inner
+    for outer in (
+        '<html class="no-ads"><body class="has-sidebar widget">{}</body></html>', '<body id="comments">{}</body>',
+        '<main class="sidebar-left" id=widget>{}</main>',
+    ):
+        assert article(outer.format("<article>kept</article>")) == ["kept"], outer
+    assert article('<article class="post has-comments related">kept</article>') == ["kept"]
+    for inner in (
+        "<p hidden>x</p>", '<p hidden="">x</p>', "<p data-a=1 hidden>x</p>", "<p class=ad>x</p>", '<p CLASS = "big ad">x</p>',
+        "<p id='footer-2'>x</p>", '<div class="ad-no-border">x</div>', '<p role="Banner">x</p>', "<svg><text>x</text></svg>",
+        "<svg a=/><text>x</text></svg>", "<span title='a'class='ad'>x</span>", "<p/class=ad>x</p>",
+    ):
+        assert article(f"<article>{inner}<p>kept</p></article>") == ["kept"], inner
+    assert article("<article hidden>x</article><main>kept</main>") == ["kept"]
+
+
 def site(n, host="h.example"):
     shared = "<div><p>Follow us on every channel and sign up for our weekly letter today</p></div>"
     end = "<p>All rights reserved by the owners of this site since the year it began</p>"
