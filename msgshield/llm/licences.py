@@ -1,7 +1,8 @@
 """Licence scan: TF-IDF cosine of lines and licence files to templates, then inheritance from the nearest directory.
 
-Every line of a text, and the whole text of a licence file, is compared with the notices below by the cosine of sparse
-TF-IDF vectors. Only texts that hold a key term of a template are looked at: without any of them the cosine cannot reach the
+Every line of a text, every run of consecutive lines up to twice the longest template, and the whole text of a licence
+file, is compared with the notices below by the cosine of sparse TF-IDF vectors; so are the paragraphs that licence texts
+and headers consist of, and in licence files their titles. Only texts that hold a key term of a template are looked at: without any of them the cosine cannot reach the
 threshold. Equal texts are scanned once. A file without a notice of its own inherits from the nearest directory above
 it that holds a licence file; directories are resolved once each, by a join on their ancestors. Everything is a
 built-in function.
@@ -13,7 +14,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -36,6 +37,35 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
 ]
+_GNU = (
+    "{0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by "
+    "the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+)
+# Paragraphs that tell a licence by themselves, in any file.
+PARAGRAPHS = [
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("GPL-2.0", _GNU.format("This program", "General Public License", "2")),
+    ("GPL-3.0", _GNU.format("This program", "General Public License", "3")),
+    ("LGPL-2.1", _GNU.format("This library", "Lesser General Public License", "2.1")),
+    ("LGPL-3.0", _GNU.format("This program", "Lesser General Public License", "3")),
+    ("AGPL-3.0", _GNU.format("This program", "Affero General Public License", "3")),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+]
+# How the texts of licences begin; they count in licence files only.
+TITLES = [
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+]
 THRESHOLD = 0.8
 TERM = "[a-z0-9]+"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)\b"
@@ -45,18 +75,23 @@ def terms(text: str) -> list[str]:
     return re.findall(TERM, text.lower())
 
 
-VOCABULARY = sorted({t for _, text in TEMPLATES for t in terms(text)})
+def vocabulary(templates: list[tuple[str, str]]) -> list[str]:
+    return sorted({t for _, text in templates for t in terms(text)})
+
+
+VOCABULARY = vocabulary(TEMPLATES)
+ALL_TERMS = vocabulary(TEMPLATES + PARAGRAPHS + TITLES)
 
 
 def document_frequency(texts: DataFrame) -> tuple[int, dict[str, int]]:
     """Number of texts (column ``text``), and of those that hold each term of the templates."""
     held = F.array_intersect(
-        F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))), F.array(*[F.lit(t) for t in VOCABULARY])
+        F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))), F.array(*[F.lit(t) for t in ALL_TERMS])
     )
     # An empty term stands for the text itself.
     rows = texts.select(F.explode(F.concat(F.array(F.lit("")), F.coalesce(held, F.array().cast("array<string>")))).alias("term"))
     counts = {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return counts.get("", 0), {t: counts.get(t, 0) for t in VOCABULARY}
+    return counts.get("", 0), {t: counts.get(t, 0) for t in ALL_TERMS}
 
 
 def idf(total: int, df: int) -> float:
@@ -64,10 +99,12 @@ def idf(total: int, df: int) -> float:
     return math.log((1 + total) / (1 + df)) + 1.0
 
 
-def template_vectors(total: int, df: dict[str, int]) -> list[dict[str, float]]:
+def template_vectors(
+    total: int, df: dict[str, int], templates: list[tuple[str, str]] = TEMPLATES
+) -> list[dict[str, float]]:
     """Unit TF-IDF vectors of the templates."""
     out = []
-    for _, text in TEMPLATES:
+    for _, text in templates:
         vector = {t: n * idf(total, df[t]) for t, n in Counter(terms(text)).items()}
         norm = math.sqrt(sum(w * w for w in vector.values()))
         out.append({t: w / norm for t, w in vector.items()})
@@ -88,26 +125,58 @@ def key_terms(vectors: list[dict[str, float]], threshold: float) -> list[str]:
     return sorted(keys)
 
 
-def scan(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``texts`` (h1, h2, text, whole) -> (h1, h2, whole, licence, cosine) of those that reach the threshold.
-
-    Every line is a unit, and where ``whole`` is true the text as well. The template with the highest cosine wins, of
-    equal ones the first; cosines are compared after rounding to nine digits.
-    """
+def line_runs(rows: DataFrame, words: int) -> DataFrame:
+    """``rows`` (h1, h2, whole, text) -> (h1, h2, whole, unit, line): every run of two or more consecutive lines that has
+    at most ``words`` words; lines without a word are left out first. Units are negative."""
+    lines = F.filter(F.split(F.lower("text"), "\n"), lambda x: x.rlike("[a-z0-9]"))
+    each = rows.select("h1", "h2", "whole", F.posexplode(lines).alias("place", "line"))
+    # A longer line is in no run.
+    each = each.withColumn("n", F.regexp_count("line", F.lit(TERM)))
+    each = each.withColumn("line", F.when(F.col("n") < words, F.col("line")).otherwise(""))
+    ahead = Window.partitionBy("h1", "h2", "whole").orderBy("place").rowsBetween(1, words - 1)
+    each = each.withColumn("ahead", F.collect_list(F.struct("line", "n")).over(ahead)).filter(F.col("n") < words)
+    start = F.struct(F.col("line").alias("line"), F.col("n").alias("n"), F.array().cast("array<string>").alias("out"))
+
+    def longer(run: Column, x: Column) -> Column:
+        line, n = F.concat(run["line"], F.lit("\n"), x["line"]), run["n"] + x["n"]
+        grown = F.struct(line.alias("line"), n.alias("n"), F.concat(run["out"], F.array(line)).alias("out"))
+        over = F.struct(run["line"].alias("line"), n.alias("n"), run["out"].alias("out"))
+        return F.when(n <= words, grown).otherwise(over)
+
+    runs = each.select("h1", "h2", "whole", "place", F.aggregate("ahead", start, longer)["out"].alias("runs"))
+    runs = runs.select("h1", "h2", "whole", "place", F.posexplode("runs").alias("k", "line"))
+    return runs.select("h1", "h2", "whole", (-1 - F.col("place").cast("long") * words - F.col("k")).alias("unit"), "line")
+
+
+def cosines(
+    texts: DataFrame, templates: list[tuple[str, str]], total: int, df: dict[str, int], threshold: float
+) -> DataFrame:
+    """``texts`` (h1, h2, text, whole) -> (h1, h2, whole, template, cosine) of all units that reach the threshold."""
     spark = texts.sparkSession
-    total, df = document_frequency(texts.select("text"))
-    vectors = template_vectors(total, df)
+    vectors = template_vectors(total, df, templates)
     keys = "|".join(key_terms(vectors, threshold))
     weights = spark.createDataFrame(
         [(k, t, w) for k, v in enumerate(vectors) for t, w in sorted(v.items())], "template int, term string, weight double"
     )
-    common = spark.createDataFrame([(t, idf(total, n)) for t, n in df.items()], "term string, idf double")
-    may = F.lower("text").rlike(f"(?:^|[^a-z0-9])(?:{keys})(?:[^a-z0-9]|$)")
-    rows = texts.filter(may).groupBy("h1", "h2", "whole").agg(F.first("text").alias("text"))
+    known = vocabulary(templates)
+    common = spark.createDataFrame([(t, idf(total, df[t])) for t in known], "term string, idf double")
+    has_key = f"(?:^|[^a-z0-9])(?:{keys})(?:[^a-z0-9]|$)"
+    rows = texts.filter(F.lower("text").rlike(has_key)).groupBy("h1", "h2", "whole").agg(F.first("text").alias("text"))
     lines = F.split(F.lower("text"), "\n")
     units = F.when(F.col("whole"), F.concat(lines, F.array(F.lower("text")))).otherwise(lines)
     units = rows.select("h1", "h2", "whole", F.posexplode(units).alias("unit", "line"))
-    units = units.filter(F.col("line").rlike(f"(?:^|[^a-z0-9])(?:{keys})(?:[^a-z0-9]|$)"))
+    # A cosine is at most the length of the part of the template whose terms occur: a text that holds less has no run.
+    held = F.array_intersect(
+        F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))), F.array(*[F.lit(t) for t in known])
+    )
+    squares = F.array(*[F.create_map(*[F.lit(x) for t, w in sorted(v.items()) for x in (t, w * w)]) for v in vectors])
+    enough = F.exists(
+        squares,
+        lambda m: F.aggregate(held, F.lit(0.0), lambda a, t: a + F.coalesce(m[t], F.lit(0.0))) >= (threshold * 0.999) ** 2,
+    )
+    runs = line_runs(rows.filter(enough), 2 * max(len(terms(text)) for _, text in templates))
+    units = units.withColumn("unit", F.col("unit").cast("long")).unionByName(runs)
+    units = units.filter(F.col("line").rlike(has_key))
     unit = ["h1", "h2", "whole", "unit"]
     counts = units.select(*unit, F.explode(F.regexp_extract_all("line", F.lit(TERM), F.lit(0))).alias("term"))
     counts = counts.groupBy(*unit, "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -116,11 +185,24 @@ def scan(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     norms = counts.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = counts.join(F.broadcast(weights), "term").groupBy(*unit, "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    cosines = dots.join(norms, unit).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9))
-    best = cosines.filter(F.col("cosine") >= threshold).groupBy("h1", "h2", "whole").agg(
-        F.max(F.struct("cosine", (-F.col("template")).alias("place"))).alias("best")
-    )
-    names = F.array(*[F.lit(name) for name, _ in TEMPLATES])
+    found = dots.join(norms, unit).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9))
+    return found.filter(F.col("cosine") >= threshold).select("h1", "h2", "whole", "template", "cosine")
+
+
+def scan(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``texts`` (h1, h2, text, whole) -> (h1, h2, whole, licence, cosine) of those that reach the threshold.
+
+    Every line and every run of lines is a unit, and where ``whole`` is true the text as well. The template with the
+    highest cosine wins, of equal ones the first; cosines are compared after rounding to nine digits.
+    """
+    total, df = document_frequency(texts.select("text"))
+    found, first = None, 0
+    for templates, where in ((TEMPLATES, F.lit(True)), (PARAGRAPHS, F.lit(True)), (TITLES, F.col("whole"))):
+        part = cosines(texts.filter(where), templates, total, df, threshold)
+        part = part.withColumn("template", F.col("template") + first)
+        found, first = part if found is None else found.unionByName(part), first + len(templates)
+    best = found.groupBy("h1", "h2", "whole").agg(F.max(F.struct("cosine", (-F.col("template")).alias("place"))).alias("best"))
+    names = F.array(*[F.lit(name) for name, _ in TEMPLATES + PARAGRAPHS + TITLES])
     return best.select(
         "h1", "h2", "whole", F.element_at(names, 1 - F.col("best.place")).alias("licence"), F.col("best.cosine").alias("cosine")
     )

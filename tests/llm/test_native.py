@@ -180,6 +180,50 @@ def test_licence_notices_and_inheritance(spark):
     assert licences.scan_files(files.limit(0)).collect() == []
 
 
+def test_licence_headers_of_several_lines_and_texts(spark):
+    def gnu(name, version, mark):
+        lines = [
+            "This program is free software: you can redistribute it and/or modify", f"it under the terms of the GNU {name} as published by",
+            f"the Free Software Foundation, either version {version} of the License, or", "(at your option) any later version.",
+        ]
+        return "x = 1\n" + "\n".join(mark + x for x in lines) + "\n" + mark + "\ndef f():\n    return x\n"
+
+    bsd = "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\npackage main\n"
+    apache = " " * 20 + "Apache License\n" + " " * 15 + "Version 2.0, January 2004\n" + " " * 12 + "http://www.apache.org/licenses/\n\n"
+    apache += "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n1. Definitions.\n" + "further terms of it follow here\n" * 200
+    mit = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+    rows = [
+        ("m/LICENSE", mit, "MIT"), ("a/LICENSE", apache, "Apache-2.0"), ("a/notes.txt", apache, None), ("m/x.py", "print(1)", None),
+        ("m/g3.py", gnu("General Public License", "3", "# "), "GPL-3.0"), ("m/g2.py", gnu("General Public License", "2", " * "), "GPL-2.0"),
+        ("m/l3.py", gnu("Lesser General Public License", "3", ""), "LGPL-3.0"), ("m/a3.py", gnu("Affero General Public License", "3", "; "), "AGPL-3.0"),
+        ("m/b.go", bsd, "BSD-3-Clause"), ("m/mit.c", "/*\n" + mit.replace("\n", "\n * ") + "*/ int x;", "MIT"),
+        ("m/far.py", bsd.replace("BSD-style\n", "BSD-style\n" + "other words entirely stand between these two lines\n" * 30), None),
+    ]
+    files = spark.createDataFrame([(k, p, t) for k, (p, t, _) in enumerate(rows)], "file_id int, path string, text string")
+    got = {r["path"]: (r["licence"], r["effective"], r["from_dir"]) for r in licences.scan_files(files).collect()}
+    for path, _, licence in rows:
+        top = path.split("/")[0]
+        above = {"m": "MIT", "a": "Apache-2.0"}[top]
+        assert got[path] == ((licence, licence, None) if licence else (None, above, top)), path
+
+
 def test_licence_key_terms_lose_nothing():
     vectors = licences.template_vectors(100, {t: 3 for t in licences.VOCABULARY})
     keys = set(licences.key_terms(vectors, 0.8))
