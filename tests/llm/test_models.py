@@ -507,6 +507,26 @@ def test_repeated_runs_of_a_host_go(spark, monkeypatch, block):
     assert extract.main_text(table.limit(0)).collect() == []
 
 
+def test_common_blocks_inside_declared_pages_go(spark):
+    strip = "Follow us on every channel and sign up for our weekly letter today"
+    passage = "A passage of some length that just a few of the articles of this host share"
+
+    def page(i, tag="main", host="d"):
+        own = " ".join(f"word{i}x{k}" for k in range(12))
+        shared = f"<p>{passage}</p>" if i < 4 else ""
+        text = "\n\n".join(["Summary", own, *([passage] if i < 4 else [])])
+        return (i, f"https://{host}.example/{i}", f"<{tag}><div>{strip.upper() if i == 3 else strip}</div><h2>Summary</h2><p>{own}</p>{shared}</{tag}>", text)
+
+    rows = [page(i, "main" if i % 2 else "article") for i in range(10)]
+    # Nothing but the strip; four pages of a host; one page in many rows.
+    rows += [(50, "https://d.example/50", f"<main><p>{strip}</p></main>", strip)]
+    rows += [(*page(i, host="few")[:3], strip.upper() + "\n\n" + page(i)[3] if i == 3 else strip + "\n\n" + page(i)[3]) for i in range(4)]
+    rows += [(70, f"https://one.example/{k}", page(70)[2], strip + "\n\n" + page(70)[3]) for k in range(8)]
+    table = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").repartition(3)
+    got = {r["url"]: r["text"] for r in extract.main_text(table).collect()}
+    assert got == {r[1]: r[3] for r in rows}
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(9)
     ids = rng.integers(0, 3, 300)
