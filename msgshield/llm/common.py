@@ -26,6 +26,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Rows of a narrow table that may be broadcast.
+BROADCAST_ROWS = 20_000
+
+
+def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored narrow ``table``, marked for broadcast if it has at most ``rows`` rows; else joins shuffle it."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
+def numbered(rows: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """``rows`` (a narrow stored table) in total order with ``at``: 0, 1, 2, ...; equal rows lie side by side.
+
+    Range partitions hold consecutive rows, so a row's number is its place in the partition and the rows of the
+    partitions before; the broadcast table has one row for each partition. The place in the input is the last key, so
+    a hot key is cut like any other rows. The result is stored.
+    """
+    keys = [*order, F.col("__row")]
+    kept = rows.columns
+    rows = rows.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stored(rows.select(*kept, F.spark_partition_id().alias("__part"), place.alias("__place")), name)
+    earlier = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    parts = parts.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    at = (F.col("__before") + F.col("__place")).alias("at")
+    return placed.join(F.broadcast(parts), "__part").select(*kept, at)
+
+
 class Shared:
     """A value of bounded size for the tasks. It travels with the code of its class, like the functions that read it."""
 

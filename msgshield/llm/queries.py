@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed, extract, licences, maxent, mixing, shards, simhash, sql, toxicity
+from . import chat, decontam, embed, extract, licences, maxent, merkle, mixing, shards, simhash, sql, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,9 @@ def op9_kneser_ney_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op10_pivot_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@register("op12_merkle_manifest", sql.manifest_sql())
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaf, roots and checked proof of every document."""
+    return merkle.manifest(table(spark, sf, "documents"))

@@ -93,3 +93,76 @@ chosen AS (
   SELECT *, CAST(least(floor(place * step + start) - floor((place - 1) * step + start), ceil(step)) AS BIGINT) AS copies FROM placed)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM chosen
 """
+
+
+# CRC-32 of UTF-8 strings by its table; ``crc_of`` reads these two.
+CRC_TABLE = """bits(step, i, c) AS (
+  SELECT 0, i, i::BIGINT FROM range(256) t(i)
+  UNION ALL SELECT step + 1, i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE step < 8),
+crc AS (SELECT list(c ORDER BY i) AS l FROM bits WHERE step = 8)"""
+
+
+def crc_of(text: str) -> str:
+    """The unsigned CRC-32 of a string expression, in a query with ``crc`` cross joined."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}),"
+        " lambda a, x: xor(a >> 8, l[(xor(a, x) & 255) + 1])), 4294967295)"
+    )
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+def _tree(prefix: str, leaves: str, levels: int) -> str:
+    """Levels of trees of three: (tree, i, h, n) -> (tree, i, h, n, left, right), i and n counted on the level."""
+    steps = []
+    for k in range(levels + 1):
+        below = leaves if k == 0 else (
+            f"(SELECT tree, i // 3 AS i, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE max(h) END AS h,"
+            f" (max(n) + 2) // 3 AS n FROM {prefix}{k - 1} GROUP BY ALL)"
+        )
+        steps.append(
+            f"{prefix}{k} AS MATERIALIZED (SELECT *,"
+            " coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,"
+            " coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r"
+            f" FROM {below} WINDOW run AS (PARTITION BY tree, i // 3 ORDER BY i))"
+        )
+    return ",\n".join(steps)
+
+
+def _paths(prefix: str, nodes: str, start: str, levels: int) -> str:
+    """Proof and folded root along the levels: start has (id, tree, i, proof, f)."""
+    steps = [f"{prefix}0 AS ({start})"]
+    for k in range(levels):
+        steps.append(
+            f"{prefix}{k + 1} AS MATERIALIZED (SELECT p.id, p.tree, p.i // 3 AS i, p.proof || t.l || t.r AS proof,"
+            f" CASE WHEN t.n > 1 THEN sha256(t.l || p.f || t.r) ELSE p.f END AS f"
+            f" FROM {prefix}{k} p JOIN {nodes}{k} t ON t.tree = p.tree AND t.i = p.i)"
+        )
+    return ",\n".join(steps)
+
+
+def manifest_sql(levels: int = 10, source_levels: int = 5) -> str:
+    """The manifest for up to ``3 ** levels`` rows a source and ``3 ** source_levels`` sources."""
+    columns = " || ".join(_field(f"{c}::VARCHAR") for c in ("doc_id", "source", "lang", "n_chars"))
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+leaves AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, doc_id, coalesce('1' || source, '0') AS tree,
+    sha256({columns} || {_field("text")}) AS leaf,
+    CASE WHEN {crc_of("doc_id::VARCHAR")} % 2 = 0
+      THEN sha256({columns} || {_field("replace(text, chr(10), '')")}) END AS tampered
+  FROM documents CROSS JOIN crc),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n
+  FROM leaves),
+{_tree("t", "(SELECT tree, i, leaf AS h, n FROM placed)", levels)},
+tops AS (SELECT tree AS source, row_number() OVER (ORDER BY tree) - 1 AS i, h, count(*) OVER () AS n FROM t{levels}),
+{_tree("s", "(SELECT '' AS tree, i, h, n FROM tops)", source_levels)},
+{_paths("p", "t", "SELECT id, tree, i, '' AS proof, coalesce(tampered, leaf) AS f FROM placed", levels)},
+{_paths("q", "s", f"SELECT p.id, '' AS tree, o.i, proof, f FROM p{levels} p JOIN tops o ON o.source = p.tree", source_levels)}
+SELECT doc_id, leaf, o.h AS subroot, s.h AS root, sha256(q.proof) AS proof_sha256, q.f AS folded_root, q.f = s.h AS verified
+FROM placed d JOIN q{source_levels} q USING (id) JOIN tops o ON o.source = d.tree CROSS JOIN s{source_levels} s
+"""
