@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed, extract, licences, maxent, merkle, mixing, shards, simhash, sql, toxicity
+from . import chat, decontam, embed, extract, licences, maxent, merkle, mixing, resample, shards, simhash, sql, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,12 @@ def op10_pivot_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@register("op11_importance_resampling", sql.RESAMPLE)
+def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards the benchmark's texts."""
+    return resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @register("op12_merkle_manifest", sql.manifest_sql())
 def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Leaf, roots and checked proof of every document."""

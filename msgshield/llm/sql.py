@@ -166,3 +166,40 @@ tops AS (SELECT tree AS source, row_number() OVER (ORDER BY tree) - 1 AS i, h, c
 SELECT doc_id, leaf, o.h AS subroot, s.h AS root, sha256(q.proof) AS proof_sha256, q.f AS folded_root, q.f = s.h AS verified
 FROM placed d JOIN q{source_levels} q USING (id) JOIN tops o ON o.source = d.tree CROSS JOIN s{source_levels} s
 """
+
+
+RESAMPLE = f"""
+WITH RECURSIVE {CRC_TABLE},
+texts AS (
+  SELECT 'd' AS kind, row_number() OVER () AS r, doc_id, text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+split AS MATERIALIZED (
+  SELECT kind, r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts),
+runs AS (
+  SELECT kind, r, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+features AS MATERIALIZED (
+  SELECT kind, r, array_to_string(w[i:i + n - 1], ' ') AS f, count(*) AS c FROM runs, range(1, 4) t(n)
+  WHERE i + n - 1 <= len(w) GROUP BY ALL),
+buckets AS MATERIALIZED (
+  SELECT f, {crc_of('f')} % 10000 AS bucket FROM (SELECT DISTINCT f FROM features) CROSS JOIN crc),
+counts AS (
+  SELECT bucket, coalesce(sum(c) FILTER (kind = 'd'), 0)::DOUBLE AS s, coalesce(sum(c) FILTER (kind = 'b'), 0)::DOUBLE AS t
+  FROM features JOIN buckets USING (f) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + 10000) / ((s + 1) * ((SELECT sum(t) FROM counts) + 10000))))::BIGINT AS gain
+  FROM counts),
+weighed AS (
+  SELECT r, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight
+  FROM features JOIN buckets USING (f) JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5)
+      / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM split LEFT JOIN weighed USING (r) WHERE kind = 'd'),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, weight, n_features) AS place,
+    count(*) FILTER (n_words >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank FROM ranked
+"""
