@@ -24,7 +24,7 @@ SPAN = ARITY**SPAN_LEVELS
 # Name of the tree of the sources; those of the sources begin with 0 (null) or 1.
 TOP = ""
 
-NODES = "tree string, level int, place long, node string"
+NODES = "tree string, level int, place long, node string, n long, root boolean"
 PROOFS = "doc_id long, leaf string, subroot string, root string, proof list<string>, folded_root string"
 
 
@@ -78,55 +78,42 @@ def missing(held: Iterable[int], level: int, count: int) -> list[tuple[int, int]
     return out
 
 
-def _grow(table: pa.Table) -> pa.Table:
-    """The levels that one block of equal level spans, its own left out."""
-    table = table.sort_by("place")
-    tree, level, count = (table.column(c)[0].as_py() for c in ("tree", "level", "n"))
-    place = table.column("place")[0].as_py()
-    above = climb(table.column("node").to_pylist(), min(SPAN_LEVELS, height(count) - level))[1:]
-    out = []
-    for step, nodes in enumerate(above, 1):
-        first = place // ARITY**step
-        out += [(tree, level + step, first + i, node) for i, node in enumerate(nodes)]
-    columns = list(zip(*out, strict=True)) or [[], [], [], []]
-    types = (pa.string(), pa.int32(), pa.int64(), pa.string())
-    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["tree", "level", "place", "node"])
-
-
-def _span(nodes: DataFrame) -> DataFrame:
-    """All levels that the blocks of ``nodes`` (tree, level, place, node, n) span."""
-    span = F.floor(F.col("place") / F.lit(SPAN)).alias("span")
-    return nodes.groupBy("tree", span).applyInArrow(_grow, NODES)
+def _grower(inner: bool):
+    """The levels that one block of equal level spans, its own left out; without ``inner`` the last of them only."""
 
+    def grow(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        tree, level, count = (table.column(c)[0].as_py() for c in ("tree", "level", "n"))
+        place, top = table.column("place")[0].as_py(), height(count)
+        above = climb(table.column("node").to_pylist(), min(SPAN_LEVELS, top - level))[1:]
+        out = []
+        for step, nodes in enumerate(above, 1):
+            if inner or step == len(above):
+                first = place // ARITY**step
+                out += [(tree, level + step, first + i, node, count, level + step == top) for i, node in enumerate(nodes)]
+        columns = list(zip(*out, strict=True)) or [[]] * 6
+        types = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
+        names = ["tree", "level", "place", "node", "n", "root"]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-def _heights(trees: DataFrame, name: str = "height") -> DataFrame:
-    """Adds the height of every tree: the least power of three that holds its leaves."""
-    powers = F.array(*[F.lit(ARITY**i) for i in range(1, 40)])
-    return trees.withColumn(name, F.size(F.filter(F.transform(powers, lambda p: F.floor(p / ARITY)), lambda p: p < F.col("n"))))
+    return grow
 
 
-def _tiers(nodes: DataFrame, trees: DataFrame, most: int, keep_first: bool) -> tuple[DataFrame, DataFrame]:
-    """(nodes above ``nodes``, roots): the trees grown tier by tier. ``trees``: tree, n, height; ``most``: the largest n.
+def _tiers(nodes: DataFrame, most: int, inner: bool) -> DataFrame:
+    """The nodes above ``nodes`` (tree, place, node, n), tier by tier; ``most``: the largest n. ``root`` marks the roots.
 
-    Of the first tier only the roots of blocks are kept unless ``keep_first``, as nothing outside a block asks for the rest.
+    Of the first tier only the roots of blocks are kept unless ``inner``, as nothing outside a block asks for the rest.
     """
-    found, level = [], 0
+    above, level = None, 0
     while True:
-        grown = _span(nodes.withColumn("level", F.lit(level)).join(trees.select("tree", "n"), "tree"))
+        span = F.floor(F.col("place") / F.lit(SPAN)).alias("span")
+        nodes = nodes.select("tree", F.lit(level).alias("level"), "place", "node", "n")
+        grown = stored(nodes.groupBy("tree", span).applyInArrow(_grower(inner or level > 0), NODES), "nodes")
+        above = grown if above is None else above.unionByName(grown)
         level += SPAN_LEVELS
-        if level == SPAN_LEVELS and not keep_first:
-            roots = trees.select("tree", F.least("height", F.lit(level)).alias("level"))
-            grown = grown.join(roots, ["tree", "level"])
-        grown = stored(grown.select("tree", "level", "place", "node"), "nodes")
-        found.append(grown)
         if ARITY**level >= most:
-            break
-        nodes = grown.filter(F.col("level") == level).join(trees.filter(F.col("height") > level).select("tree"), "tree", "left_semi")
-        nodes = nodes.select("tree", "place", "node")
-    above = found[0]
-    for more in found[1:]:
-        above = above.unionByName(more)
-    return above, above.join(trees.select("tree", F.col("height").alias("level")), ["tree", "level"]).select("tree", "node")
+            return above
+        nodes = grown.filter((F.col("level") == level) & ~F.col("root"))
 
 
 def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,20 +203,19 @@ def proofs(docs: DataFrame, tampered: Column, when: Column) -> DataFrame:
     rows = numbered(stored(digests, "digests"), ["tree", "doc_id", "leaf"], "leaves")
     trees = stored(rows.groupBy("tree").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")), "trees")
     most, sources = trees.agg(F.max("n"), F.count(F.lit(1))).first()
-    trees = _heights(numbered(trees, ["tree"], "ranked").withColumnRenamed("at", "rank")).withColumn("trees", F.lit(sources))
-    trees = stored(trees, "trees")
-    small = broadcast_if_small(trees)
+    trees = numbered(trees, ["tree"], "ranked").withColumnRenamed("at", "rank").withColumn("trees", F.lit(sources))
+    small = broadcast_if_small(stored(trees, "trees"))
     rows = rows.join(small, "tree").withColumn("place", F.col("at") - F.col("first"))
     rows = rows.withColumn("block", F.floor(F.col("place") / F.lit(SPAN)))
     rows = rows.select("tree", "block", "place", "doc_id", "leaf", "tampered", "n", "rank", "trees")
 
-    nodes, subroots = _tiers(rows.select("tree", "place", F.col("leaf").alias("node")), small, most or 1, False)
+    nodes = _tiers(rows.select("tree", "place", F.col("leaf").alias("node"), "n"), most or 1, False)
     single = rows.filter("n = 1").select("tree", F.col("leaf").alias("node"))
-    top = subroots.unionByName(single).join(small, "tree")
-    top = stored(top.select(F.lit(TOP).alias("tree"), F.col("rank").alias("place"), "node"), "subroots")
-    one = trees.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit(TOP).alias("tree"), "n")
-    over, _ = _tiers(top, _heights(one), sources, True)
-    nodes = nodes.unionByName(over).unionByName(top.withColumn("level", F.lit(0)))
+    subroots = nodes.filter("root").select("tree", "node").unionByName(single).join(small, "tree")
+    top = stored(subroots.select(F.lit(TOP).alias("tree"), F.col("rank").alias("place"), "node", F.col("trees").alias("n")), "subroots")
+    coordinates = ["tree", "level", "place", "node"]
+    nodes = nodes.select(*coordinates).unionByName(_tiers(top, sources, True).select(*coordinates))
+    nodes = nodes.unionByName(top.withColumn("level", F.lit(0)).select(*coordinates))
 
     units = rows.filter(F.col("place") % SPAN == 0).select("tree", "block", "n", "rank", "trees")
     wanted = units.mapInArrow(_requests, "tree string, block long, of string, level int, place long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed, extract, licences, maxent, merkle, mixing, resample, shards, simhash, sql, toxicity
+from . import chat, decontam, embed, extract, licences, maxent, merkle, mixing, packing, resample, shards, simhash, sql, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,14 @@ def op11_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
 def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Leaf, roots and checked proof of every document."""
     return merkle.manifest(table(spark, sf, "documents"))
+
+
+@register("op13_retrieval_packing")
+def op13_retrieval_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Place of every piece of a document in the packed sequences."""
+    import public_tokenizers
+
+    pieces = packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
