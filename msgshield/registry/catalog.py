@@ -699,22 +699,24 @@ _BINARY = {
 }
 
 
-@register(
-    "url_suite_matrix",
-    [
+_SUITE_CTES = [
         "scored",
         ("a", _AUC.format(g="suite")),
         ("e", _ECE.format(g="suite")),
         ("cells", f"SELECT suite, {_CELLS} FROM scored GROUP BY suite"),
         ("figures", "SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _BINARY.items()) + ", ece * 100.0::DOUBLE AS ece_percent "
          "FROM cells JOIN a USING (suite) JOIN e USING (suite)"),
-    ],
+    ]
+_SUITE_SELECT = (
     "SELECT suite, CASE suite " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in URL_SUITES.items()) + " END AS title, "
     "TP + FP + TN + FN AS samples, "
     + ", ".join(f"{dbl(sql.round_even(k, 2))} AS {k}" for k in _BINARY)
     + f", {dbl(sql.round_even('auc', 4))} AS roc_auc, {dbl(sql.round_even('ece_percent', 2))} AS ece, "
-    f"CASE WHEN {sql.round_even('f1', 2)} >= 90 THEN 'PASS' ELSE 'INVESTIGATE' END AS status, TP, FP, TN, FN FROM figures",
+    f"CASE WHEN {sql.round_even('f1', 2)} >= 90 THEN 'PASS' ELSE 'INVESTIGATE' END AS status, TP, FP, TN, FN FROM figures"
 )
+
+
+@register("url_suite_matrix", _SUITE_CTES, _SUITE_SELECT)
 def url_suite_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.url_suite_matrix(inputs.scored_rows(spark, sf))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +16,8 @@ from ..functions.qr import strip_series_artifact
 from ..functions.urls import looks_like_url
 from ..operators import metrics, terms
 from ..operators.quality import decode_statistics
-from ..operators.reports import DECODE_REPORT, markdown_rows, report_lines, with_files
+from ..operators.reports import DECODE_REPORT, MESSAGE_BENCHMARK, URL_BENCHMARK, benchmark_report, markdown_rows
+from ..operators.reports import report_lines, with_files
 from ..plans import evaluation, scoring, training
 from ..plans import messages as message_jobs
 from ..plans import qr as qr_jobs
@@ -23,7 +28,7 @@ from ..streaming.ingest import ingest_decodes, read_ingested, resume_decodes
 from ..streaming.scoring import stream_score, write_scores
 from . import inputs, sql
 from .catalog import _CORPUS, _DECODE_CTE, _ECE, _MATRIX_CTES, _MATRIX_SELECT, _MSG_PROB, _QR, _RATE_COLUMNS, _SCORED_QR
-from .catalog import _SCORED_URLS, _SCORE_QR_SELECT
+from .catalog import _SCORED_URLS, _SCORE_QR_SELECT, _SUITE_CTES, _SUITE_SELECT
 from .catalog import _flat_indicators, _score_messages_select, _score_urls_select, _scored_messages, _stored_corpus
 from .catalog import ORACLES, ROUTED_SQL, _row_digest, _stored_text, register, routed_digests, row_digest_sql
 from .sql import CLEAN_CHAIN, URL_SPLIT_CHAIN, big
@@ -166,6 +171,66 @@ def metrics_report(spark: SparkSession, sf: str) -> DataFrame:
     return markdown_rows(metrics.message_matrix(inputs.scored_rows(spark, sf)), evaluation.MESSAGE_REPORT, ["level"])
 
 
+def _benchmark_lines_sql(layout: dict, cells: str, rule: str) -> str:
+    """The lines of a whole report as one SQL list over the matrix ``m``. ``cells``: one SQL line for each table."""
+    parts = [f"[{sql.lit(layout['title'])}, '']"]
+    for (heading, fields), line in zip(layout["tables"], cells, strict=True):
+        head = "| " + " | ".join(name for name, _, _ in fields) + " |"
+        parts.append(f"[{sql.lit(heading)}, '', {sql.lit(head)}, '| :--- |' || repeat(' :---: |', {len(fields) - 1})]")
+        parts += [f"(SELECT list({line} ORDER BY {rule}) FROM m)", "['']"]
+    parts.append("[" + ", ".join(sql.lit(x) for x in layout["closing"]) + "]")
+    return " || ".join(parts)
+
+
+_COUNT_CELLS = "'| ' || {name} || ' | ' || TP || ' | ' || FP || ' | ' || TN || ' | ' || FN || ' |'"
+
+
+@register(
+    "message_report",
+    [*_MATRIX_CTES, ("m", _MATRIX_SELECT),
+     ("l", f"SELECT {_benchmark_lines_sql(MESSAGE_BENCHMARK, [_REPORT_LINE, _COUNT_CELLS.format(name='level')], 'level')} AS lines")],
+    "SELECT CAST(i - 1 AS BIGINT) AS line_no, lines[i] AS line FROM (SELECT lines, unnest(generate_series(1, len(lines))) AS i FROM l)",
+)
+def message_report(spark: SparkSession, sf: str) -> DataFrame:
+    """K6: the whole evaluation report of the messages, with the confusion counts and the closing section."""
+    return benchmark_report(metrics.message_matrix(inputs.scored_rows(spark, sf)), MESSAGE_BENCHMARK, ["level"])
+
+
+@register(
+    "url_report",
+    [*_SUITE_CTES, ("m", _SUITE_SELECT),
+     ("l", "SELECT " + _benchmark_lines_sql(URL_BENCHMARK, [
+         "'| **' || title || '** | ' || samples || ' | **' || printf('%.2f', accuracy) || '%** | ' || printf('%.2f', precision) || '% | ' "
+         "|| printf('%.2f', recall) || '% | **' || printf('%.2f', f1) || '%** | ' || printf('%.4f', roc_auc) || ' | ' || printf('%.2f', ece) "
+         "|| '% | ' || status || ' |'", _COUNT_CELLS.format(name="title")], "title") + " AS lines")],
+    "SELECT CAST(i - 1 AS BIGINT) AS line_no, lines[i] AS line FROM (SELECT lines, unnest(generate_series(1, len(lines))) AS i FROM l)",
+)
+def url_report(spark: SparkSession, sf: str) -> DataFrame:
+    """K6: the whole evaluation report of the URL suites."""
+    return benchmark_report(metrics.url_suite_matrix(inputs.scored_rows(spark, sf)), URL_BENCHMARK, ["title"])
+
+
+_IMAGE = "printf('%08d', s_suppkey) || CASE s_suppkey % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.PNG' WHEN 2 THEN '.jpg' ELSE '.png' END"
+
+
+@register(
+    "image_listing",
+    [("files", f"SELECT {_IMAGE} AS image_filename, CAST(s_suppkey % 2 AS BIGINT) AS label FROM supplier WHERE s_suppkey % 5 <> 0")],
+    "SELECT 'QR_' || printf('%06d', row_number() OVER (ORDER BY label, image_filename)) AS qr_id, image_filename, "
+    "CASE label WHEN 1 THEN 'malicious' ELSE 'benign' END AS source_folder, label FROM files",
+)
+def image_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """One file for each supplier written into two folders; the images among them, sorted and numbered."""
+    root = shared_dir(spark, "images")
+    key = F.col("s_suppkey")
+    ending = F.when(key % 5 == 0, ".txt").when(key % 5 == 1, ".PNG").when(key % 5 == 2, ".jpg").otherwise(".png")
+    folder = F.when(key % 2 == 1, "malicious").otherwise("benign")
+    names = inputs.table(spark, sf, "supplier").select(F.concat(folder, F.lit("/"), F.lpad(key.cast("string"), 8, "0"), ending).alias("name"))
+    writers.write_files(names.select("name", F.encode("name", "UTF-8").alias("content")), root)
+    found = readers.image_manifest(spark, {"benign": (f"{root}/benign", 0), "malicious": (f"{root}/malicious", 1)})
+    return found.select("qr_id", "image_filename", "source_folder", "label")
+
+
 @register(
     "base64_payload",
     [],
@@ -350,36 +415,32 @@ def url_job(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- models --------------------------------------------------------------------------------------
 
-_BUNDLES: dict[tuple[str, str], tuple] = {}
-
-
 def _url_split_table(spark: SparkSession, sf: str) -> DataFrame:
     return stored(url_jobs.url_splits(_stored_corpus(spark, sf)), "splits")
 
 
-def _url_bundle(spark: SparkSession, sf: str) -> tuple:
-    """(bundle, validation metrics), fitted once for each data set of an application."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _BUNDLES:
+def _url_bundle(spark: SparkSession, sf: str) -> str:
+    """The folder of the bundle of a data set: fitted by the first query of an application that needs it, then read."""
+    path = f"{os.path.dirname(shared_dir(spark, 'x'))}/url-bundle-{hashlib.md5(sf.encode()).hexdigest()}"
+    if not writers.has_bundle(path):
         splits = _url_split_table(spark, sf)
         train, validation = (splits.filter(F.col("split") == s) for s in ("train", "validation"))
-        bundle, report = training.train_and_calibrate(train, validation)
-        _BUNDLES[key] = bundle, spark.createDataFrame(report.collect(), report.schema)
-    return _BUNDLES[key]
+        model, report = training.train_and_calibrate(train, validation)
+        writers.save_bundle(model, path, report)
+    return path
 
 
 @register("url_model_metrics")
 def url_model_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Boosted trees with isotonic calibration; validation metrics."""
-    return _url_bundle(spark, sf)[1]
+    """Boosted trees with isotonic calibration; the validation metrics stored with the bundle."""
+    return writers.load_bundle_metrics(_url_bundle(spark, sf))
 
 
 @register("url_evaluation")
 def url_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    """The model bundle saved, loaded and evaluated on the four suites."""
-    path = shared_dir(spark, "url-bundle")
-    writers.save_bundle(_url_bundle(spark, sf)[0], path)
-    return evaluation.evaluate_urls(writers.load_bundle(path), url_jobs.test_suites(_url_split_table(spark, sf)))
+    """The model bundle loaded and evaluated on the four suites."""
+    model = writers.load_bundle(_url_bundle(spark, sf))
+    return evaluation.evaluate_urls(model, url_jobs.test_suites(_url_split_table(spark, sf)))
 
 
 def _message_split_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -436,19 +497,39 @@ def _calibration_error_sql(column: str) -> str:
 )
 def calibration(spark: SparkSession, sf: str) -> DataFrame:
     """Isotonic calibration of scored rows, with error before and after."""
+    return _calibrated(spark, sf)[1]
+
+
+def _calibrated(spark: SparkSession, sf: str) -> tuple:
+    """(calibrator, errors before and after) of the scored rows."""
     rows = inputs.scored_rows(spark, sf)
     rows = rows.withColumn("probability", array_to_vector(F.array(1.0 - F.col("prob"), F.col("prob"))))
-    fitted = training.fit_calibrator(rows).transform(rows)
+    model = training.fit_calibrator(rows)
+    fitted = model.transform(rows)
     fitted = fitted.withColumn("calibrated", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated"))))
     raw = metrics.calibration_error(fitted, "split").select("split", F.col("ece").alias("raw_ece"))
     cal = metrics.calibration_error(fitted, "split", prob="calibrated")
-    return raw.join(cal.select("split", F.col("ece").alias("calibrated_ece"), F.col("brier").alias("brier_score")), "split")
+    cal = cal.select("split", F.col("ece").alias("calibrated_ece"), F.col("brier").alias("brier_score"))
+    return model, raw.join(cal, "split")
+
+
+@register("bundle_metrics")
+def bundle_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """K7: two versions of a calibrator bundle; the metrics of the current one are those it was saved with."""
+    path = shared_dir(spark, "calibrator")
+    model, report = _calibrated(spark, sf)
+    writers.save_bundle(PipelineModel(stages=[model]), path, report.limit(1))
+    writers.save_bundle(PipelineModel(stages=[model]), path, report)
+    return writers.load_bundle_metrics(path)
+
+
+ORACLES["bundle_metrics"] = ORACLES["calibration"]
 
 
 @register("score_urls_model")
 def score_urls_model(spark: SparkSession, sf: str) -> DataFrame:
     """R14 with a fitted, calibrated bundle instead of the heuristic."""
-    bundle = _url_bundle(spark, sf)[0]
+    bundle = writers.load_bundle(_url_bundle(spark, sf))
     return _flat_indicators(scoring.score_urls(inputs.url_variants(spark, sf), model=bundle).drop("raw_url", "label"))
 
 

@@ -93,3 +93,26 @@ def test_isotonic_of_three_million_rows(spark):
 def test_isotonic_without_rows(spark):
     with pytest.raises(ValueError):
         isotonic.fit_isotonic(spark.createDataFrame([], "p double, label double"), F.col("p"), F.col("label"))
+
+
+def test_bundle_versions(spark, tmp_path):
+    """The pointer is written last: a version that was not completed is not seen, the newest complete one is read."""
+    from pyspark.ml import PipelineModel
+
+    from msgshield.sources import writers
+
+    path = str(tmp_path / "bundle")
+    assert not writers.has_bundle(path)
+    rows = spark.createDataFrame([(i / 10, float(i > 4)) for i in range(10)], "p double, label double")
+    model = PipelineModel(stages=[isotonic.fit_isotonic(rows, F.col("p"), F.col("label"))])
+    writers.save_bundle(model, path)
+    assert writers.has_bundle(path)
+    with pytest.raises(ValueError):
+        writers.load_bundle_metrics(path)
+    report = spark.createDataFrame([(1, 0.25, "x"), (2, None, None)], "z int, a double, m string")
+    writers.save_bundle(model, path, report)
+    model.write().save(f"{path}/99999999999999999999-unfinished/model")
+    assert writers.load_bundle_metrics(path).columns == ["z", "a", "m"]
+    assert sorted(map(str, writers.load_bundle_metrics(path).collect())) == sorted(map(str, report.collect()))
+    probs = rows.withColumn("probability", array_to_vector(F.array(1.0 - F.col("p"), F.col("p"))))
+    assert writers.load_bundle(path).transform(probs).collect() == model.transform(probs).collect()

@@ -185,7 +185,10 @@ def test_url_model_bundle(spark, tmp_path):
     assert set(matrix) == {"test_random", "test_unseen_domain", "test_qr_unseen", "test_temporal"}
     assert matrix["test_random"].samples == test.count()
     lines = [r.value for r in spark.read.text(f"{out}/url_benchmark_md").collect()]
-    assert len(lines) == 6 and lines[2].startswith("| **Test 1 (Standard Stratified Random)** | ")
+    assert len(lines) == 25 and lines[6].startswith("| **Test 1 (Standard Stratified Random)** | ")
+    assert lines[11] == "## 2. Confusion Matrix & False Negative Breakdown"
+    counts = matrix["test_random"]
+    assert lines[15] == f"| Test 1 (Standard Stratified Random) | {counts.TP} | {counts.FP} | {counts.TN} | {counts.FN} |"
     scored = scoring.score_urls(test.select("raw_url"), model=bundle).collect()
     assert len(scored) == test.count() and all(0 <= r.risk_score <= 100 for r in scored)
 
