@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.fixed import CLEAN_COLUMNS
+from ..functions.fixed import CLEAN_COLUMNS, URL_FEATURES
 from ..functions.qr import strip_series_artifact
-from ..functions.urls import looks_like_url
-from ..operators import metrics, terms
+from ..functions.urls import looks_like_url, with_canonical_url, with_url_features
+from ..operators import boosting, metrics, terms
 from ..operators.quality import decode_statistics
 from ..operators.reports import DECODE_REPORT, MESSAGE_BENCHMARK, URL_BENCHMARK, benchmark_report, markdown_rows
 from ..operators.reports import report_lines, with_files
@@ -27,7 +27,7 @@ from ..sources import readers, writers
 from ..streaming.ingest import ingest_decodes, read_ingested, resume_decodes
 from ..streaming.scoring import stream_score, write_scores
 from . import inputs, sql
-from .catalog import _CORPUS, _DECODE_CTE, _ECE, _MATRIX_CTES, _MATRIX_SELECT, _MSG_PROB, _QR, _RATE_COLUMNS, _SCORED_QR
+from .catalog import _CANON, _CORPUS, _DECODE_CTE, _ECE, _MATRIX_CTES, _MATRIX_SELECT, _MSG_PROB, _QR, _RATE_COLUMNS, _SCORED_QR
 from .catalog import _SCORED_URLS, _SCORE_QR_SELECT, _SUITE_CTES, _SUITE_SELECT
 from .catalog import _flat_indicators, _score_messages_select, _score_urls_select, _scored_messages, _stored_corpus
 from .catalog import ORACLES, ROUTED_SQL, _row_digest, _stored_text, register, routed_digests, row_digest_sql
@@ -526,6 +526,43 @@ def bundle_metrics(spark: SparkSession, sf: str) -> DataFrame:
 ORACLES["bundle_metrics"] = ORACLES["calibration"]
 
 
+_BINNED = boosting.BINS
+_FEATURE_LIST = ", ".join(f"'{n}': round({n}, 6)::DOUBLE" for n in URL_FEATURES)
+# The first tree's root: margins are 0 as the classes weigh the same, so every hessian is a quarter of the weight.
+_GAIN_CTES = [
+    *_CANON, "url_parts", "url_features",
+    ("weights", "SELECT label, sum(count(*)) OVER () / (2.0::DOUBLE * count(*)) AS w FROM url_features GROUP BY label"),
+    ("cells", "SELECT label, w, unnest(map_entries(MAP {" + _FEATURE_LIST + "})) AS e FROM url_features JOIN weights USING (label)"),
+    ("points", "SELECT e.key AS feature, e.value AS x, w * (0.5::DOUBLE - label) AS g, w * 0.25::DOUBLE AS h FROM cells"),
+    ("placed", "SELECT *, row_number() OVER (PARTITION BY feature ORDER BY x) AS i, count(*) OVER (PARTITION BY feature) AS n FROM points"),
+    ("cuts", f"SELECT DISTINCT feature, x AS cut FROM placed, generate_series(1, {_BINNED - 1}) t(k) WHERE i = ceil(k * n / {_BINNED}.0::DOUBLE)"),
+    ("sides", "SELECT c.feature, cut, count(*) FILTER (x <= cut) AS n_left, count(*) AS n, sum(g) FILTER (x <= cut) AS gl, sum(h) FILTER (x <= cut) AS hl, "
+     "sum(g) AS g, sum(h) AS h FROM cuts c JOIN points p ON p.feature = c.feature GROUP BY ALL"),
+]
+
+
+@register(
+    "url_split_gains",
+    _GAIN_CTES,
+    f"SELECT feature, cut, n_left, round((gl * gl / (hl + {boosting.L2}::DOUBLE) + (g - gl) * (g - gl) / (h - hl + {boosting.L2}::DOUBLE) "
+    f"- g * g / (h + {boosting.L2}::DOUBLE)) / 2, 6) AS gain FROM sides WHERE n_left >= 20 AND n - n_left >= 20",
+)
+def url_split_gains(spark: SparkSession, sf: str) -> DataFrame:
+    """The gain of every split at the root of the first boosted tree, classes balanced, with L2."""
+    rows = with_url_features(with_canonical_url(inputs.url_variants(spark, sf)))
+    rows = stored(rows.select("label", *[F.round(F.col(n).cast("double"), 6).alias(n) for n in URL_FEATURES]), "features")
+    rows = terms.with_class_weight(rows)
+    cuts = boosting.cutoffs(rows, URL_FEATURES)
+    table = boosting.binned(rows, URL_FEATURES, cuts, "label", F.col("weight")).withColumn("margin", F.lit(0.0))
+    sums = boosting.histogram(table, len(cuts), [], boosting.Tree([-1], [0.0], [0], [0.0]), 0)
+    found = boosting.split_gains(sums, 20)
+    # At most 42 times 31 cut-offs.
+    names = [(f, b, URL_FEATURES[f], c) for f, own in enumerate(cuts) for b, c in enumerate(own)]
+    named = F.broadcast(spark.createDataFrame(names, "f int, b int, name string, cut double"))
+    found = found.join(named, (F.col("feature") == F.col("f")) & (F.col("bin") == F.col("b")))
+    return found.select(F.col("name").alias("feature"), "cut", "n_left", F.round("gain", 6).alias("gain"))
+
+
 @register("score_urls_model")
 def score_urls_model(spark: SparkSession, sf: str) -> DataFrame:
     """R14 with a fitted, calibrated bundle instead of the heuristic."""

@@ -116,3 +116,72 @@ def test_bundle_versions(spark, tmp_path):
     assert sorted(map(str, writers.load_bundle_metrics(path).collect())) == sorted(map(str, report.collect()))
     probs = rows.withColumn("probability", array_to_vector(F.array(1.0 - F.col("p"), F.col("p"))))
     assert writers.load_bundle(path).transform(probs).collect() == model.transform(probs).collect()
+
+
+def plain_boost(x, y, w, cuts, iterations, depth, leaf, step, l2):
+    """Trees as nested tuples, found by looking at every split of every node."""
+    base = np.log((w * y).sum() / (w * (1 - y)).sum())
+    margin = np.full(len(y), base)
+    for _ in range(iterations):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = w * (p - y), w * p * (1 - p)
+        change = np.zeros(len(y))
+
+        def grow(rows, level):
+            change[rows] = -step * g[rows].sum() / (h[rows].sum() + l2)
+            best = (1e-9, 0, 0.0)
+            if level < depth:
+                score = lambda r: g[r].sum() ** 2 / (h[r].sum() + l2)
+                for f in range(x.shape[1]):
+                    for c in cuts[f]:
+                        left, right = rows[x[rows, f] <= c], rows[x[rows, f] > c]
+                        if min(len(left), len(right)) >= leaf:
+                            gain = round((score(left) + score(right) - score(rows)) / 2, 9)
+                            if gain > best[0]:
+                                best = (gain, f, c)
+                if best[0] > 1e-9:
+                    grow(rows[x[rows, best[1]] <= best[2]], level + 1)
+                    grow(rows[x[rows, best[1]] > best[2]], level + 1)
+
+        grow(np.arange(len(y)), 0)
+        margin = margin + change
+    return 1 / (1 + np.exp(-margin))
+
+
+def test_boosting_equals_plain_trees(spark, tmp_path, monkeypatch):
+    from pyspark.ml import PipelineModel
+
+    from msgshield.operators import boosting
+
+    monkeypatch.setattr(boosting, "WRITE_EVERY", 2)
+    r = np.random.default_rng(6)
+    x = np.stack([r.integers(0, 6, 400), r.random(400), r.integers(0, 2, 400), np.zeros(400)], axis=1)
+    y = ((x[:, 0] > 2) ^ (x[:, 1] > 0.6) ^ (r.random(400) < 0.1)).astype(float)
+    w = np.where(y > 0, 1.5, 0.75)
+    rows = [(*map(float, a), int(b), float(c)) for a, b, c in zip(x, y, w, strict=True)]
+    names = ["a", "b", "c", "d"]
+    df = stored(spark.createDataFrame([*rows, (0.0, 0.0, 0.0, 0.0, None, 1.0)], "a double, b double, c double, d double, label int, w double"), "rows")
+    cuts = boosting.cutoffs(df.filter("label IS NOT NULL"), names, 8)
+    for i in range(4):
+        ranks = sorted(x[:, i])
+        assert cuts[i] == sorted({ranks[int(np.ceil(k * 400 / 8)) - 1] for k in range(1, 8)})
+    model = boosting.boost(df.filter("label IS NOT NULL"), names, weight="w", iterations=5, depth=3, leaf=10, step=0.3, bins=8)
+    want = plain_boost(x, y, w, cuts, 5, 3, 10, 0.3, boosting.L2)
+    vectors = df.filter("label IS NOT NULL").withColumn("features", array_to_vector(F.array(*names)))
+    path = str(tmp_path / "trees")
+    PipelineModel(stages=[model]).write().save(path)
+    for fitted in (model, PipelineModel.load(path)):
+        got = {(q["a"], q["b"], q["c"]): (q["probability"][1], q["prediction"]) for q in fitted.transform(vectors).collect()}
+        for row, p in zip(rows, want, strict=True):
+            assert abs(got[row[:3]][0] - p) < 1e-9 and got[row[:3]][1] == float(p > 0.5)
+    assert ((want > 0.5) == (y > 0)).mean() > 0.8
+
+
+def test_boosting_of_one_class_and_no_rows(spark):
+    from msgshield.operators import boosting
+
+    df = spark.createDataFrame([(1.0, 1), (None, 1)], "a double, label int")
+    for rows, p in ((df, 1.0), (df.withColumn("label", F.lit(0)), 0.0), (df.limit(0), 0.5)):
+        model = boosting.boost(rows, ["a"], iterations=2)
+        probe = spark.createDataFrame([([0.5],)], "f array<double>").select(array_to_vector("f").alias("features"))
+        assert abs(model.transform(probe).first()["probability"][1] - p) < 1e-9

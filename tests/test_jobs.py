@@ -169,10 +169,11 @@ def test_url_splits(spark):
     assert sum(r.label for r in temporal) * 2 == len(temporal)
 
 
-def test_url_model_bundle(spark, tmp_path):
+@pytest.mark.parametrize("booster", ["gbt", "newton"])
+def test_url_model_bundle(spark, tmp_path, booster):
     splits = stored(urls.url_splits(stored(urls.url_corpus(url_rows(spark)), "corpus")), "splits")
     train, validation = (splits.filter(F.col("split") == s) for s in ("train", "validation"))
-    bundle, report = training.train_and_calibrate(train, validation, iterations=3, depth=3, leaf=5)
+    bundle, report = training.train_and_calibrate(train, validation, iterations=3, depth=3, leaf=5, booster=booster)
     row = report.first()
     assert row.accuracy > 90 and row.roc_auc > 0.9 and 0 <= row.calibrated_ece <= row.raw_ece + 1e-9
     path = str(tmp_path / "bundle")
