@@ -49,6 +49,21 @@ def messages_json(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(F.md5("text").alias("digest"), "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register(
+    "messages_array",
+    CLEAN_CHAIN[:1],
+    "SELECT md5(text) AS digest, CAST(label AS BIGINT) AS label, CAST(count(*) AS BIGINT) AS n FROM raw_messages GROUP BY ALL",
+)
+def messages_array(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages as files of one JSON array each, 4,096 messages at most, read by byte ranges."""
+    path = shared_dir(spark, "messages-array")
+    rows = inputs.raw_messages(spark, sf).select(F.shiftright("ordinal", 12).alias("file"), F.to_json(F.struct("text", "label")).alias("row"))
+    arrays = rows.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ",\n"), F.lit("]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    read = readers.read_messages_json(spark, path)
+    return read.groupBy(F.md5("text").alias("digest"), "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register(
     "csv_table",
     ["decodes", "extracted", "qr_urls", "qr_raw"],

@@ -11,6 +11,7 @@ from ..functions.fixed import IMAGE_EXTENSIONS
 from ..operators.filters import filter_computed
 from ..operators.ordering import formatted_id, sequential_id
 from ..operators.splits import first_per_class
+from .records import csv_table, json_array
 
 MESSAGES = T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.IntegerType())])
 BENCHMARK = T.StructType(
@@ -37,7 +38,7 @@ def qr_schema(columns: list[str]) -> T.StructType:
     )
 
 
-def _numbered(df: DataFrame, columns: list[str]) -> DataFrame:
+def _numbered(df: DataFrame, columns: list[str], output: str = "ordinal") -> DataFrame:
     """Columns of reader output with ``ordinal``: 0, 1, 2, ... by file path and position in the file.
 
     Spark packs blocks of files into tasks by size, so row numbers of tasks say nothing about the input order. A block's
@@ -52,17 +53,17 @@ def _numbered(df: DataFrame, columns: list[str]) -> DataFrame:
     shift = F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")
     blocks = blocks.select("__file", "__block", shift.alias("__shift"))
     rows = rows.join(F.broadcast(blocks), ["__file", "__block"])
-    return rows.select(*names, (F.col("__row") + F.col("__shift")).cast("long").alias("ordinal"))
+    return rows.select(*names, (F.col("__row") + F.col("__shift")).cast("long").alias(output))
 
 
 def read_messages_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Messages ``{text, label}`` with an ordinal in input order. A file is one JSON array, or one object per line.
 
-    An array has to be parsed as a whole, so one file is one task: spread a large corpus over many files, or use
-    ``lines=True``, which splits files.
+    Files of either form are split over tasks.
     """
-    reader = spark.read.schema(MESSAGES)
-    df = reader.json(path) if lines else reader.option("multiLine", True).json(path)
+    if not lines:
+        return json_array(spark, path, MESSAGES.simpleString()).select("text", "label", "ordinal")
+    df = spark.read.schema(MESSAGES).json(path)
     return _numbered(df, df.columns)
 
 
@@ -82,6 +83,15 @@ def _raw_csv(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
     return df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in marked})
 
 
+def _csv_rows(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
+    """A CSV as text columns with ``__ordinal``. Fields may hold line breaks if ``multiline``; files are split either way."""
+    raw = _raw_csv(spark, path, multiline)
+    if not multiline:
+        return _numbered(raw, raw.columns, "__ordinal")
+    folders = [c for c in spark.read.text(path).columns if c != "value"]
+    return csv_table(spark, path, [c for c in raw.columns if c not in folders])
+
+
 def _columns(df: DataFrame, schema: T.StructType) -> list[Column]:
     """The columns of a schema, found by name and cast; missing text is the empty string, as in the files."""
     missing = [f.name for f in schema.fields if f.name not in df.columns]
@@ -99,10 +109,10 @@ def _columns(df: DataFrame, schema: T.StructType) -> list[Column]:
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True) -> DataFrame:
     """CSV with a header, doubled quotes and a possible byte order mark; quoted fields may span lines.
 
-    Columns are found by name, in any order; a column that is not there is an error. Multi-line fields keep a file in
-    one task; ``multiline=False`` lets Spark split files that have none. Missing text is the empty string.
+    Columns are found by name, in any order; a column that is not there is an error. ``multiline=False`` reads files
+    without such fields in one pass. Missing text is the empty string.
     """
-    df = _raw_csv(spark, path, multiline)
+    df = _csv_rows(spark, path, True) if multiline else _raw_csv(spark, path, False)
     return df.select(*_columns(df, schema))
 
 
@@ -117,14 +127,14 @@ def resolve_column(columns: list[str], name: str, fallback: int) -> str:
 def read_url_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Columns URL and label of a wider CSV, else the first and the second last one; trimmed; label 0 or 1 only.
 
-    ``multiline=False`` lets Spark split files whose fields hold no line breaks.
+    ``multiline=False`` reads files whose fields hold no line breaks in fewer steps.
     """
-    raw = _raw_csv(spark, path, multiline)
-    url, label = resolve_column(raw.columns, "URL", 0), resolve_column(raw.columns, "label", -2)
+    raw = _csv_rows(spark, path, multiline)
+    named = [c for c in raw.columns if c != "__ordinal"]
+    url, label = resolve_column(named, "URL", 0), resolve_column(named, "label", -2)
     pick = lambda c: strip(F.coalesce(F.col("`" + c + "`"), F.lit("")))
-    rows = _numbered(raw, [url, label])
     # Bytes that are no UTF-8 arrive as replacement characters; they are dropped.
-    rows = rows.select(F.replace(pick(url), F.lit("\ufffd"), F.lit("")).alias("raw_url"), pick(label).alias("label"), "ordinal")
+    rows = raw.select(F.replace(pick(url), F.lit("\ufffd"), F.lit("")).alias("raw_url"), pick(label).alias("label"), F.col("__ordinal").alias("ordinal"))
     rows = rows.filter(F.col("label").isin("0", "1")).withColumn("label", F.col("label").cast("int"))
     return rows.withColumn("source", F.lit("existing_url")).select("raw_url", "label", "source", "ordinal")
 
@@ -146,10 +156,9 @@ def qr_payloads(df: DataFrame, label: int, source: str = "qr_decoded") -> DataFr
 
 def read_qr_payloads(spark: SparkSession, path: str, label: int, source: str = "qr_decoded", multiline: bool = True) -> DataFrame:
     """URL rows of a QR table in CSV, all with one label."""
-    raw = _raw_csv(spark, path, multiline)
-    schema = qr_schema(["decoded_content", "normalized_url"])
-    fields = _columns(raw, schema)
-    return qr_payloads(_numbered(raw, schema.fieldNames()).select(*fields, "ordinal"), label, source)
+    raw = _csv_rows(spark, path, multiline)
+    fields = _columns(raw, qr_schema(["decoded_content", "normalized_url"]))
+    return qr_payloads(raw.select(*fields, F.col("__ordinal").alias("ordinal")), label, source)
 
 
 def capped_scan(df: DataFrame, n_per_class: int) -> DataFrame:
