@@ -6,7 +6,7 @@ holds a large share of the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import EXTERNAL_LABELS
@@ -24,6 +24,30 @@ def exclude_known(external: DataFrame, master: DataFrame, text: str) -> DataFram
     return rows.join(known, "__digest", "left_anti").drop("__digest")
 
 
+def store_digests(master: DataFrame, text: str, table: str, path: str, buckets: int = 64) -> None:
+    """The digests of the master's texts as a table in buckets, for joins with one batch after another.
+
+    ``path`` is a folder of its own; another application opens it with ``open_digests``.
+    """
+    known = master.select(by_digest(F.col(text)).alias("digest")).distinct()
+    known.write.bucketBy(buckets, "digest").sortBy("digest").option("path", path).mode("overwrite").saveAsTable(table)
+
+
+def open_digests(spark: SparkSession, table: str, path: str, buckets: int = 64) -> None:
+    """Name a table that ``store_digests`` wrote in another application."""
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} (digest STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) "
+        f"INTO {int(buckets)} BUCKETS LOCATION '{path}'"
+    )
+
+
+def exclude_stored(external: DataFrame, table: str, text: str) -> DataFrame:
+    """Rows whose text is not among those of ``store_digests``. Only the batch is dealt out; the table lies in its buckets."""
+    rows = external.withColumn("__digest", by_digest(F.col(text)))
+    known = external.sparkSession.table(table).withColumnRenamed("digest", "__known")
+    return rows.join(known, F.col("__digest") == F.col("__known"), "left_anti").drop("__digest")
+
+
 def members(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs in ``table``."""
     return rows.join(table.select(key).distinct(), key, "left_semi")

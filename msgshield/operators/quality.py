@@ -87,12 +87,8 @@ FLAGS = {
 }
 
 
-def decode_statistics(raw: DataFrame) -> DataFrame:
-    """Totals, rates, distinct URLs and domains, flag counts of a QR decode table; one row.
-
-    Rows shrink in three steps, to one per URL, per domain and in all. Every count is a sum along that chain, so the
-    two distinct counts fall out of it and no row is expanded per distinct count.
-    """
+def _counted(raw: DataFrame) -> DataFrame:
+    """One row for each domain and URL, and one for all other rows: the additive counts of a QR decode table."""
     ok = F.col("decode_status") == "success"
     url = ok & (F.col("content_type") == "url")
     additive = {
@@ -107,15 +103,33 @@ def decode_statistics(raw: DataFrame) -> DataFrame:
         "decoded_non_urls": ok & (F.col("content_type") != "url"),
         **{name: url & (F.col(flag) == 1) for flag, name in FLAGS.items()},
     }
-    per_url = raw.groupBy(
-        F.when(url, F.col("domain")).alias("__domain"), F.when(url, F.col("normalized_url")).alias("__url")
-    ).agg(*[F.count_if(condition).alias(name) for name, condition in additive.items()])
+    domain, address = F.when(url, F.col("domain")), F.when(url, F.col("normalized_url"))
+    return raw.groupBy(domain.alias("__domain"), address.alias("__url")).agg(*[F.count_if(c).alias(n) for n, c in additive.items()])
+
+
+ADDITIVE = [
+    "total_images", "malicious_images", "benign_images", "successful_decodes", "failed_decodes", "successful_malicious",
+    "successful_benign", "decoded_urls", "decoded_non_urls", *FLAGS.values(),
+]
+
+
+def decode_statistics(raw: DataFrame) -> DataFrame:
+    """Totals, rates, distinct URLs and domains, flag counts of a QR decode table; one row.
+
+    Rows shrink in three steps, to one per URL, per domain and in all. Every count is a sum along that chain, so the
+    two distinct counts fall out of it and no row is expanded per distinct count.
+    """
+    return statistics_of(_counted(raw))
+
+
+def statistics_of(per_url: DataFrame) -> DataFrame:
+    """The statistics from one row for each domain and URL."""
     per_domain = per_url.groupBy("__domain").agg(
-        *[F.sum(name).alias(name) for name in additive],
+        *[F.sum(name).alias(name) for name in ADDITIVE],
         F.count("__url").alias("unique_urls"),
         F.count_if(F.col("decoded_urls") > 1).alias("duplicate_urls"),
     )
-    summed = [*additive, "unique_urls", "duplicate_urls"]
+    summed = [*ADDITIVE, "unique_urls", "duplicate_urls"]
     out = per_domain.agg(
         *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in summed],
         F.count_if(F.col("__domain") != "").alias("unique_domains"),
@@ -131,3 +145,33 @@ def decode_statistics(raw: DataFrame) -> DataFrame:
             "benign_decode_rate": rate("successful_benign", "benign_images"),
         }
     )
+
+
+def decode_partials(raw: DataFrame, ordinal: str, samples: int = 5) -> DataFrame:
+    """What the reports need of one batch: counts per domain and URL, and the first files of each URL.
+
+    Partials of any batches merge to those of all their rows (``merge_partials``). Reads a stored table twice.
+    """
+    urls = raw.filter((F.col("decode_status") == "success") & (F.col("content_type") == "url"))
+    place = F.struct(F.col(ordinal).alias("place"), "image_filename")
+    rank = F.row_number().over(Window.partitionBy("normalized_url").orderBy(ordinal))
+    first = urls.select("normalized_url", ordinal, place.alias("file")).withColumn("__rank", rank).filter(F.col("__rank") <= samples)
+    first = first.groupBy("normalized_url").agg(F.array_sort(F.collect_list("file")).alias("first"))
+    return _counted(raw).join(first, F.col("__url") == F.col("normalized_url"), "left").drop("normalized_url")
+
+
+def merge_partials(partials: DataFrame, samples: int = 5) -> DataFrame:
+    """The partials of many batches as those of one. A URL gathers at most ``samples`` files of each batch."""
+    first = F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, samples)
+    return partials.groupBy("__domain", "__url").agg(*[F.sum(name).alias(name) for name in ADDITIVE], first.alias("first"))
+
+
+def duplicates_of(merged: DataFrame) -> DataFrame:
+    """The duplicate report from merged partials; a URL has one domain."""
+    rows = merged.filter(F.col("__url").isNotNull() & (F.col("decoded_urls") > 1))
+    conflict = ((F.col("benign_images") > 0) & (F.col("malicious_images") > 0)).cast("int")
+    return rows.select(
+        F.col("__url").alias("normalized_url"), F.col("decoded_urls").alias("occurrence_count"), F.col("benign_images").alias("benign_count"),
+        F.col("malicious_images").alias("malicious_count"), conflict.alias("is_cross_label_conflict"),
+        F.array_join(F.col("first.image_filename"), ";").alias("sample_image_filenames"),
+    )

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import QR_RAW_COLUMNS
 from ..functions.qr import with_extracted_features
-from ..operators.quality import decode_statistics, duplicate_report
+from ..operators.quality import decode_statistics, duplicate_report, duplicates_of, merge_partials, statistics_of
 from ..operators.reports import DECODE_REPORT, report_lines, with_files
+from ..session import stored
 from ..sources.writers import successful_urls, write_csv, write_decodes, write_report
 
 
@@ -46,14 +47,27 @@ def rederive_status(urls: DataFrame) -> DataFrame:
     )
 
 
+def with_ordinal(raw: DataFrame) -> DataFrame:
+    """Ids are numbered in input order, so they also give the order in which files were seen."""
+    return raw.withColumn("ordinal", F.regexp_extract("qr_id", r"(\d+)$", 1).cast("long"))
+
+
+def write_reports(duplicates: DataFrame, statistics: DataFrame, out: str) -> None:
+    """The duplicate report, most frequent first, and the text report."""
+    write_csv(duplicates.orderBy(F.desc("occurrence_count"), "normalized_url"), f"{out}/duplicates")
+    layout = with_files(DECODE_REPORT, [f"{out}/{name}" for name in ("raw", "urls", "failed", "duplicates", "report")])
+    write_report(report_lines(statistics, layout), f"{out}/report")
+
+
 def rebuild_reports(raw: DataFrame, out: str) -> None:
     """Write the duplicate report and the text report of a stored decode table."""
-    # Ids are numbered in input order, so they also give the order in which files were seen.
-    urls = successful_urls(raw).withColumn("ordinal", F.regexp_extract("qr_id", r"(\d+)$", 1).cast("long"))
-    report = duplicate_report(urls).orderBy(F.desc("occurrence_count"), "normalized_url")
-    write_csv(report, f"{out}/duplicates")
-    layout = with_files(DECODE_REPORT, [f"{out}/{name}" for name in ("raw", "urls", "failed", "duplicates", "report")])
-    write_report(report_lines(decode_statistics(raw), layout), f"{out}/report")
+    write_reports(duplicate_report(with_ordinal(successful_urls(raw))), decode_statistics(raw), out)
+
+
+def merge_reports(partials: DataFrame, out: str) -> None:
+    """Write both reports from the stored partials of all batches."""
+    merged = stored(merge_partials(partials), "merged-partials")
+    write_reports(duplicates_of(merged), statistics_of(merged), out)
 
 
 def qr_payload_tables(spark: SparkSession, decodes: DataFrame, out: str) -> None:

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.chars import strip
 from ..functions.fixed import CLEAN_COLUMNS, URL_FEATURES
 from ..functions.qr import strip_series_artifact
 from ..functions.urls import looks_like_url, with_canonical_url, with_url_features
-from ..operators import boosting, metrics, terms
+from ..operators import boosting, joins, metrics, terms
 from ..operators.quality import decode_statistics
 from ..operators.reports import DECODE_REPORT, MESSAGE_BENCHMARK, URL_BENCHMARK, benchmark_report, markdown_rows
 from ..operators.reports import report_lines, with_files
@@ -345,6 +346,37 @@ def resume_reports(spark: SparkSession, sf: str) -> DataFrame:
     return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register(
+    "capped_files",
+    ["sources"],
+    "SELECT raw_url, CAST(label AS BIGINT) AS label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY ordinal) AS place "
+    "FROM sources WHERE source = 'existing_url') WHERE place <= 50",
+)
+def capped_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 50 rows of each label from a table in many files, read until the labels are full; the cap is the operator."""
+    path = shared_dir(spark, "capped-files")
+    rows = inputs.url_sources(spark, sf).filter("source = 'existing_url'")
+    rows = rows.select(F.lit("").alias("note"), "label", F.col("raw_url").alias("URL"), "ordinal").repartitionByRange(16, "ordinal")
+    writers.write_csv(rows.sortWithinPartitions("ordinal"), path)
+    found, _ = readers.read_capped(spark, path, lambda s, files: readers.read_url_csv(s, files, multiline=False), 50, group_bytes=4096)
+    return found.select("raw_url", "label")
+
+
+@register("holdout_stored")
+def holdout_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Two external batches, one after the other, against the stored digests of the master's texts."""
+    path = shared_dir(spark, "digests")
+    name = "digests_" + os.path.basename(path).rsplit("-", 1)[1]
+    master = inputs.master_messages(spark, sf).select(strip(F.col("cleaned_text")).alias("cleaned_text"))
+    joins.store_digests(master, "cleaned_text", name, path)
+    rows = stored(message_jobs.external_holdout(inputs.external_messages(spark, sf)), "external-rows")
+    first, second = (joins.exclude_stored(rows.filter(F.col("ordinal") % 2 == k), name, "cleaned_text") for k in (0, 1))
+    return first.unionByName(second).select("ordinal", "label", "label_name", "channel", F.md5("cleaned_text").alias("text_digest"))
+
+
+ORACLES["holdout_stored"] = ORACLES["holdout_anti_join"]
+
+
 @register(
     "append_resume",
     ["decodes"],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,7 @@ from ..functions.fixed import IMAGE_EXTENSIONS
 from ..operators.filters import filter_computed
 from ..operators.ordering import formatted_id, sequential_id
 from ..operators.splits import first_per_class
+from ..session import stored
 from .records import csv_table, json_array
 
 MESSAGES = T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.IntegerType())])
@@ -166,6 +169,41 @@ def capped_scan(df: DataFrame, n_per_class: int) -> DataFrame:
     return first_per_class(df, ["source", "label"], n_per_class)
 
 
+def read_capped(
+    spark: SparkSession, path: str, read: Callable[[SparkSession, list[str]], DataFrame], n_per_class: int,
+    classes: Sequence[int] = (0, 1), group_bytes: int = 1 << 30,
+) -> tuple[DataFrame, list[str]]:
+    """(rows, files read): the first ``n_per_class`` rows of each label in file order, without reading all files.
+
+    ``read`` gives the rows of a list of files, with label and ordinal. Files are read in groups of about
+    ``group_bytes``, each twice as large as the one before, until every label has its rows; a group is read once and
+    its rows stored. Ordinals ascend over the groups. The driver holds the list of files, as it does for any scan.
+    """
+    listing = spark.read.format("binaryFile").load(path).select("path", "length").orderBy("path").collect()
+    left = dict.fromkeys(classes, n_per_class)
+    taken, used, first, at = None, [], 0, 0
+    while at < len(listing) and any(left.values()):
+        group, size = [], 0
+        while at < len(listing) and (not group or size + listing[at]["length"] <= group_bytes):
+            group.append(listing[at]["path"])
+            size += listing[at]["length"]
+            at += 1
+        group_bytes *= 2
+        used += group
+        rows = stored(read(spark, group), "capped")
+        total = rows.agg(F.max("ordinal")).first()[0]
+        for label, n in left.items():
+            if n:
+                part = first_per_class(rows.filter(F.col("label") == label), ["label"], n)
+                part = stored(part.withColumn("ordinal", F.col("ordinal") + first), "capped-rows")
+                left[label] = n - part.count()
+                taken = part if taken is None else taken.unionByName(part)
+        first += 0 if total is None else total + 1
+    if taken is None:
+        raise ValueError(f"no files in {path}, or no class")
+    return taken, used
+
+
 def _images(spark: SparkSession, folder: str, label: int, name: str) -> DataFrame:
     # Only the path is selected, so file contents are never read.
     files = spark.read.format("binaryFile").load(folder).select("path")

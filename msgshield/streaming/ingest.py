@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.fixed import QR_FAILED_COLUMNS, QR_RAW_COLUMNS, QR_URL_COLUMNS
-from ..plans.qr import qr_raw_table, rebuild_reports
+from ..operators.quality import decode_partials
+from ..plans.qr import merge_reports, qr_raw_table, with_ordinal
 from ..sources.writers import write_decodes
 
 TABLES = {"raw": QR_RAW_COLUMNS, "urls": QR_URL_COLUMNS, "failed": QR_FAILED_COLUMNS}
@@ -20,7 +21,10 @@ def ingest_decodes(decodes: DataFrame, out: str, checkpoint: str) -> StreamingQu
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        write_decodes(qr_raw_table(batch), out, f"/batch={batch_id}")
+        folder = f"/batch={batch_id}"
+        write_decodes(qr_raw_table(batch), out, folder)
+        raw = batch.sparkSession.read.parquet(f"{out}/raw{folder}")
+        decode_partials(with_ordinal(raw), "ordinal").write.mode("overwrite").parquet(f"{out}/partials{folder}")
 
     return (
         decodes.writeStream.foreachBatch(write_batch)
@@ -35,6 +39,9 @@ def read_ingested(spark: SparkSession, out: str, table: str = "raw") -> DataFram
 
 
 def resume_decodes(decodes: DataFrame, out: str, checkpoint: str) -> None:
-    """Ingest what is pending, then rebuild the duplicate report, the statistics and the text report of all batches."""
+    """Ingest what is pending, then write the duplicate report, the statistics and the text report of all batches.
+
+    The reports come from the batches' partials, one row for each URL of a batch; rows of earlier batches are not read again.
+    """
     ingest_decodes(decodes, out, checkpoint).awaitTermination()
-    rebuild_reports(read_ingested(decodes.sparkSession, out), out)
+    merge_reports(decodes.sparkSession.read.parquet(f"{out}/partials"), out)
