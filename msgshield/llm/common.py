@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,6 +67,40 @@ class Shared:
         return cloudpickle.loads(self.data.value)
 
 
+class StoredBytes:
+    """One value of bounded size that a job made, for the tasks of later jobs, which read it from the shared folder.
+
+    It does not pass the driver unless pyarrow has no access to the file system of that folder.
+    """
+
+    def __init__(self, value: DataFrame, name: str) -> None:
+        """``value``: at most one row with one binary column."""
+        self.path = shared_dir(value.sparkSession, name)
+        value.toDF("value").write.parquet(self.path)
+        self.shared = None
+        try:
+            self._files()
+        except (OSError, pa.ArrowException):
+            rows = value.sparkSession.read.schema("value binary").parquet(self.path).collect()
+            self.shared = Shared(value.sparkSession, [bytes(r["value"]) for r in rows])
+
+    def _files(self) -> tuple[fs.FileSystem, list[str]]:
+        system, path = fs.FileSystem.from_uri(self.path)
+        return system, [f.path for f in system.get_file_info(fs.FileSelector(path)) if f.base_name.endswith(".parquet")]
+
+    def empty(self) -> bool:
+        if self.shared is not None:
+            return not self.shared.load()
+        system, files = self._files()
+        return not any(pq.read_metadata(f, filesystem=system).num_rows for f in files)
+
+    def load(self) -> bytes:
+        if self.shared is not None:
+            return self.shared.load()[0]
+        system, files = self._files()
+        return next(rows[0] for f in files if (rows := pq.read_table(f, filesystem=system).column("value").to_pylist()))
+
+
 def text_key(value: Column) -> Column:
     """A value as a string that keeps null apart from every text, for joins and hashes."""
     return F.coalesce(F.concat(F.lit("+"), value.cast("string")), F.lit("-"))

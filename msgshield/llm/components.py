@@ -22,7 +22,8 @@ def _least(arcs: DataFrame) -> DataFrame:
 def _large(edges: DataFrame) -> DataFrame:
     arcs = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     moved = arcs.join(_least(arcs), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.filter("u <> v").distinct()
+    # Edges that repeat go at the end of the round.
+    return moved.filter("u <> v")
 
 
 def _small(edges: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def _edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """``prints`` (print: distinct, node) -> edges (u, v) of nodes that connect the same as all pairs within three bits do."""
+    """``prints`` (print: distinct, node) -> edges (u, v), some repeated, of nodes that connect the same as all pairs within three bits do."""
     fields = [F.shiftright("print", at).bitwiseAND(F.lit((1 << n) - 1)) for at, n in FIELDS]
     keys = [
         F.struct(F.lit(5 * i + j).cast("long").alias("kind"), (fields[i] * F.lit(1 << 13) + fields[j]).cast("long").alias("bits"))
@@ -151,7 +151,7 @@ def links(prints: DataFrame) -> DataFrame:
     ]
     dealt = prints.select("print", "node", F.explode(F.array(*keys)).alias("key")).select("print", "node", "key.kind", "key.bits")
     units = by_unit(block_pairs(dealt, KEYS, "print", BLOCK_ROWS), KEYS)
-    return units.mapInArrow(_edge_batches, "u long, v long").distinct()
+    return units.mapInArrow(_edge_batches, "u long, v long")
 
 
 def _with_component(prints: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Shared
+from .common import StoredBytes
 from .words import Words, hashes, rows_of, slices, split
 
 # Labelled rows that a model is fitted on, at most so many of each class; chosen by a hash of doc_id.
@@ -265,8 +265,8 @@ def unpacked(data: bytes) -> Model:
     return Model(**(fields | {"shared": [Order(**order) for order in fields["shared"]]}))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> bytes | None:
-    """The packed model of the labelled documents whose fold is not 0: at most ``rows`` of each class, the first by hash.
+def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> StoredBytes | None:
+    """The packed model, as a stored table, of the labelled documents whose fold is not 0: at most ``rows`` of each class, the first by hash.
 
     A document labelled twice is toxic if a label says so; labels other than 0 and 1, or without a document, do not
     count. None without documents of both classes.
@@ -294,10 +294,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> bytes
             if model is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(asdict(model))], pa.binary())], ["model"])
 
-    found = sample.mapInArrow(fit_batches, "model binary").collect()
-    if not found:
-        return None
-    return bytes(found[0]["model"])
+    model = StoredBytes(sample.mapInArrow(fit_batches, "model binary"), "toxicity-model")
+    return None if model.empty() else model
 
 
 def scored(docs: DataFrame, labels: DataFrame, *carry: Column) -> DataFrame:
@@ -309,13 +307,12 @@ def scored(docs: DataFrame, labels: DataFrame, *carry: Column) -> DataFrame:
     rows = docs.select(*carry, F.col("text").alias("__text"))
     if model is None:
         return rows.drop("__text").withColumn("__score", F.lit(0.0))
-    shared = Shared(docs.sparkSession, model)
     schema = StructType([*rows.schema.fields[:-1], StructField("__score", DoubleType())])
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = unpacked(shared.load())
+        tables = unpacked(model.load())
         for batch in batches:
-            parts = [scores(model, piece) for _, piece in slices(batch.column(batch.num_columns - 1), SLICE_BYTES)]
+            parts = [scores(tables, piece) for _, piece in slices(batch.column(batch.num_columns - 1), SLICE_BYTES)]
             values = np.concatenate([np.zeros(0), *parts])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values)], names=schema.names)
 
