@@ -1,9 +1,10 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products inside the cells, one row kept a group.
 
 Equal vectors of one label are one representative with a count. A label's vectors are dealt to the nearest of its
-centroids. A vector can have a partner in another cell only if it lies close to the plane between the two centroids;
-such vectors visit the lower-numbered cell, so no pair is lost at a border and none is compared twice. Cells of any
-size are cut into blocks, and pairs of blocks are the units of work.
+centroids, about the root of their number; cells that are still large are dealt again. A vector can have a partner in
+another cell only if it lies close to the plane between the two centroids; such vectors visit the lower-numbered cell,
+so no pair is lost at a border and none is compared twice. Cells of any size are cut into blocks, and pairs of blocks
+are the units of work. Centroids are fitted in tasks and joined to the vectors; nothing passes the driver.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +22,12 @@ from .pairs import Forest, block_pairs, by_unit, complete_units, unit_columns
 
 THRESHOLD = 0.93
 BLOCK_ROWS = 1024
-# The index is fitted on at most this many vectors; every vector is assigned.
-SAMPLE_ROWS = 40_000
-# A label has a cell for so many of its rows, and a centroid for at least so many rows of the sample.
-CELL_ROWS, CENTROID_ROWS = 8192, 64
+# A centroid is fitted on so many vectors of a sample, at most so many centroids at once; every vector is assigned.
+CENTROID_ROWS, MOST_CENTROIDS = 64, 2048
+# Cells with more rows are dealt to centroids of their own, as often as there are levels.
+CELL_ROWS, LEVELS = 8192, 3
+# Rows that meet the centroids in one group.
+DEAL_ROWS = 4096
 KEYS = ["label", "cell"]
 
 
@@ -80,88 +82,98 @@ def representatives(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("vec_id", *equal), classes
 
 
-def fit_cells(classes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """(label, width) -> centroids, from a sample of at most ``SAMPLE_ROWS`` vectors chosen by hash."""
-    sizes = classes.groupBy("label", F.size("embedding").alias("width")).agg(F.count(F.lit(1)).alias("rows"))
-    large = {(r["label"], r["width"]): r["rows"] for r in sizes.filter(F.col("rows") > CELL_ROWS).limit(SAMPLE_ROWS).collect()}
-    if not large:
-        return {}
-    total = sum(large.values())
-    share = min(1.0, 0.9 * SAMPLE_ROWS / total)
-    chosen = classes.filter(F.pmod(F.xxhash64(F.lit("sample"), "node"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = chosen.select("label", "embedding").limit(SAMPLE_ROWS).toArrow()
-    groups: dict[tuple[int, int], list] = {}
-    for label, vector in zip(sample["label"].to_pylist(), sample["embedding"].to_pylist(), strict=True):
-        groups.setdefault((label, len(vector)), []).append(vector)
-    out = {}
-    for key, rows in large.items():
-        have = groups.get(key, [])
-        k = min(-(-rows // CELL_ROWS), len(have) // CENTROID_ROWS)
-        if k > 1:
-            out[key] = spherical_kmeans(unit_rows(pa.array(have)), k)
-    return out
-
-
-def cells(classes: DataFrame, centroids: dict[tuple[int, int], np.ndarray], threshold: float) -> DataFrame:
-    """``classes`` dealt to cells: once with ``home`` true, and as a visitor to each lower cell that may hold a partner.
+def _fit(key: tuple, rows: pa.Table) -> pa.Table:
+    """The centroids of one cell from its sample, end to end."""
+    k = max(1, rows.num_rows // CENTROID_ROWS)
+    # The start is spread over the order of the rows, so that order is fixed.
+    rows = rows.sort_by("node")
+    flat = spherical_kmeans(unit_rows(rows.column("embedding").combine_chunks()), k).ravel()
+    label, cell = (pa.array([x.as_py()], pa.int64()) for x in key)
+    return pa.table([label, cell, pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["label", "cell", "centroids"])
 
-    If x has its cell at centroid c and y, within the threshold of x, at centroid h, then y's distance to the plane
-    between c and h is at most the distance of x and y, the root of 2 - 2 * threshold.
+
+def fit_cells(rows: DataFrame, least: int, level: int) -> DataFrame:
+    """(label, cell, n, centroids) of the cells with ``least`` rows or more, two centroids at least each.
+
+    A cell of n rows gets the root of n centroids, one for every ``CENTROID_ROWS`` rows of a sample chosen by hash; the
+    sample of a cell is one group and has at most ``CENTROID_ROWS * MOST_CENTROIDS`` rows but for chance.
     """
+    sizes = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(least, 2 * CENTROID_ROWS))
+    k = F.least(F.ceil(F.sqrt("n")), F.floor(F.col("n") / F.lit(CENTROID_ROWS)), F.lit(MOST_CENTROIDS))
+    sizes = stored(sizes.withColumn("share", F.least(F.lit(1.0), k * F.lit(CENTROID_ROWS * 1.1) / F.col("n"))), "sizes")
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), F.lit(level), "node"), F.lit(1 << 30)) < F.col("share") * F.lit(float(1 << 30))
+    sample = rows.join(sizes, KEYS).filter(drawn).select(*KEYS, "node", "embedding")
+    fitted = sample.groupBy(*KEYS).applyInArrow(_fit, "label long, cell long, centroids array<double>")
+    return stored(fitted.join(sizes.select(*KEYS, "n"), KEYS), "centroids")
+
+
+DEALT = "label long, cell long, node long, n long, embedding array<double>, home int"
+
+
+def _dealer(threshold: float, level: int):
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-9
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            labels = batch.column("label").to_numpy(zero_copy_only=False)
-            widths = np.array(pc.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False))
-            row, cell = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            home = [np.zeros(0, bool)]
-            kinds = set(zip(labels.tolist(), widths.tolist(), strict=True))
-            for label, width in kinds:
-                rows = np.flatnonzero((labels == label) & (widths == width))
-                c = centroids.get((label, width))
-                if c is None:
-                    own = np.zeros(len(rows), np.int64)
-                else:
-                    near = unit_rows(batch.column("embedding").take(pa.array(rows))) @ c.T
-                    own = near.argmax(axis=1)
-                    gap = np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2)
-                    visits = near.max(axis=1)[:, None] - near <= reach * gap[own]
-                    visits &= np.arange(len(c))[None, :] < own[:, None]
-                    a, b = np.nonzero(visits)
-                    row.append(rows[a])
-                    cell.append(b)
-                    home.append(np.zeros(len(a), bool))
-                row.append(rows)
-                cell.append(own)
-                home.append(np.ones(len(rows), bool))
-            picked = batch.take(pa.array(np.concatenate(row)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    picked.column("label"), pa.array(np.concatenate(cell) * 65536 + pc.list_value_length(
-                        picked.column("embedding")).to_numpy(zero_copy_only=False).astype(np.int64)),
-                    picked.column("node"), picked.column("n"), picked.column("embedding"), pa.array(np.concatenate(home)),
-                ],
-                ["label", "cell", "node", "n", "embedding", "home"],
-            )
-
-    plain = classes.select("label", "node", "n", "embedding")
-    return plain.mapInArrow(deal, "label long, cell long, node long, n long, embedding array<double>, home boolean")
-
-
-def compare(dealt: DataFrame, threshold: float) -> DataFrame:
+    def deal(rows: pa.Table, given: pa.Table) -> pa.Table:
+        names = ["label", "cell", "node", "n", "embedding", "home"]
+        if not rows.num_rows:
+            return rows.select(names)
+        vectors = unit_rows(rows.column("embedding").combine_chunks())
+        c = given.column("centroids").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, vectors.shape[1])
+        near = vectors @ c.T
+        own = near.argmax(axis=1)
+        gap = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)) + 1e-7
+        visits = near.max(axis=1)[:, None] - near <= reach * gap[own]
+        visits &= np.arange(len(c))[None, :] < own[:, None]
+        a, b = np.nonzero(visits)
+        row, cell = np.concatenate([np.arange(len(own)), a]), np.concatenate([own, b])
+        picked = rows.take(pa.array(row))
+        # The bit of this level marks the own cell.
+        bit = np.where(np.arange(len(row)) < len(own), 1 << level, 0)
+        home = picked.column("home").to_numpy() | bit
+        below = picked.column("cell").to_numpy() * MOST_CENTROIDS + cell
+        columns = [picked.column("label"), pa.array(below), picked.column("node"), picked.column("n"), picked.column("embedding"), pa.array(home.astype(np.int32))]
+        return pa.table(columns, names=names)
+
+    return deal
+
+
+def cells(classes: DataFrame, threshold: float) -> tuple[DataFrame, int]:
+    """(rows, levels): ``classes`` dealt to cells, at home in one of each level and as visitors where a partner may be.
+
+    If x has its cell at centroid c and y, within the threshold of x, at centroid h, then y's distance to the plane
+    between c and h is at most the distance of x and y, the root of 2 - 2 * threshold. So the two meet in one cell, where x
+    is at home. Two rows are a pair of a cell if at each level one of them is at home: ``home`` has a bit a level.
+    """
+    rows = classes.select("label", F.size("embedding").cast("long").alias("cell"), "node", "n", "embedding", F.lit(0).alias("home"))
+    for level in range(LEVELS):
+        fitted = fit_cells(rows, CELL_ROWS + 1 if level else 0, level)
+        if fitted.isEmpty():
+            return rows, level
+        group = F.pmod(F.xxhash64(F.lit("deal"), "node"), F.ceil(F.col("size") / F.lit(DEAL_ROWS))).alias("part")
+        sizes = fitted.select(*KEYS, F.col("n").alias("size"))
+        parts = rows.join(sizes, KEYS).select(*rows.columns, group)
+        given = fitted.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.lit(DEAL_ROWS)).cast("long") - 1)))
+        by = [*KEYS, "part"]
+        dealt = parts.groupBy(*by).cogroup(given.select(*by, "centroids").groupBy(*by)).applyInArrow(_dealer(threshold, level), DEALT)
+        rest = rows.join(sizes, KEYS, "left_anti")
+        rest = rest.withColumns({"cell": F.col("cell") * MOST_CENTROIDS, "home": F.col("home").bitwiseOR(F.lit(1 << level))})
+        rows = stored(dealt.unionByName(rest.select(*dealt.columns)), "dealt")
+    return rows, LEVELS
+
+
+def compare(dealt: DataFrame, levels: int, threshold: float) -> DataFrame:
     """(u, v, n): with v null, n rows are linked to class u; else an edge to the centre of a tree of links of a unit."""
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, limits in complete_units(batches, unit_columns(KEYS)):
             for begin, end in zip(limits[:-1], limits[1:], strict=True):
-                yield _unit(rows.slice(int(begin), int(end - begin)), threshold)
+                yield _unit(rows.slice(int(begin), int(end - begin)), (1 << levels) - 1, threshold)
 
     units = by_unit(block_pairs(dealt, KEYS, "node", BLOCK_ROWS), KEYS)
     return units.mapInArrow(batches_of, "u long, v long, n long")
 
 
-def _unit(rows: pa.Table, threshold: float) -> pa.RecordBatch:
+def _unit(rows: pa.Table, everywhere: int, threshold: float) -> pa.RecordBatch:
     node, count, home, own, i, j = (
         rows.column(c).to_numpy() for c in ("node", "n", "home", "__own", "__i", "__j")
     )
@@ -171,16 +183,22 @@ def _unit(rows: pa.Table, threshold: float) -> pa.RecordBatch:
     right = left if same else np.flatnonzero(own == j[0])
     linked = np.zeros(len(node), np.int64)
     forest = Forest(len(node))
-    for at in range(0, len(left), 256):
-        some = left[at : at + 256]
-        a, b = np.nonzero(vectors[some] @ vectors[right].T >= threshold)
-        a, b = some[a], right[b]
-        # Two visitors are compared in a cell of their own.
-        keep = home[a] | home[b]
-        keep &= (a < b) if same else (a != b)
-        a, b = a[keep], b[keep]
+
+    def link(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal linked
         linked += np.bincount(a, count[b], len(node)).astype(np.int64) + np.bincount(b, count[a], len(node)).astype(np.int64)
         forest.link(a, b)
+
+    # Two visitors of a level are compared in a cell of their own: only pairs that are at home everywhere are multiplied.
+    for bits in np.unique(home[left]):
+        some_left = left[home[left] == bits]
+        some_right = right[(home[right] | bits) == everywhere]
+        for at in range(0, len(some_left), 256):
+            some = some_left[at : at + 256]
+            a, b = np.nonzero(vectors[some] @ vectors[some_right].T >= threshold)
+            a, b = some[a], some_right[b]
+            keep = (a < b) if same else (a != b)
+            link(a[keep], b[keep])
     touched = np.flatnonzero(linked)
     u, v = forest.stars(node)
     return pa.RecordBatch.from_arrays(
@@ -202,7 +220,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     marks it. Rows that share a vec_id share a component. Other columns are ignored, an empty table gives no row.
     """
     rows, classes = representatives(vectors)
-    found = stored(compare(cells(classes, fit_cells(classes), threshold), threshold), "links")
+    found = stored(compare(*cells(classes, threshold), threshold), "links")
     counts = found.filter("v IS NULL").groupBy("u").agg(F.sum("n").alias("others"))
     named = components(found.filter("v IS NOT NULL").select("u", "v"))
     equal = ["label", "h1", "h2"]

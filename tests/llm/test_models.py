@@ -380,10 +380,11 @@ def plain_vectors(rows):
     return {ids[i]: (counts[i], ids[group[i]]) for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("cell, block", [(8192, 1024), (40, 16)])
-def test_vectors_equal_brute_force(spark, monkeypatch, cell, block):
+@pytest.mark.parametrize("cell, block, centroid", [(8192, 1024, 64), (8192, 1024, 8), (20, 16, 8), (5, 3, 4)])
+def test_vectors_equal_brute_force(spark, monkeypatch, cell, block, centroid):
     monkeypatch.setattr(embed, "CELL_ROWS", cell)
-    monkeypatch.setattr(embed, "CENTROID_ROWS", 8)
+    monkeypatch.setattr(embed, "CENTROID_ROWS", centroid)
+    monkeypatch.setattr(embed, "DEAL_ROWS", 4 * block)
     monkeypatch.setattr(embed, "BLOCK_ROWS", block)
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(12, 8))
@@ -392,6 +393,34 @@ def test_vectors_equal_brute_force(spark, monkeypatch, cell, block):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed.near_vectors(table).collect()}
     assert got == plain_vectors(rows)
+    if centroid < 64:
+        dealt, levels = embed.cells(embed.representatives(table)[1], embed.THRESHOLD)
+        assert levels >= (2 if cell < 100 else 1)
+        assert dealt.select("label", "cell").distinct().count() > 12
+
+
+def test_cells_decide_on_the_given_vectors(spark, sf):
+    """Every label of the larger table has cells, and fewer pairs are compared than there are."""
+    classes = embed.representatives(spark.read.parquet(f"{sf.replace('0.001', '0.1')}/embeddings.parquet"))[1]
+    dealt, levels = embed.cells(classes, embed.THRESHOLD)
+    assert levels == 1
+    cells = dealt.groupBy("label", "cell").agg(F.sum("home").alias("home"), F.count("*").alias("n")).collect()
+    per_label = collections.Counter(r["label"] for r in cells)
+    assert min(per_label.values()) >= 2
+    everything = sum(r["count"] * (r["count"] - 1) // 2 for r in classes.groupBy("label").count().collect())
+    inside = sum(r["home"] * (r["home"] - 1) // 2 + r["home"] * (r["n"] - r["home"]) for r in cells)
+    print("pairs compared", inside, "of", everything)
+    assert inside <= everything
+
+
+def test_cells_prune_clustered_vectors(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 32))
+    rows = [(i, (centres[i % 20] + 0.05 * rng.normal(size=32)).tolist(), 1) for i in range(3000)]
+    classes = embed.representatives(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))[1]
+    dealt, _ = embed.cells(classes, embed.THRESHOLD)
+    cells = dealt.groupBy("cell").agg(F.sum("home").alias("home"), F.count("*").alias("n")).collect()
+    assert sum(r["home"] * (r["home"] - 1) // 2 + r["home"] * (r["n"] - r["home"]) for r in cells) < 0.2 * 3000 * 2999 / 2
 
 
 def test_vectors_of_odd_rows(spark):
