@@ -356,7 +356,7 @@ def capped_files(spark: SparkSession, sf: str) -> DataFrame:
     """The first 50 rows of each label from a table in many files, read until the labels are full; the cap is the operator."""
     path = shared_dir(spark, "capped-files")
     rows = inputs.url_sources(spark, sf).filter("source = 'existing_url'")
-    rows = rows.select(F.lit("").alias("note"), "label", F.col("raw_url").alias("URL"), "ordinal").repartitionByRange(16, "ordinal")
+    rows = rows.select(F.lit("").alias("note"), "label", F.col("raw_url").alias("URL"), "ordinal").repartitionByRange(4, "ordinal")
     writers.write_csv(rows.sortWithinPartitions("ordinal"), path)
     found, _ = readers.read_capped(spark, path, lambda s, files: readers.read_url_csv(s, files, multiline=False), 50, group_bytes=4096)
     return found.select("raw_url", "label")
