@@ -6,6 +6,7 @@ import hashlib
 import os
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -610,6 +611,39 @@ def url_split_gains(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("name").alias("feature"), "cut", "n_left", F.round("gain", 6).alias("gain"))
 
 
+# A bundle that SQL can state: one tree of one split on the classes' balanced rows; its leaves are Newton steps.
+_STUMP_STEP = 0.5
+_LEAF = "{s} * ({g}) / ({h} + " + f"{boosting.L2}::DOUBLE)"
+_STUMP = [
+    *_GAIN_CTES,
+    ("gains", "SELECT *, round((gl * gl / (hl + {l2}) + (g - gl) * (g - gl) / (h - hl + {l2}) - g * g / (h + {l2})) / 2, 9) AS gain FROM sides "
+     "WHERE n_left >= 20 AND n - n_left >= 20".replace("{l2}", f"{boosting.L2}::DOUBLE")),
+    ("places", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {i})" for i, n in enumerate(URL_FEATURES)) + ") AS t(feature, place)"),
+    ("best", "SELECT * FROM gains JOIN places USING (feature) ORDER BY gain DESC, place, cut LIMIT 1"),
+    ("stump", "SELECT feature, cut, " + _LEAF.format(s=-_STUMP_STEP, g="gl", h="hl") + " AS below, "
+     + _LEAF.format(s=-_STUMP_STEP, g="g - gl", h="h - hl") + " AS above FROM best"),
+    ("p", "SELECT f.*, 1 / (1 + exp(-(CASE WHEN (MAP {" + _FEATURE_LIST + "})[stump.feature] <= cut THEN below ELSE above END))) AS p "
+     "FROM url_features f, stump"),
+    *_SCORED_URLS[-2:],
+]
+
+
+@register("score_urls_stump", _STUMP, f"SELECT ordinal, {_score_urls_select('direct_url')} FROM t")
+def score_urls_stump(spark: SparkSession, sf: str) -> DataFrame:
+    """A boosted model fitted, saved and loaded as a bundle scores every URL, with all 14 columns."""
+    rows = inputs.url_variants(spark, sf)
+    features = with_url_features(with_canonical_url(rows))
+    names = [F.round(F.col(n).cast("double"), 6).alias(n) for n in URL_FEATURES]
+    features = terms.with_class_weight(stored(features.select("label", *names), "stump-features"))
+    trees = boosting.boost(features, URL_FEATURES, weight="weight", iterations=1, depth=1, step=_STUMP_STEP)
+    rounded = "SELECT *, " + ", ".join(f"round({n}, 6) AS r_{n}" for n in URL_FEATURES) + " FROM __THIS__"
+    assembler = VectorAssembler(inputCols=[f"r_{n}" for n in URL_FEATURES], outputCol="features")
+    path = shared_dir(spark, "stump")
+    writers.save_bundle(PipelineModel(stages=[SQLTransformer(statement=rounded), assembler, trees]), path)
+    scored = scoring.score_urls(rows, model=writers.load_bundle(path))
+    return _flat_indicators(scored.drop("raw_url", "label"))
+
+
 @register("score_urls_model")
 def score_urls_model(spark: SparkSession, sf: str) -> DataFrame:
     """R14 with a fitted, calibrated bundle instead of the heuristic."""
