@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.chars import strip
-from ..functions.fixed import CLEAN_COLUMNS, URL_FEATURES
+from ..functions.fixed import CLEAN_COLUMNS, MESSAGE_FEATURES, URL_FEATURES
 from ..functions.qr import strip_series_artifact
+from ..functions.signals import with_message_signals
 from ..functions.urls import looks_like_url, with_canonical_url, with_url_features
 from ..operators import boosting, joins, metrics, terms
 from ..operators.quality import decode_statistics
@@ -574,19 +575,23 @@ def bundle_metrics(spark: SparkSession, sf: str) -> DataFrame:
 ORACLES["bundle_metrics"] = ORACLES["calibration"]
 
 
-_BINNED = boosting.BINS
-_FEATURE_LIST = ", ".join(f"'{n}': round({n}, 6)::DOUBLE" for n in URL_FEATURES)
-# The first tree's root: margins are 0 as the classes weigh the same, so every hessian is a quarter of the weight.
-_GAIN_CTES = [
-    *_CANON, "url_parts", "url_features",
-    ("weights", "SELECT label, sum(count(*)) OVER () / (2.0::DOUBLE * count(*)) AS w FROM url_features GROUP BY label"),
-    ("cells", "SELECT label, w, unnest(map_entries(MAP {" + _FEATURE_LIST + "})) AS e FROM url_features JOIN weights USING (label)"),
-    ("points", "SELECT e.key AS feature, e.value AS x, w * (0.5::DOUBLE - label) AS g, w * 0.25::DOUBLE AS h FROM cells"),
-    ("placed", "SELECT *, row_number() OVER (PARTITION BY feature ORDER BY x) AS i, count(*) OVER (PARTITION BY feature) AS n FROM points"),
-    ("cuts", f"SELECT DISTINCT feature, x AS cut FROM placed, generate_series(1, {_BINNED - 1}) t(k) WHERE i = ceil(k * n / {_BINNED}.0::DOUBLE)"),
-    ("sides", "SELECT c.feature, cut, count(*) FILTER (x <= cut) AS n_left, count(*) AS n, sum(g) FILTER (x <= cut) AS gl, sum(h) FILTER (x <= cut) AS hl, "
-     "sum(g) AS g, sum(h) AS h FROM cuts c JOIN points p ON p.feature = c.feature GROUP BY ALL"),
-]
+def _gain_ctes(table: str, names: list[str]) -> list:
+    """The gain of every split at the root of the first tree over ``table`` (features and label). Margins are 0 there, as the
+    classes weigh the same, so every hessian is a quarter of the weight."""
+    values = "MAP {" + ", ".join(f"'{n}': round({n}, 6)::DOUBLE" for n in names) + "}"
+    bins = boosting.BINS
+    return [
+        ("weights", f"SELECT label, sum(count(*)) OVER () / (2.0::DOUBLE * count(*)) AS w FROM {table} GROUP BY label"),
+        ("cells", f"SELECT label, w, unnest(map_entries({values})) AS e FROM {table} JOIN weights USING (label)"),
+        ("points", "SELECT e.key AS feature, e.value AS x, w * (0.5::DOUBLE - label) AS g, w * 0.25::DOUBLE AS h FROM cells"),
+        ("placed", "SELECT *, row_number() OVER (PARTITION BY feature ORDER BY x) AS i, count(*) OVER (PARTITION BY feature) AS n FROM points"),
+        ("cuts", f"SELECT DISTINCT feature, x AS cut FROM placed, generate_series(1, {bins - 1}) t(k) WHERE i = ceil(k * n / {bins}.0::DOUBLE)"),
+        ("sides", "SELECT c.feature, cut, count(*) FILTER (x <= cut) AS n_left, count(*) AS n, sum(g) FILTER (x <= cut) AS gl, sum(h) FILTER (x <= cut) AS hl, "
+         "sum(g) AS g, sum(h) AS h FROM cuts c JOIN points p ON p.feature = c.feature GROUP BY ALL"),
+    ]
+
+
+_GAIN_CTES = [*_CANON, "url_parts", "url_features", *_gain_ctes("url_features", URL_FEATURES)]
 
 
 @register(
@@ -611,37 +616,62 @@ def url_split_gains(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("name").alias("feature"), "cut", "n_left", F.round("gain", 6).alias("gain"))
 
 
-# A bundle that SQL can state: one tree of one split on the classes' balanced rows; its leaves are Newton steps.
+# Bundles that SQL can state: one tree of one split, classes balanced; its leaves are Newton steps.
 _STUMP_STEP = 0.5
 _LEAF = "{s} * ({g}) / ({h} + " + f"{boosting.L2}::DOUBLE)"
-_STUMP = [
-    *_GAIN_CTES,
-    ("gains", "SELECT *, round((gl * gl / (hl + {l2}) + (g - gl) * (g - gl) / (h - hl + {l2}) - g * g / (h + {l2})) / 2, 9) AS gain FROM sides "
-     "WHERE n_left >= 20 AND n - n_left >= 20".replace("{l2}", f"{boosting.L2}::DOUBLE")),
-    ("places", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {i})" for i, n in enumerate(URL_FEATURES)) + ") AS t(feature, place)"),
-    ("best", "SELECT * FROM gains JOIN places USING (feature) ORDER BY gain DESC, place, cut LIMIT 1"),
-    ("stump", "SELECT feature, cut, " + _LEAF.format(s=-_STUMP_STEP, g="gl", h="hl") + " AS below, "
-     + _LEAF.format(s=-_STUMP_STEP, g="g - gl", h="h - hl") + " AS above FROM best"),
-    ("p", "SELECT f.*, 1 / (1 + exp(-(CASE WHEN (MAP {" + _FEATURE_LIST + "})[stump.feature] <= cut THEN below ELSE above END))) AS p "
-     "FROM url_features f, stump"),
-    *_SCORED_URLS[-2:],
-]
+
+
+def _stump_ctes(table: str, names: list[str]) -> list:
+    """``p``: the rows of ``table`` with the probability of the fitted stump; after the gains."""
+    values = "MAP {" + ", ".join(f"'{n}': round({n}, 6)::DOUBLE" for n in names) + "}"
+    l2 = f"{boosting.L2}::DOUBLE"
+    return [
+        ("gains", f"SELECT *, round((gl * gl / (hl + {l2}) + (g - gl) * (g - gl) / (h - hl + {l2}) - g * g / (h + {l2})) / 2, 9) AS gain "
+         "FROM sides WHERE n_left >= 20 AND n - n_left >= 20"),
+        ("places", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {i})" for i, n in enumerate(names)) + ") AS t(feature, place)"),
+        ("best", "SELECT * FROM gains JOIN places USING (feature) ORDER BY gain DESC, place, cut LIMIT 1"),
+        ("stump", "SELECT feature, cut, " + _LEAF.format(s=-_STUMP_STEP, g="gl", h="hl") + " AS below, "
+         + _LEAF.format(s=-_STUMP_STEP, g="g - gl", h="h - hl") + " AS above FROM best"),
+        ("p", f"SELECT f.*, 1 / (1 + exp(-(CASE WHEN ({values})[stump.feature] <= cut THEN below ELSE above END))) AS p FROM {table} f, stump"),
+    ]
+
+
+def _stump_bundle(spark: SparkSession, features: DataFrame, names: list[str]) -> PipelineModel:
+    """A stump fitted on features and label, saved as a bundle and loaded."""
+    rounded = [F.round(F.col(n).cast("double"), 6).alias(n) for n in names]
+    rows = terms.with_class_weight(stored(features.select("label", *rounded), "stump-features"))
+    trees = boosting.boost(rows, names, weight="weight", iterations=1, depth=1, step=_STUMP_STEP)
+    statement = "SELECT *, " + ", ".join(f"round({n}, 6) AS r_{n}" for n in names) + " FROM __THIS__"
+    assembler = VectorAssembler(inputCols=[f"r_{n}" for n in names], outputCol="features")
+    path = shared_dir(spark, "stump")
+    writers.save_bundle(PipelineModel(stages=[SQLTransformer(statement=statement), assembler, trees]), path)
+    return writers.load_bundle(path)
+
+
+_STUMP = [*_GAIN_CTES, *_stump_ctes("url_features", URL_FEATURES), *_SCORED_URLS[-2:]]
 
 
 @register("score_urls_stump", _STUMP, f"SELECT ordinal, {_score_urls_select('direct_url')} FROM t")
 def score_urls_stump(spark: SparkSession, sf: str) -> DataFrame:
     """A boosted model fitted, saved and loaded as a bundle scores every URL, with all 14 columns."""
     rows = inputs.url_variants(spark, sf)
-    features = with_url_features(with_canonical_url(rows))
-    names = [F.round(F.col(n).cast("double"), 6).alias(n) for n in URL_FEATURES]
-    features = terms.with_class_weight(stored(features.select("label", *names), "stump-features"))
-    trees = boosting.boost(features, URL_FEATURES, weight="weight", iterations=1, depth=1, step=_STUMP_STEP)
-    rounded = "SELECT *, " + ", ".join(f"round({n}, 6) AS r_{n}" for n in URL_FEATURES) + " FROM __THIS__"
-    assembler = VectorAssembler(inputCols=[f"r_{n}" for n in URL_FEATURES], outputCol="features")
-    path = shared_dir(spark, "stump")
-    writers.save_bundle(PipelineModel(stages=[SQLTransformer(statement=rounded), assembler, trees]), path)
-    scored = scoring.score_urls(rows, model=writers.load_bundle(path))
-    return _flat_indicators(scored.drop("raw_url", "label"))
+    model = _stump_bundle(spark, with_url_features(with_canonical_url(rows)), URL_FEATURES)
+    return _flat_indicators(scoring.score_urls(rows, model=model).drop("raw_url", "label"))
+
+
+_MESSAGE_STUMP = [
+    *CLEAN_CHAIN, "links", "signals",
+    ("labelled", "SELECT s.*, c.channel, c.label FROM signals s JOIN clean c USING (ordinal)"),
+    *_gain_ctes("labelled", MESSAGE_FEATURES), *_stump_ctes("labelled", MESSAGE_FEATURES), *_SCORED_URLS[-2:],
+]
+
+
+@register("score_messages_stump", _MESSAGE_STUMP, f"SELECT {_score_messages_select()} FROM t")
+def score_messages_stump(spark: SparkSession, sf: str) -> DataFrame:
+    """A boosted model of the 21 signals fitted, saved and loaded as a bundle scores every message."""
+    rows = _stored_text(spark, sf)
+    model = _stump_bundle(spark, with_message_signals(rows, "cleaned_text"), MESSAGE_FEATURES)
+    return scoring.score_messages(rows.select("ordinal", "channel", "cleaned_text"), "cleaned_text", model=model).drop("cleaned_text")
 
 
 @register("score_urls_model")
