@@ -598,7 +598,7 @@ _GAIN_CTES = [*_CANON, "url_parts", "url_features", *_gain_ctes("url_features",
     "url_split_gains",
     _GAIN_CTES,
     f"SELECT feature, cut, n_left, round((gl * gl / (hl + {boosting.L2}::DOUBLE) + (g - gl) * (g - gl) / (h - hl + {boosting.L2}::DOUBLE) "
-    f"- g * g / (h + {boosting.L2}::DOUBLE)) / 2, 6) AS gain FROM sides WHERE n_left >= 20 AND n - n_left >= 20",
+    f"- g * g / (h + {boosting.L2}::DOUBLE)) / 2, 6) + 0.0::DOUBLE AS gain FROM sides WHERE n_left >= 20 AND n - n_left >= 20",
 )
 def url_split_gains(spark: SparkSession, sf: str) -> DataFrame:
     """The gain of every split at the root of the first boosted tree, classes balanced, with L2."""
@@ -613,7 +613,8 @@ def url_split_gains(spark: SparkSession, sf: str) -> DataFrame:
     names = [(f, b, URL_FEATURES[f], c) for f, own in enumerate(cuts) for b, c in enumerate(own)]
     named = F.broadcast(spark.createDataFrame(names, "f int, b int, name string, cut double"))
     found = found.join(named, (F.col("feature") == F.col("f")) & (F.col("bin") == F.col("b")))
-    return found.select(F.col("name").alias("feature"), "cut", "n_left", F.round("gain", 6).alias("gain"))
+    # Adding 0 makes a negative zero a plain one.
+    return found.select(F.col("name").alias("feature"), "cut", "n_left", (F.round("gain", 6) + 0.0).alias("gain"))
 
 
 # Bundles that SQL can state: one tree of one split, classes balanced; its leaves are Newton steps.
