@@ -1,7 +1,7 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products inside the cells, one row kept a group.
 
 Equal vectors of one label are one representative with a count. A label's vectors are dealt to the nearest of its
-centroids, about the root of their number; cells that are still large are dealt again. A vector can have a partner in
+centroids, at most the root of their number; cells that are still large are dealt again. A vector can have a partner in
 another cell only if it lies close to the plane between the two centroids; such vectors visit the lower-numbered cell,
 so no pair is lost at a border and none is compared twice. Cells of any size are cut into blocks, and pairs of blocks
 are the units of work. Centroids are fitted in tasks and joined to the vectors; nothing passes the driver.
@@ -24,6 +24,8 @@ THRESHOLD = 0.93
 BLOCK_ROWS = 1024
 # A centroid is fitted on so many vectors of a sample, at most so many centroids at once; every vector is assigned.
 CENTROID_ROWS, MOST_CENTROIDS = 64, 2048
+# Cells that a vector visits beside its own on average, at most, as found on so many vectors of the sample.
+VISITS, PROBE_ROWS = 2.0, 4096
 # Cells with more rows are dealt to centroids of their own, as often as there are levels.
 CELL_ROWS, LEVELS = 8192, 3
 # Rows that meet the centroids in one group.
@@ -82,20 +84,45 @@ def representatives(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("vec_id", *equal), classes
 
 
-def _fit(key: tuple, rows: pa.Table) -> pa.Table:
-    """The centroids of one cell from its sample, end to end."""
-    k = max(1, rows.num_rows // CENTROID_ROWS)
-    # The start is spread over the order of the rows, so that order is fixed.
-    rows = rows.sort_by("node")
-    flat = spherical_kmeans(unit_rows(rows.column("embedding").combine_chunks()), k).ravel()
-    label, cell = (pa.array([x.as_py()], pa.int64()) for x in key)
-    return pa.table([label, cell, pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["label", "cell", "centroids"])
+def visits(vectors: np.ndarray, centroids: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(own cell of every vector, whether it visits each lower cell)."""
+    near = vectors @ centroids.T
+    own = near.argmax(axis=1)
+    gap = np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 0)) + 1e-7
+    found = near.max(axis=1)[:, None] - near <= reach * gap[own]
+    return own, found & (np.arange(len(centroids))[None, :] < own[:, None])
 
 
-def fit_cells(rows: DataFrame, least: int, level: int) -> DataFrame:
+def _fitter(threshold: float):
+    """The centroids of one cell from its sample, end to end. The more of them, the more cells a vector near borders visits:
+    their number is halved until the sample's vectors visit ``VISITS`` cells or fewer on average, or two are left."""
+
+    def fit(key: tuple, rows: pa.Table) -> pa.Table:
+        # The first centroids are rows of a fixed random order.
+        vectors = unit_rows(rows.sort_by("node").column("embedding").combine_chunks())
+        vectors = vectors[np.random.default_rng(7).permutation(len(vectors))]
+        probe = vectors[:PROBE_ROWS]
+        k = max(1, len(vectors) // CENTROID_ROWS)
+        while True:
+            centroids = spherical_kmeans(vectors, k)
+            if k <= 2 or visits(probe, centroids, _reach(threshold))[1].sum(axis=1).mean() <= VISITS:
+                break
+            k = max(2, k // 2)
+        label, cell = (pa.array([x.as_py()], pa.int64()) for x in key)
+        return pa.table([label, cell, pa.array([centroids.ravel().tolist()], pa.list_(pa.float64()))], names=["label", "cell", "centroids"])
+
+    return fit
+
+
+def _reach(threshold: float) -> float:
+    """The distance of unit vectors at that cosine."""
+    return float(np.sqrt(2 - 2 * threshold)) + 1e-9
+
+
+def fit_cells(rows: DataFrame, least: int, level: int, threshold: float) -> DataFrame:
     """(label, cell, n, centroids) of the cells with ``least`` rows or more, two centroids at least each.
 
-    A cell of n rows gets the root of n centroids, one for every ``CENTROID_ROWS`` rows of a sample chosen by hash; the
+    A cell of n rows gets the root of n centroids or fewer, one for every ``CENTROID_ROWS`` rows of a sample chosen by hash; the
     sample of a cell is one group and has at most ``CENTROID_ROWS * MOST_CENTROIDS`` rows but for chance.
     """
     sizes = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(least, 2 * CENTROID_ROWS))
@@ -103,7 +130,7 @@ def fit_cells(rows: DataFrame, least: int, level: int) -> DataFrame:
     sizes = stored(sizes.withColumn("share", F.least(F.lit(1.0), k * F.lit(CENTROID_ROWS * 1.1) / F.col("n"))), "sizes")
     drawn = F.pmod(F.xxhash64(F.lit("sample"), F.lit(level), "node"), F.lit(1 << 30)) < F.col("share") * F.lit(float(1 << 30))
     sample = rows.join(sizes, KEYS).filter(drawn).select(*KEYS, "node", "embedding")
-    fitted = sample.groupBy(*KEYS).applyInArrow(_fit, "label long, cell long, centroids array<double>")
+    fitted = sample.groupBy(*KEYS).applyInArrow(_fitter(threshold), "label long, cell long, centroids array<double>")
     return stored(fitted.join(sizes.select(*KEYS, "n"), KEYS), "centroids")
 
 
@@ -111,20 +138,14 @@ DEALT = "label long, cell long, node long, n long, embedding array<double>, home
 
 
 def _dealer(threshold: float, level: int):
-    reach = float(np.sqrt(2 - 2 * threshold)) + 1e-9
-
     def deal(rows: pa.Table, given: pa.Table) -> pa.Table:
         names = ["label", "cell", "node", "n", "embedding", "home"]
         if not rows.num_rows:
             return rows.select(names)
         vectors = unit_rows(rows.column("embedding").combine_chunks())
         c = given.column("centroids").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, vectors.shape[1])
-        near = vectors @ c.T
-        own = near.argmax(axis=1)
-        gap = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)) + 1e-7
-        visits = near.max(axis=1)[:, None] - near <= reach * gap[own]
-        visits &= np.arange(len(c))[None, :] < own[:, None]
-        a, b = np.nonzero(visits)
+        own, visited = visits(vectors, c, _reach(threshold))
+        a, b = np.nonzero(visited)
         row, cell = np.concatenate([np.arange(len(own)), a]), np.concatenate([own, b])
         picked = rows.take(pa.array(row))
         # The bit of this level marks the own cell.
@@ -146,7 +167,7 @@ def cells(classes: DataFrame, threshold: float) -> tuple[DataFrame, int]:
     """
     rows = classes.select("label", F.size("embedding").cast("long").alias("cell"), "node", "n", "embedding", F.lit(0).alias("home"))
     for level in range(LEVELS):
-        fitted = fit_cells(rows, CELL_ROWS + 1 if level else 0, level)
+        fitted = fit_cells(rows, CELL_ROWS + 1 if level else 0, level, threshold)
         if fitted.isEmpty():
             return rows, level
         group = F.pmod(F.xxhash64(F.lit("deal"), "node"), F.ceil(F.col("size") / F.lit(DEAL_ROWS))).alias("part")
