@@ -1,6 +1,7 @@
 """Benchmark decontamination: a BM25 index of the test items, queried with every passage of every document.
 
-A passage is a window of words long enough to hold any item; its distinct words are the query. An item's threshold is
+A passage is a window of three lengths of the longest item, one after each length; its distinct words are the query. A copy
+with insertions lies in one passage as a whole if it is at most twice as long as the longest item. An item's threshold is
 the least score that a passage can have that passes the verification, so retrieval loses nothing. Blocks of items are
 skipped when their block maxima cannot reach the least threshold of the block (block-max WAND, done for thousands of
 passages at once); the items of the remaining blocks are scored exactly, and those at or above their threshold are verified by the
@@ -25,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import Shared, word_count
+from .common import Shared, stored, word_count
 from .words import PUNCTUATION, Words, grams, hashes, rows_of, slices, split
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
 OVERLAP = 0.8
 BLOCK_ITEMS = 8
+# Lengths of the longest item in a passage.
+SEGMENTS = 3
 # Words of test items in one index.
 WORDS_PER_PASS = 1_000_000
 SLICE_BYTES = 1 << 21
@@ -135,6 +138,9 @@ def build_index(items: list[tuple[int, str]], whole: bool = False) -> Index | No
     highest = np.zeros(len(terms))
     np.maximum.at(highest, term, weight)
     parts, wholes, threshold = [], [], np.zeros(len(each))
+    # The weights of each item's terms, ascending.
+    by_item = weight[np.lexsort((weight, item))]
+    item_first = np.searchsorted(np.sort(item), np.arange(len(each) + 1))
     for i, (row, item_words) in enumerate(zip(rows, each, strict=True)):
         pieces = _parts(item_words, closes[words.first[row] : words.first[row + 1]])
         parts.append([_part(p) for p in pieces])
@@ -142,7 +148,7 @@ def build_index(items: list[tuple[int, str]], whole: bool = False) -> Index | No
         if whole:
             wholes.append(_part(item_words))
             spare = max(spare, _spare(item_words, wholes[-1]))
-        own = np.sort(weight[item == i])
+        own = by_item[item_first[i] : item_first[i + 1]]
         threshold[i] = own[: max(0, len(own) - spare)].sum() * (1 - 1e-9)
     block_threshold = np.minimum.reduceat(threshold, np.arange(0, len(each), BLOCK_ITEMS))
     # The most frequent terms, as long as they cannot reach any threshold by themselves, need no list of blocks.
@@ -172,12 +178,16 @@ def search(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, flo
     term[term == len(index.terms)] = 0
     known = index.terms[term] == ids
     segment, term, row = segment[known], term[known], row[known]
-    # Passage p: segments p and p + 1 of one text; the last segment is a passage only where it is the sole one.
+    # Passage p: segments p to p + SEGMENTS - 1 of one text; a text with fewer segments is one passage.
     offset = segment - base[row]
-    starts = (offset < segments[row] - 1) | (segments[row] == 1)
-    passage = np.concatenate([segment[starts], segment[offset > 0] - 1])
+    passage, carried = [], []
+    for back in range(SEGMENTS):
+        inside = (offset >= back) & (offset - back <= np.maximum(segments[row] - SEGMENTS, 0))
+        passage.append(segment[inside] - back)
+        carried.append(term[inside])
+    passage, term = np.concatenate(passage), np.concatenate(carried)
     n = len(index.terms)
-    pair = np.unique(passage * n + np.concatenate([term[starts], term[offset > 0]]))
+    pair = np.unique(passage * n + term)
     passage, term = pair // n, pair % n
     essential = index.essential[term]
     rest = np.bincount(passage[~essential], index.highest[term[~essential]], int(segments.sum()))
@@ -199,7 +209,7 @@ def search(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, flo
     best: dict[tuple[int, int], tuple[float, float, float, int]] = {}
     for k, s, r in zip(key.tolist(), score.tolist(), text_of.tolist(), strict=True):
         first = words.first[r] + (k // items - base[r]) * index.longest
-        inside = ids[first : min(first + 2 * index.longest, words.first[r + 1])]
+        inside = ids[first : min(first + SEGMENTS * index.longest, words.first[r + 1])]
         shares = [float(np.isin(p.shingles, grams(inside, p.size)).mean()) for p in index.parts[k % items]]
         accepted = min(shares) >= OVERLAP
         if not accepted and index.wholes is not None:
@@ -211,15 +221,20 @@ def search(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, flo
         yield r, i, *found
 
 
+def distinct_items(benchmark: DataFrame) -> DataFrame:
+    """(item, text): the different texts of the items, each named by its hash. Only these are indexed."""
+    texts = benchmark.filter("text IS NOT NULL").select("text").distinct()
+    return texts.select(F.xxhash64("text").alias("item"), "text")
+
+
 def indexes(benchmark: DataFrame, whole: bool = False) -> Iterator[Index]:
-    """One index for each bounded part of the items; items are dealt to the parts by hash."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
+    """One index for each bounded part of the different items; they are dealt to the parts by hash."""
+    items = distinct_items(benchmark)
     total = items.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
     passes = max(1, -(-total // WORDS_PER_PASS))
-    dealt = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
     for k in range(passes):
-        rows = items.filter(dealt == k).toArrow().to_pylist()
-        index = build_index([(r["item_id"], r["text"]) for r in rows], whole)
+        rows = items.filter(F.pmod("item", F.lit(passes)) == k).toArrow().to_pylist()
+        index = build_index([(r["item"], r["text"]) for r in rows], whole)
         if index is not None:
             yield index
 
@@ -233,7 +248,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, *carry: Column, whole: bool = Fa
     reach 0.8.
     """
     rows = docs.select(*carry, F.col("text").alias("__text"))
-    fields = [StructField("item_id", LongType())]
+    fields = [StructField("__item", LongType())]
     fields += [StructField(c, DoubleType()) for c in ("bm25", "question_overlap", "answer_overlap")]
     schema = StructType([*rows.schema.fields[:-1], *fields, StructField("first_word", LongType())])
     out = None
@@ -254,13 +269,25 @@ def hits(docs: DataFrame, benchmark: DataFrame, *carry: Column, whole: bool = Fa
 
         part = rows.mapInArrow(query, schema)
         out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], schema)
+    # A hit of a text is one of every item with that text.
+    named = benchmark.filter("text IS NOT NULL").select(F.xxhash64("text").alias("__item"), F.col("item_id").cast("long").alias("__id"))
+    kept = [F.col(f.name) for f in rows.schema.fields[:-1]]
+    measures = ["bm25", "question_overlap", "answer_overlap", "first_word"]
+    return out.join(named, "__item").select(*kept, F.col("__id").alias("item_id"), *measures)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hit an item, as a whole or in question and answer; rows without text stay."""
+    """``docs`` without the rows that hit an item, as a whole or in question and answer; rows without text stay.
+
+    Rows that repeat stay or go together. Other columns are kept as they are; without items all rows stay.
+    """
     at = docs.columns.index("text")
-    for index in indexes(benchmark, whole=True):
+    for k, index in enumerate(indexes(benchmark, whole=True)):
+        if k:
+            # A pass ends before the next index is loaded, so a task holds one of them.
+            docs = stored(docs, "clean")
         shared = Shared(docs.sparkSession, index)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

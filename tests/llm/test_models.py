@@ -210,8 +210,8 @@ def plain_hits(docs, items):
     for d, t in docs:
         w = bare(t)
         n = -(-len(w) // longest)
-        for s in range(max(1, n - 1)):
-            window = w[s * longest : (s + 2) * longest]
+        for s in range(max(1, n - 2)):
+            window = w[s * longest : (s + 3) * longest]
             have = {g: runs(window, g) for g in range(1, 6)}
             out |= {(d, i) for i, ps in wanted if all(len(x & have[g]) >= 0.8 * len(x) for g, x in ps)}
     return out
@@ -287,6 +287,38 @@ def test_decontamination_finds_one_changed_word(spark, sf):
     assert kept == {d for d, _ in docs} - {d for d, _ in expected | parts}
 
 
+@pytest.mark.parametrize("places", [1, 2])
+def test_decontamination_finds_copies_at_every_offset(spark, sf, places):
+    """Copies of the longest items with six words put in at some places, wherever they begin; checked on whole documents."""
+    items = duckdb.sql(f"SELECT item_id, text FROM '{sf.replace('0.001', '0.1')}/benchmark.parquet'").fetchall()
+    items.sort(key=lambda x: -len(bare(x[1])))
+    longest = len(bare(items[0][1]))
+
+    def runs(w):
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    docs, expected = [], set()
+    for i, text in items[:20]:
+        w = [x.decode() for x in bare(text)]
+        cuts = [len(w) * (k + 1) // (places + 1) for k in range(places)]
+        copy = []
+        for k, x in enumerate(w):
+            copy += ["inserted"] * (6 * (k in cuts)) + [x]
+        if len(runs(w) & runs(copy)) < 0.8 * len(runs(w)):
+            continue
+        for offset in range(0, 2 * longest, 3):
+            docs.append((len(docs), " ".join([f"before{k}" for k in range(offset)] + copy + [f"after{k}" for k in range(4 * longest)])))
+            expected.add((len(docs) - 1, i))
+    assert len(docs) > 200
+    table = spark.createDataFrame(items + [(5_000_000, items[0][1])], "item_id long, text string")
+    rows = spark.createDataFrame([(d, t, "en", "s") for d, t in docs], DOCS).repartition(4)
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.hits(rows, table, F.col("doc_id"), whole=True).collect()}
+    # A repeated item is hit as often as the first.
+    expected |= {(d, 5_000_000) for d, i in expected if i == items[0][0]}
+    assert got >= expected
+    assert decontam.decontaminated(rows, table).count() == 0
+
+
 # --- near-duplicates ---------------------------------------------------------
 
 
