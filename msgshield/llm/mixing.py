@@ -114,7 +114,10 @@ def mix(
 def emit(
     docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED
 ) -> DataFrame:
-    """The mix itself: every row of ``docs``, with its own columns, as often as it has copies."""
+    """The mix itself: every row of ``docs``, with its own columns, as often as it has copies.
+
+    Null and empty texts have size 0 and the copies of any other row of their source. Rows that repeat are rows of their own.
+    """
     rows = _mixed(docs, docs.columns, weights, share, cap, seed).filter(F.col("__copies") > 0)
     each = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")
     return rows.select(*docs.columns, each).select(*docs.columns)

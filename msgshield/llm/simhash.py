@@ -183,8 +183,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of every component: the row whose doc_id names it.
 
-    If rows with different texts share that doc_id, each of the texts stays; rows that agree in doc_id and text are one
-    row. Of a component without doc_ids the row with the least hash of its text stays.
+    If rows with different texts share that doc_id, each of the texts stays; of rows that agree in doc_id and text the
+    one with the least hash of its columns stays. Of a component without doc_ids the row with the least hash of its text stays.
     """
     digest = F.xxhash64(text_key(F.col("text")))
     prints = stored(fingerprints(docs, F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest")), "prints")
@@ -197,6 +197,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     kept = named.unionByName(nameless).select(text_key(F.col("doc_id")).alias("__id"), F.col("digest").alias("__digest"), "n")
     kept = stored(kept, "kept")
     rows = docs.withColumn("__id", text_key(F.col("doc_id").cast("long"))).withColumn("__digest", digest)
-    single = rows.join(kept.filter("n = 1"), ["__id", "__digest"], "left_semi")
-    repeated = rows.join(kept.filter("n > 1"), ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"])
-    return single.unionByName(repeated).select(*docs.columns)
+    single = rows.join(kept.filter("n = 1"), ["__id", "__digest"], "left_semi").select(*docs.columns)
+    # Rows that repeat doc_id and text: the one with the least hash of all its columns, on any run.
+    repeated = rows.join(kept.filter("n > 1"), ["__id", "__digest"], "left_semi")
+    least = F.min(F.struct(F.xxhash64(*docs.columns).alias("__hash"), *[F.col(c) for c in docs.columns])).alias("__row")
+    repeated = repeated.groupBy("__id", "__digest").agg(least).select("__row.*")
+    return single.unionByName(repeated.select(*docs.columns))

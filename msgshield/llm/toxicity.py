@@ -328,6 +328,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that score 0.5 or more."""
+    """``docs`` without the rows that score 0.5 or more.
+
+    Null and empty texts have no evidence and stay; rows with equal texts stay or go together. Other columns are kept as they are.
+    """
     columns = [F.col(c) for c in docs.columns]
     return scored(docs, labels, *columns).filter("__score < 0.5").select(*docs.columns)

@@ -69,3 +69,31 @@ def test_run_and_empty_tables(spark, sf, stages):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, sf).collect() == []
+
+
+def test_stages_on_odd_rows_in_one_run(spark, sf):
+    """Null and empty texts, null keys, repeated rows, a very long text and extra columns, through all stages."""
+    rows = [
+        (1, "one two three four five six seven", "en", "a"), (1, "one two three four five six seven", "en", "a"),
+        (1, "quite another text of this id altogether", "en", "a"), (2, None, "en", "a"), (3, "", None, "b"), (4, " \t\n", None, None),
+        (None, "no id here but some words", "en", None), (None, None, None, None), (7, "long words " * 60_000, "de", "b"),
+        (8, "one two three four five six seven", "fr", "b"),
+    ]
+    docs = spark.createDataFrame(
+        [(*r, len(r[1] or ""), "clash", float(i)) for i, r in enumerate(rows)],
+        "doc_id long, text string, lang string, source string, n_chars long, component string, n double",
+    )
+    columns, counts = docs.columns, []
+    for name, stage in pipeline.STAGES[:-1]:
+        before = collections.Counter(map(str, docs.collect()))
+        again = sorted(map(str, stage(spark, docs, sf).collect()))
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
+        after = collections.Counter(map(str, docs.collect()))
+        assert docs.columns == columns and sorted(after.elements()) == again, name
+        assert set(after) <= set(before)
+        counts.append(sum(after.values()))
+    assert counts[0] == len(rows)
+    # One of the three equal texts, one of the four without words, and three others.
+    assert counts[1] == counts[2] == 5
+    placed = pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert len(placed) == counts[3]
