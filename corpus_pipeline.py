@@ -1,7 +1,11 @@
 """The corpus pipeline: raw documents to a sharded training mix, stage by stage.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A
-stage's result is written to the shared folder and read again, so a lost executor repeats one stage at most.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, other
+columns included. A stage's result is written to the shared folder and read again, so a lost executor repeats one stage at most.
+
+Null and empty texts are documents: not toxic, all alike to SimHash (fingerprint zero), clean, of size 0 in the mix, 8 bytes on
+a shard. Null doc_ids and sources are values of their own. Rows that repeat a doc_id with another text are documents of
+their own; exact repeats are one after the near-duplicate stage. Empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -90,7 +90,8 @@ def records(
     rows = rows.select(*folders, "value", "file", "block", "place", "first", "gap", begins.alias("begins"), ends.alias("ends"), (F.col("ended_before") + ended).alias("number"))
     rows = rows.filter(~(F.col("gap") & (F.col("begins") == 0) & (F.col("ends") == 0)))
     whole = (F.col("begins") == 0) & (F.col("ends") == 0)
-    single = rows.filter(whole).select(*folders, "value", "file", "number", "first")
+    # The condition stands in the value as well: expressions on it may be evaluated before the rows are filtered.
+    single = rows.filter(whole).select(*folders, F.when(whole & ~F.col("gap"), F.col("value")).alias("value"), "file", "number", "first")
     parts = F.array_sort(F.collect_list(F.struct("block", "place", "value")))
     joined = F.array_join(F.transform(parts, lambda p: p["value"]), separator)
     cut = rows.filter(~whole).groupBy(*folders, "file", "number", "first").agg(joined.alias("value"))
@@ -110,7 +111,8 @@ def json_array(spark: SparkSession, path: str | list[str], schema: str) -> DataF
     rows, folders = records(spark, path, "}", quotes, gap)
     text = F.concat(F.regexp_replace("value", "^[\\s,\\[﻿]+", ""), F.lit("}"))
     flat = F.when(F.startswith(text, F.lit("{")), F.from_json(text, schema))
-    flat = flat.otherwise(F.raise_error(F.concat(F.lit("not an array of flat objects: "), F.substring(text, 1, 80))))
+    said = F.concat(F.lit("not an array of flat objects: "), F.substring(text, 1, 80))
+    flat = flat.when(F.col("value").isNotNull(), F.raise_error(said))
     return rows.select(*folders, flat.alias("row"), "ordinal").select("row.*", *folders, "ordinal")
 
 
@@ -127,9 +129,10 @@ def csv_table(spark: SparkSession, path: str | list[str], columns: list[str]) ->
     options = {"escape": '"', "nullValue": "\u0000", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     line = F.regexp_replace("value", "\r$", "")
     head = F.when(F.col("number") == 0, F.regexp_replace(line, "^﻿", "")).otherwise(line)
-    parsed = rows.select(*folders, F.from_csv(head, schema, options).alias("row"), "number", "ordinal")
+    parsed = rows.select(*folders, F.from_csv(head, schema, options).alias("row"), "value", "number", "ordinal")
     cells = [F.col(f"row.c{i}") for i in range(len(columns))]
-    same = F.array(*[F.coalesce(c, F.lit("")) for c in cells]) == F.array(*map(F.lit, columns))
+    # A null line is no record yet; see ``records``.
+    same = F.col("value").isNull() | (F.array(*[F.coalesce(c, F.lit("")) for c in cells]) == F.array(*map(F.lit, columns)))
     wrong = F.raise_error(F.lit("a file has another header than the first"))
     kept = F.when(F.col("number") > 0, F.lit(True)).when(same, F.lit(False)).otherwise(wrong.cast("boolean"))
     return parsed.filter(kept).select(*[c.alias(name) for c, name in zip(cells, columns, strict=True)], *folders, F.col("ordinal").alias("__ordinal"))
