@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +26,12 @@ WINDOW = 1024
 END = 0
 # UTF-8 bytes of text in a shard, about; a longer document is a shard of its own.
 SHARD_BYTES = 16 << 20
-# BM25, and the rarest terms of a seed that are looked up.
+# BM25, and the rarest terms of a seed that are looked up: all.
 K1 = 1.2
 B = 0.75
-QUERY_TERMS = 16
+QUERY_TERMS = None
+# Terms that more than one document in so many holds have a row of impacts instead of postings.
+DENSE = 8
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 # Texts with a longer run of characters without white space go to the tokenizers library: merging takes long there.
@@ -82,15 +85,15 @@ class Coder:
             self.fast = tiktoken.Encoding("given", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is None or LONG_RUN.search(text) or any(token in text for token in self.added):
+        if self.fast is None or len(text) >= 4000 and LONG_RUN.search(text) or any(token in text for token in self.added):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
-        return np.array(ids, dtype="<u4")
+        return np.array(array("I", ids), dtype="<u4")
 
 
 class Index:
-    """BM25 inverted index of a shard; terms are token ids."""
+    """BM25 index of a shard; terms are token ids. Common terms have a row of impacts, the others postings."""
 
     def __init__(self, docs: list[np.ndarray]) -> None:
         found = [np.unique(d[:-1], return_counts=True) for d in docs]
@@ -104,27 +107,55 @@ class Index:
         idf = np.log1p((len(docs) - self.df + 0.5) / (self.df + 0.5))
         norm = K1 * (1 - B + B * length / max(length.mean(), 1.0)) if len(docs) else length
         impact = idf[terms] * counts * (K1 + 1) / (counts + norm[doc])
+        # Multiples of one unit, so small that any sum of a document's impacts is exact in single precision.
+        unit = 2.0 ** (np.ceil(np.log2(np.bincount(doc, impact, minlength=1).max() + 1)) - 23)
+        impact = np.maximum(np.rint(impact / unit), 1) * unit
+        row = np.cumsum(self.df * DENSE > len(docs)) - 1
+        self.row = np.where(self.df * DENSE > len(docs), row, -1)
+        at = self.row[terms]
+        rows = np.zeros((self.row.max() + 1, len(docs)), np.float32)
+        rows[at[at >= 0], doc[at >= 0]] = impact[at >= 0]
+        self.rows = list(rows)
+        terms, doc, impact = terms[at < 0], doc[at < 0], impact[at < 0]
         order = np.argsort(terms.astype(np.uint16) if len(self.df) <= 1 << 16 else terms, kind="stable")
-        self.doc, self.impact = doc[order], impact[order].astype(np.float32)
-        self.first = np.append(0, np.cumsum(self.df))
-        self.places = np.arange(len(terms))
-
-    def neighbours(self, doc: int, open_: np.ndarray) -> np.ndarray:
-        """The documents of ``open_`` (a mask) that share one of the rarest terms of ``doc``, best first."""
+        self.doc, self.impact = doc[order].astype(np.int64), impact[order]
+        self.first = np.append(0, np.cumsum(np.where(self.row < 0, self.df, 0)))
+        self.live = np.arange(len(docs))
+
+    def keep(self, kept: np.ndarray) -> None:
+        """Forgets the indexed documents outside the mask ``kept``; the statistics of the shard stay."""
+        self.rows = [r[kept] for r in self.rows]
+        of = kept[self.doc]
+        self.doc, self.impact = (np.cumsum(kept) - 1)[self.doc[of]], self.impact[of]
+        self.first = np.append(0, np.cumsum(of))[self.first]
+        self.live = self.live[kept]
+
+    def neighbours(self, doc: int, open_: np.ndarray, most: int | None = None) -> np.ndarray:
+        """The documents of ``open_`` (a mask) that share a term with ``doc``, best first; the first ``most`` if given.
+
+        A document outside ``open_`` must stay outside in later calls.
+        """
+        if np.count_nonzero(open_) * 4 < len(self.live) * 3:
+            self.keep(open_[self.live])
         terms = self.terms[doc]
         df = self.df[terms]
         shared = df > 1
         terms = terms[shared][np.argsort(df[shared], kind="stable")[:QUERY_TERMS]]
-        if not len(terms):
-            return terms
-        spans = [slice(a, b) for a, b in zip(self.first[terms].tolist(), self.first[terms + 1].tolist(), strict=True)]
-        places = np.concatenate([self.places[s] for s in spans])
-        docs = self.doc[places]
-        unused = open_[docs]
-        docs, places = docs[unused], places[unused]
-        score = np.bincount(docs, self.impact[places])
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        row = self.row[terms]
+        terms = terms[row < 0]
+        score = np.zeros(len(self.live), np.float32)
+        if len(terms):
+            spans = [slice(a, b) for a, b in zip(self.first[terms].tolist(), self.first[terms + 1].tolist(), strict=True)]
+            docs, impact = (np.concatenate([x[s] for s in spans]) for x in (self.doc, self.impact))
+            score += np.bincount(docs, impact, minlength=len(score))
+        for r in row[row >= 0].tolist():
+            score += self.rows[r]
+        found = np.flatnonzero((score > 0) & open_[self.live])
+        score = score[found]
+        if most is not None and most < len(found):
+            best = score >= np.partition(score, -most)[-most]
+            found, score = found[best], score[best]
+        return self.live[found[np.argsort(-score, kind="stable")][:most]]
 
 
 def fill(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
@@ -151,7 +182,8 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, in
         if room == 0:
             sequence, room, near = sequence + 1, window, iter(())
         elif fresh:
-            near = iter(index.neighbours(seed, open_).tolist())
+            # Every document has an id at least, so no more of them than ``room`` can follow in this window.
+            near = iter(index.neighbours(seed, open_, room).tolist())
 
 
 def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list[str]]]:

@@ -135,3 +135,42 @@ def test_neighbours_share_a_window(seed):
     for topics in windows.values():
         total, together = total + 1, together + (len(topics) <= 2)
     assert together / total > 0.9
+
+
+@pytest.mark.parametrize("dense", [1, 8, 1 << 20])
+def test_all_terms_of_a_seed_decide(dense, monkeypatch):
+    """Partners that share only the commoner of many terms are found, and in the order of the whole score."""
+    monkeypatch.setattr(packing, "DENSE", dense)
+    rare, common = np.arange(1, 31), np.arange(100, 160)
+    docs = [np.concatenate([x, [0]]).astype("<u4") for x in (
+        np.concatenate([rare, common]), rare, np.concatenate([rare[:1], np.arange(300, 400)]),
+        common, common[:50], common[:40], common[:1], common[:40], np.arange(500, 560),
+    )]
+    df = Counter(t for d in docs for t in d[:-1].tolist())
+    mean = sum(map(len, docs)) / len(docs)
+    score = {}
+    for i, d in enumerate(docs[1:], 1):
+        norm = packing.K1 * (1 - packing.B + packing.B * len(d) / mean)
+        shared = set(d[:-1].tolist()) & set(docs[0][:-1].tolist())
+        score[i] = sum(math.log1p((len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * (packing.K1 + 1) / (1 + norm) for t in shared)
+    order = sorted((i for i in score if score[i]), key=lambda i: (-score[i], i))
+    assert set(order) == {1, 2, 3, 4, 5, 6, 7} and order.index(5) + 1 == order.index(7)
+    index = packing.Index(docs)
+    open_ = np.ones(len(docs), dtype=bool)
+    open_[0] = False
+    for closed in (0, 3, 1, 5, 4, 6):
+        open_[closed] = False
+        left = [i for i in order if open_[i]]
+        assert index.neighbours(0, open_).tolist() == left
+        for most in (1, 2, 4):
+            assert index.neighbours(0, open_, most).tolist() == left[:most]
+
+
+def test_windows_prefer_the_whole_score():
+    """The rarest sixteen terms of the seed lead to the short documents; all its terms lead to its copy in the rest."""
+    rare, rest = np.arange(1, 17), np.arange(100, 400)
+    one = [np.array([t, 1000 + t, 0], dtype="<u4") for t in rare.tolist()]
+    seed = np.concatenate([rare, rest, [0]]).astype("<u4")
+    copies = [np.append(rest, 0).astype("<u4") for _ in range(3)]
+    pieces = list(packing.fill([seed, *one, *copies], 700))
+    assert [doc for doc, *_ in pieces[:3]] == [0, 17, 18]
