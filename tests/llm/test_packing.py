@@ -174,3 +174,12 @@ def test_windows_prefer_the_whole_score():
     copies = [np.append(rest, 0).astype("<u4") for _ in range(3)]
     pieces = list(packing.fill([seed, *one, *copies], 700))
     assert [doc for doc, *_ in pieces[:3]] == [0, 17, 18]
+
+
+def test_long_runs_are_found_wherever_they_start():
+    for start in (0, 1, 1999, 2000, 2001, 3999):
+        for size in (1999, 2000, 3999, 4000, 4001, 9000):
+            for run, other in (("x", " "), (" ", "x")):
+                text = (other + run) * (start // 2) + other * (start % 2 + 1) + run * size + other
+                assert packing.long_run(text) == bool(packing.LONG_RUN.search(text)) == (size >= 4000)
+                assert packing.long_run(run * size) == (size >= 4000)
