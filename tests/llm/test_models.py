@@ -482,6 +482,23 @@ def test_kmeans_cells_prune(spark):
     assert levels == 1 and len(vectors) <= dealt.count() < 2 * len(vectors)
 
 
+def test_blocks_hold_every_vector_once(spark, monkeypatch):
+    """What is written grows with the vectors, not with the pairs of blocks; no pair of blocks passes a shuffle."""
+    monkeypatch.setattr(embed, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=8).tolist(), i % 2) for i in range(500)]
+    rows += [(500 + i, [v * 1.01 for v in rows[i][1]], i % 2) for i in range(0, 500, 7)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    classes = embed.representatives(table)[1]
+    blocks = embed.packed(embed.dealt_once(classes, embed.THRESHOLD)[0])
+    packed = blocks.select(F.sum(F.length("embedding") / 64), F.max(F.length("node") / 8), F.count("*")).first()
+    assert packed[0] == classes.count() == len(rows) and packed[1] <= 16 and packed[2] > 30
+    plan = embed.compare(blocks, embed.THRESHOLD)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "Generate" not in plan
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed.near_vectors(table).collect()}
+    assert got == plain_vectors(rows)
+
+
 # --- extraction --------------------------------------------------------------
 
 
