@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from msgshield.functions.fixed import MESSAGE_FEATURES
 from msgshield.plans import evaluation, messages, qr, scoring, training, urls
 from msgshield.session import remove_intermediate, shared_dir, stored
 from msgshield.sources import readers, writers
@@ -213,6 +214,41 @@ def test_message_model(spark, tmp_path, classifier):
     assert {r.prediction for r in scored.filter("label = 1").collect()} == {"MALICIOUS"}
 
 
+def _few_messages(spark):
+    words = "urgent verify password lunch noon team invoice gift call meeting".split()
+    rows = [(" ".join(words[(i * k + k * k) % 10] for k in range(1, 8)) + f" {i % 7}!", "SMS" if i % 3 else "EMAIL", int(i % 5 < 2)) for i in range(90)]
+    return spark.createDataFrame(rows, "cleaned_text string, channel string, label int").repartition(2, "cleaned_text")
+
+
+def test_stages_share_one_word_count(spark, monkeypatch):
+    """Three models from messages counted once are those fitted apart, and tests counted once get the same scores."""
+    df, calls, fit = _few_messages(spark), [], training.fit_vocabulary
+    monkeypatch.setattr(training, "fit_vocabulary", lambda *a, **b: calls.append(1) or fit(*a, **b))
+    monkeypatch.setattr(training, "_vocabulary_size", lambda kind: 60 if kind == "baseline" else 25)
+    kinds = ["baseline", "semantic", "hybrid"]
+    counted = training.count_messages(df, kinds)
+    tests = counted.count(df, kinds, "tests")
+    for kind in kinds:
+        shared, apart = training.fit_message_model(counted, kind), training.fit_message_model(df, kind)
+        assert shared.stages[3].vocabulary == apart.stages[3].vocabulary == counted.names[: 60 if kind == "baseline" else 25]
+        text, counts, other = (
+            {(r.cleaned_text, r.channel): r.prob for r in training.predict_messages(m, rows).collect()}
+            for m, rows in ((shared, df), (shared, tests), (apart, df))
+        )
+        assert text.keys() == counts.keys() and all(abs(text[k] - counts[k]) < 1e-12 and abs(text[k] - other[k]) < 1e-3 for k in text)
+    assert len(calls) == 4
+
+
+def test_solver_does_not_read_the_text(spark, monkeypatch):
+    """What scaling and the solver read again and again is a stored table of counts and signals."""
+    seen, fit = [], training.Pipeline.fit
+    monkeypatch.setattr(training.Pipeline, "fit", lambda self, rows, *a: seen.append(rows) or fit(self, rows, *a))
+    training.fit_message_model(_few_messages(spark), "hybrid", size=30)
+    assert set(seen[0].columns) == {"label", "counts", *MESSAGE_FEATURES}
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and "model_text" not in plan
+
+
 def test_vector_and_table_tfidf_agree(spark):
     from msgshield.operators.terms import tfidf
 
