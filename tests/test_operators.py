@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -273,3 +274,21 @@ def test_scaling_and_weights(spark):
     assert {r.label: r.weight for r in terms.class_weights(df).collect()} == {0: 4 / 6, 1: 2.0}
     assert {r.label: round(r.weight, 9) for r in terms.class_weights(df, inverse=True).collect()} == {0: 0.25, 1: 0.75}
     assert {r.x: r.weight for r in terms.with_class_weight(df).collect()} == {1.0: 4 / 6, 3.0: 4 / 6, 5.0: 4 / 6, 7.0: 2.0}
+
+
+def test_word_and_pair_counts(spark):
+    """Totals and documents of words and neighbouring pairs; what leaves a batch is one row a term."""
+    texts = ["win cash win cash", "", None, "one win", "cash", "a bb cc bb cc"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    expected = {"": (0, len(texts))}
+    for text in texts:
+        words = re.findall(r"\w{2,}", text or "")
+        found = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        for term in set(found):
+            total, docs = expected.get(term, (0, 0))
+            expected[term] = total + found.count(term), docs + 1
+    apart = terms._counted(terms.with_terms(df, "text"), "terms")
+    together = terms._counted(terms.with_terms(df, "text", bigrams=False), "terms", pairs=True)
+    for counted in (apart, together):
+        assert {r.term: (r.total, r.df) for r in counted.collect()} == expected
+        assert "Generate" not in counted._jdf.queryExecution().executedPlan().toString()
